@@ -16,15 +16,11 @@ _DEFINITIONS = (
     f"st_dwithin(g {_POINT}, h {_POINT}, r DOUBLE) RETURNS BOOLEAN "
     "RETURN sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y)) <= r",
     f"st_astext(g {_POINT}) RETURNS STRING RETURN concat('POINT(', g.x, ' ', g.y, ')')",
-    "grid_x(v DOUBLE, size DOUBLE) RETURNS BIGINT RETURN floor(v / size)",
-    "grid_disk(cx BIGINT, cy BIGINT, k INT) RETURNS TABLE(qx BIGINT, qy BIGINT) "
-    "RETURN SELECT cx + i, cy + j FROM (SELECT explode(sequence(-k, k)) AS i) "
-    "LATERAL VIEW explode(sequence(-k, k)) AS j",
 )
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """Register ``st_point, st_x, st_y, st_distance, st_dwithin, st_astext``
-    and the grid helpers ``grid_x`` and ``grid_disk`` for this session."""
+    """Register ``st_point, st_x, st_y, st_distance, st_dwithin, st_astext`` for
+    this session."""
     for definition in _DEFINITIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {definition}")

@@ -10,13 +10,13 @@ from geonear.functions.hexgrid import RES9_EDGE, hex_cell, hex_disk, hex_steps
 from geonear.operators.grouping import first_per_key
 from geonear.operators.knn import nearest_lists
 from geonear.operators.pairs import blocked_join
-from geonear.operators.tiles import build_tiles
+from geonear.operators.tiles import Tiles, build_tiles
 from geonear.session import materialize
 
 
 def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         edge: float = RES9_EDGE, k: int = 5, round_to: int | None = 2,
-                        exact: bool = False) -> DataFrame:
+                        exact: bool = False, tiles: Tiles | None = None) -> DataFrame:
     """Nearest destination whose hexagon is within ``k`` steps of the origin's.
 
     This is an approximation of the nearest destination: one outside the disk
@@ -26,7 +26,7 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
     If the true nearest lies in the disk it is the answer, so the cell join is
     run only for origins whose nearest destination is outside their disk.
     """
-    tiles = build_tiles(destinations, 1, max_distance)
+    tiles = tiles or build_tiles(destinations, 1, max_distance)
     best = nearest_lists(origins, tiles).select("origin", "x", "y", F.inline_outer("nearest"))
     if exact:
         found = best

@@ -3,6 +3,9 @@
 Origins are ``(origin, x, y)``, destinations ``(destination, x, y)``; results
 are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
+
+Each builds the destination tiles it needs; pass ``tiles`` from
+:func:`build_tiles` to share them between calls or origin tables.
 """
 
 from __future__ import annotations
@@ -46,8 +49,7 @@ def knn_join(
 ) -> DataFrame:
     """The ``k`` nearest destinations of every origin, one row per neighbour.
 
-    ``how="left"`` keeps origins without a match, with NULLs.  Pass ``tiles``
-    from :func:`build_tiles` to reuse them over several origin tables.
+    ``how="left"`` keeps origins without a match, with NULLs.
     """
     tiles = tiles or build_tiles(destinations, k, max_distance, origins)
     lists = nearest_lists(origins, tiles, how)
@@ -70,9 +72,9 @@ def nearest(
 
 
 def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
-                  max_distance: float | None = None) -> DataFrame:
+                  max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Take ``k`` neighbours, then the first of them by (distance, key)."""
-    tiles = build_tiles(destinations, k, max_distance, origins)
+    tiles = tiles or build_tiles(destinations, k, max_distance, origins)
     return nearest_lists(origins, tiles).select(
         "origin",
         F.col("nearest")[0]["destination"].alias("destination"),
@@ -81,12 +83,12 @@ def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
 
 
 def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
-                      digits: int = 2) -> DataFrame:
+                      digits: int = 2, tiles: Tiles | None = None) -> DataFrame:
     """Round the distances of the ``k`` neighbours *before* choosing the first.
 
     Rounding makes extra ties, which the key then decides.
     """
-    tiles = build_tiles(destinations, k, None, origins)
+    tiles = tiles or build_tiles(destinations, k, None, origins)
     rounded = F.transform(
         "nearest",
         lambda m: F.struct(
@@ -97,12 +99,13 @@ def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
     return best.select("origin", "best.destination", "best.distance")
 
 
-def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance: float) -> DataFrame:
+def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance: float,
+                      tiles: Tiles | None = None) -> DataFrame:
     """Nearest destination within the *square* of half-width ``max_distance``.
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
-    tiles = build_tiles(destinations, 1, max_distance, square=True)
+    tiles = tiles or build_tiles(destinations, 1, max_distance, square=True)
     return knn_join(origins, destinations, tiles=tiles)
 
 
@@ -120,10 +123,11 @@ def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
 
 
 def nearest_first_of_ties(origins: DataFrame, destinations: DataFrame,
-                          max_distance: float | None = None) -> DataFrame:
+                          max_distance: float | None = None,
+                          tiles: Tiles | None = None) -> DataFrame:
     """All ties first, then the smallest key of each origin."""
-    return first_per_key(nearest_all_ties(origins, destinations, max_distance),
-                         ["origin"], ["destination"])
+    tied = nearest_all_ties(origins, destinations, max_distance, tiles)
+    return first_per_key(tied, ["origin"], ["destination"])
 
 
 def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
@@ -140,38 +144,39 @@ def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
 
 
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                      round_to: int | None = 2) -> DataFrame:
+                      round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, build_tiles(destinations, 1, max_distance))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance))
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
 
 
 def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                        round_to: int | None = 2) -> DataFrame:
+                        round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, build_tiles(destinations, 1, max_distance))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance))
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
 
-def nearest_sort_dedupe(origins: DataFrame, destinations: DataFrame,
-                        max_distance: float) -> DataFrame:
+def nearest_sort_dedupe(origins: DataFrame, destinations: DataFrame, max_distance: float,
+                        tiles: Tiles | None = None) -> DataFrame:
     """First row per origin of the sorted pairs, unrounded.
 
     Spark does not promise that ``dropDuplicates`` keeps the first sorted row,
     so the order is part of the aggregate and no global sort is run.
     """
-    return nearest_distinct_on(origins, destinations, max_distance, round_to=None)
+    return nearest_distinct_on(origins, destinations, max_distance, None, tiles)
 
 
-def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame) -> DataFrame:
+def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
+                       tiles: Tiles | None = None) -> DataFrame:
     """Arg-min over all destinations, no cap: the answer of an all-pairs scan.
 
     Only pairs that can win are looked at.
     """
-    pairs = candidate_pairs(origins, build_tiles(destinations, 1, None, origins))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, None, origins))
     rank = F.struct("distance", "destination")
     return pairs.groupBy("origin").agg(
         F.min_by("destination", rank).alias("destination"), F.min("distance").alias("distance")
@@ -179,13 +184,13 @@ def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame) -> DataFrame
 
 
 def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                    round_to: int | None = 2) -> DataFrame:
+                    round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through a correlated ``LATERAL (… ORDER BY … LIMIT 1)`` subquery.
 
     The correlation includes the tile key, so Catalyst turns it into an
     equi-join plus a per-group limit instead of a nested loop.
     """
-    tiles = build_tiles(destinations, 1, max_distance)
+    tiles = tiles or build_tiles(destinations, 1, max_distance)
     spark = origins.sparkSession
     best = spark.sql(
         """

@@ -187,26 +187,26 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
                     round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through a correlated ``LATERAL (… ORDER BY … LIMIT 1)`` subquery.
 
-    The correlation includes the tile key, so Catalyst turns it into an
-    equi-join plus a per-group limit instead of a nested loop.
+    The outer columns enter the subquery as a one-row relation that is joined
+    to the candidates by tile.  Catalyst decorrelates that into an equi-join
+    with the distinct outer coordinates and a per-group limit; written as plain
+    ``WHERE c.tx = a.tx`` it would pull the equalities up and loop over all pairs.
     """
     tiles = tiles or build_tiles(destinations, 1, max_distance)
-    spark = origins.sparkSession
-    best = spark.sql(
+    best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance
         FROM {located} a, LATERAL (
             SELECT c.destination,
-                   sqrt((a.x - c.bx) * (a.x - c.bx) + (a.y - c.by) * (a.y - c.by)) AS distance
-            FROM {candidates} c
-            WHERE c.level = a.level AND c.tx = a.tx AND c.ty = a.ty
-              AND sqrt((a.x - c.bx) * (a.x - c.bx) + (a.y - c.by) * (a.y - c.by)) <= {cap}
+                   sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) AS distance
+            FROM (SELECT a.x, a.y, a.level, a.tx, a.ty) o
+            JOIN {candidates} c ON c.level = o.level AND c.tx = o.tx AND c.ty = o.ty
+            WHERE sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) <= {cap}
             ORDER BY distance, c.destination
             LIMIT 1
         ) b
         """,
         located=tiles.locate(origins.select("origin", "x", "y")),
-        candidates=tiles.candidates(),
-        cap=float(max_distance),
+        candidates=tiles.candidates(), cap=float(max_distance),
     )
     return _round(best, round_to)

@@ -64,6 +64,10 @@ class Tiles:
     max_distance: float | None
     square: bool
 
+    def scale(self, level: int) -> float:
+        """Tiles of ``level`` per coarsest cell and axis."""
+        return float(SPLIT**level)
+
     def locate(self, origins: DataFrame) -> DataFrame:
         """Origins with the key ``level, tx, ty`` of each tile they may lie in.
 
@@ -71,8 +75,8 @@ class Tiles:
         before the join, one key per level in use is given.
         """
         keys = [
-            f"struct({level} as level, floor(x / {self.size!r}D * {float(SPLIT**level)!r}D) as tx, "
-            f"floor(y / {self.size!r}D * {float(SPLIT**level)!r}D) as ty)"
+            f"struct({level} as level, floor(x / {self.size!r}D * {self.scale(level)!r}D) as tx, "
+            f"floor(y / {self.size!r}D * {self.scale(level)!r}D) as ty)"
             for level in self.levels
         ]
         if len(keys) == 1:

@@ -105,7 +105,7 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
-    tiles = tiles or build_tiles(destinations, 1, max_distance, square=True)
+    tiles = tiles or build_tiles(destinations, 1, max_distance, origins, square=True)
     return knn_join(origins, destinations, tiles=tiles)
 
 
@@ -146,7 +146,7 @@ def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
                       round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance, origins))
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
@@ -155,7 +155,7 @@ def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance:
 def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance, origins))
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
@@ -192,7 +192,7 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     with the distinct outer coordinates and a per-group limit; written as plain
     ``WHERE c.tx = a.tx`` it would pull the equalities up and loop over all pairs.
     """
-    tiles = tiles or build_tiles(destinations, 1, max_distance)
+    tiles = tiles or build_tiles(destinations, 1, max_distance, origins)
     best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance

@@ -22,8 +22,11 @@ So crowded areas get small tiles and empty ones large tiles: a city that holds
 a third of all destinations does not make its neighbours scan it, and a point
 that holds a third of them is reduced to its k smallest keys before any
 shuffle.  The work is done on cell counts; the destinations themselves are
-joined once, at the end, and the origins are not needed at all unless there is
-no distance cap (then only their bounding box is).
+joined once, at the end.
+
+A tile far from a tight cluster stays crowded until it is as small as the
+cluster.  So only tiles with an origin in them are cut again: from the second
+round on there is at most one crowded tile per distinct origin coordinate.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from geonear.functions.ranking import nearest_slots, useful_cells
 from geonear.session import materialize, materialize_measured
 
 SPLIT = 4  # one round turns a tile into SPLIT x SPLIT tiles, by halving twice
+OPEN_LEVELS = 3  # rounds when the origins are not known
 MAX_LEVEL = 15  # 4**15 steps below the coarsest tile: 5 micrometres for 5 km
 TILE_KEY = ["level", "tx", "ty"]
 COARSE_CELLS = 8  # coarsest grid of an uncapped search, per axis
@@ -192,8 +196,12 @@ def build_tiles(
 
     With ``max_distance`` only destinations within the circle (``square``: the
     square) of that radius count.  Without it, ``origins(x, y)`` must be given,
-    as the tiles have to cover them.  ``leaf_size`` is where splitting stops
-    (default 128 + 4k); it never limits a result.
+    as the tiles have to cover them.
+
+    With ``origins`` the tiles serve that table only.  Without, they serve any
+    table, but cutting ends after ``OPEN_LEVELS`` rounds: the lists in crowded
+    places stay longer.  ``leaf_size`` is the list length at which cutting ends
+    (default 128 + 4k, at least 8k); it never limits a result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -201,7 +209,8 @@ def build_tiles(
         raise ValueError("an uncapped search needs the origins, and a square needs a cap")
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
-    leaf_size = leaf_size or 128 + 4 * k
+    leaf_size = max(leaf_size or 128 + 4 * k, 8 * k)
+    last_level = OPEN_LEVELS if origins is None else MAX_LEVEL
     x, y = F.col("x"), F.col("y")
     box = dict(x0=F.min(x), x1=F.max(x), y0=F.min(y), y1=F.max(y))
     points, seen = materialize_measured(
@@ -239,12 +248,12 @@ def build_tiles(
     crowded = _prune(crowded, size, k, max_distance, square)
 
     finished, levels = [], []
-    for level in range(1, MAX_LEVEL + 1):
+    for level in range(1, last_level + 1):
         cell = size / SPLIT**level
         middle = _prune(_halve(crowded), 2 * cell, k, max_distance, square)
         small = _prune(_halve(middle), cell, k, max_distance, square)
         left = F.expr(f"aggregate(cells, 0L, (acc, c) -> acc + c.n) <= {leaf_size}")
-        done = F.lit(True) if level == MAX_LEVEL else left
+        done = F.lit(True) if level == last_level else left
         state, counts = materialize_measured(
             small.withColumn("done", done), f"tiles-level{level}",
             done=F.count_if("done"), crowded=F.count_if(~F.col("done")),
@@ -257,7 +266,13 @@ def build_tiles(
         if not counts["crowded"]:
             break
         tasks = max(1, min(counts["crowded"] // 16, 4 * parallel), counts["crowded"] // 50_000)
-        crowded = _with_kids(state.where("not done"), points, size, level, tasks)
+        asked = state.where("not done")
+        if origins is not None:
+            occupied = origins.select(
+                _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
+            ).distinct()
+            asked = asked.join(occupied, ["tx", "ty"], "left_semi")
+        crowded = _with_kids(asked, points, size, level, tasks)
 
     if not finished:
         return Tiles(_no_tiles(destinations), size, [0], k, max_distance, square)

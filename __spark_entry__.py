@@ -206,7 +206,7 @@ def geom_wkb_roundtrip(spark, sf_dir):
 def udf_sql_functions(spark, sf_dir):
     g.register_sql_functions(spark)
     origins, destinations = _both(spark, sf_dir)
-    tiles = g.build_tiles(destinations, 1, R, origins)
+    tiles = g.build_tiles(destinations, origins, 1, R)
     return spark.sql(
         """
         WITH a AS (SELECT *, st_point(x, y) AS geom FROM {located}),
@@ -319,7 +319,7 @@ def load_job(spark, sf_dir):
 
 def _hex_and_reference(spark, sf_dir):
     both = _both(spark, sf_dir)
-    tiles = g.build_tiles(both[1], 1, R, both[0])
+    tiles = g.build_tiles(both[1], both[0], 1, R)
     return (g.nearest_in_hex_disk(*both, R, tiles=tiles),
             g.nearest_distinct_on(*both, R, tiles=tiles))
 
@@ -335,8 +335,8 @@ def compare_outer(spark, sf_dir):
 
 def compare_methods_report(spark, sf_dir):
     both = origins, destinations = _both(spark, sf_dir)
-    capped = g.build_tiles(destinations, 1, R, origins)
-    free = g.build_tiles(destinations, 1, None, origins)
+    capped = g.build_tiles(destinations, origins, 1, R)
+    free = g.build_tiles(destinations, origins)
     results = {
         "knn_window": g.nearest_by_window(*both, R, tiles=capped),
         "knn_lateral": g.nearest_lateral(*both, R, tiles=capped),

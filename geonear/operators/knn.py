@@ -5,7 +5,7 @@ are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
 Each builds the destination tiles it needs; pass ``tiles`` from
-:func:`build_tiles` to share them between calls or origin tables.
+:func:`build_tiles` to share them between calls on the same tables.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def knn_join(
 
     ``how="left"`` keeps origins without a match, with NULLs.
     """
-    tiles = tiles or build_tiles(destinations, k, max_distance, origins)
+    tiles = tiles or build_tiles(destinations, origins, k, max_distance)
     lists = nearest_lists(origins, tiles, how)
     # Lists are never empty, so "outer" adds no row; it only keeps Catalyst from
     # inferring a filter that would build the list a second time.
@@ -74,7 +74,7 @@ def nearest(
 def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
                   max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Take ``k`` neighbours, then the first of them by (distance, key)."""
-    tiles = tiles or build_tiles(destinations, k, max_distance, origins)
+    tiles = tiles or build_tiles(destinations, origins, k, max_distance)
     return nearest_lists(origins, tiles).select(
         "origin",
         F.col("nearest")[0]["destination"].alias("destination"),
@@ -88,7 +88,7 @@ def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
 
     Rounding makes extra ties, which the key then decides.
     """
-    tiles = tiles or build_tiles(destinations, k, None, origins)
+    tiles = tiles or build_tiles(destinations, origins, k)
     rounded = F.transform(
         "nearest",
         lambda m: F.struct(
@@ -105,14 +105,14 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
-    tiles = tiles or build_tiles(destinations, 1, max_distance, origins, square=True)
+    tiles = tiles or build_tiles(destinations, origins, 1, max_distance, square=True)
     return knn_join(origins, destinations, tiles=tiles)
 
 
 def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
                      max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Every destination at the smallest distance, several rows per origin if tied."""
-    tiles = tiles or build_tiles(destinations, 1, max_distance, origins)
+    tiles = tiles or build_tiles(destinations, origins, 1, max_distance)
     seen = origins.select("origin", "x", "y")
     spots = tiles.nearest(tiles.locate(seen), ["origin"], ties=True).select(
         "origin", F.inline_outer("nearest")
@@ -146,7 +146,7 @@ def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
                       round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance, origins))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins, 1, max_distance))
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
@@ -155,7 +155,7 @@ def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance:
 def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, max_distance, origins))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins, 1, max_distance))
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
@@ -176,7 +176,7 @@ def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
 
     Only pairs that can win are looked at.
     """
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, 1, None, origins))
+    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins))
     rank = F.struct("distance", "destination")
     return pairs.groupBy("origin").agg(
         F.min_by("destination", rank).alias("destination"), F.min("distance").alias("distance")
@@ -192,7 +192,7 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     with the distinct outer coordinates and a per-group limit; written as plain
     ``WHERE c.tx = a.tx`` it would pull the equalities up and loop over all pairs.
     """
-    tiles = tiles or build_tiles(destinations, 1, max_distance, origins)
+    tiles = tiles or build_tiles(destinations, origins, 1, max_distance)
     best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance

@@ -42,7 +42,6 @@ from geonear.functions.ranking import nearest_slots, useful_cells
 from geonear.session import materialize, materialize_measured
 
 SPLIT = 4  # one round turns a tile into SPLIT x SPLIT tiles, by halving twice
-OPEN_LEVELS = 3  # rounds when the origins are not known
 MAX_LEVEL = 15  # 4**15 steps below the coarsest tile: 5 micrometres for 5 km
 TILE_KEY = ["level", "tx", "ty"]
 COARSE_CELLS = 8  # coarsest grid of an uncapped search, per axis
@@ -55,10 +54,10 @@ def _cell(v: Column, size: float, level: float) -> Column:
 
 @dataclass
 class Tiles:
-    """Finished tiles of one destination table, for one ``k`` and one cap.
+    """Finished tiles for one pair of tables, one ``k`` and one cap.
 
     ``table`` has ``level, tx, ty, candidates``; it is stored on shared storage
-    and can serve any number of origin tables.
+    and can serve any number of queries on those tables.
     """
 
     table: DataFrame
@@ -186,31 +185,26 @@ def _halve(tiles: DataFrame) -> DataFrame:
 
 def build_tiles(
     destinations: DataFrame,
+    origins: DataFrame,
     k: int = 1,
     max_distance: float | None = None,
-    origins: DataFrame | None = None,
     square: bool = False,
     leaf_size: int | None = None,
 ) -> Tiles:
     """Tiles for the ``k`` nearest rows of ``destinations(destination, x, y)``.
 
     With ``max_distance`` only destinations within the circle (``square``: the
-    square) of that radius count.  Without it, ``origins(x, y)`` must be given,
-    as the tiles have to cover them.
-
-    With ``origins`` the tiles serve that table only.  Without, they serve any
-    table, but cutting ends after ``OPEN_LEVELS`` rounds: the lists in crowded
-    places stay longer.  ``leaf_size`` is the list length at which cutting ends
-    (default 128 + 4k, at least 8k); it never limits a result.
+    square) of that radius count.  The tiles serve the points of
+    ``origins(x, y)`` only.  ``leaf_size`` is the list length at which cutting
+    ends (default 128 + 4k, at least 8k); it never limits a result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if max_distance is None and (origins is None or square):
-        raise ValueError("an uncapped search needs the origins, and a square needs a cap")
+    if max_distance is None and square:
+        raise ValueError("a square needs a cap")
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
     leaf_size = max(leaf_size or 128 + 4 * k, 8 * k)
-    last_level = OPEN_LEVELS if origins is None else MAX_LEVEL
     x, y = F.col("x"), F.col("y")
     box = dict(x0=F.min(x), x1=F.max(x), y0=F.min(y), y1=F.max(y))
     points, seen = materialize_measured(
@@ -248,12 +242,12 @@ def build_tiles(
     crowded = _prune(crowded, size, k, max_distance, square)
 
     finished, levels = [], []
-    for level in range(1, last_level + 1):
+    for level in range(1, MAX_LEVEL + 1):
         cell = size / SPLIT**level
         middle = _prune(_halve(crowded), 2 * cell, k, max_distance, square)
         small = _prune(_halve(middle), cell, k, max_distance, square)
         left = F.expr(f"aggregate(cells, 0L, (acc, c) -> acc + c.n) <= {leaf_size}")
-        done = F.lit(True) if level == last_level else left
+        done = F.lit(True) if level == MAX_LEVEL else left
         state, counts = materialize_measured(
             small.withColumn("done", done), f"tiles-level{level}",
             done=F.count_if("done"), crowded=F.count_if(~F.col("done")),
@@ -266,12 +260,10 @@ def build_tiles(
         if not counts["crowded"]:
             break
         tasks = max(1, min(counts["crowded"] // 16, 4 * parallel), counts["crowded"] // 50_000)
-        asked = state.where("not done")
-        if origins is not None:
-            occupied = origins.select(
-                _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
-            ).distinct()
-            asked = asked.join(occupied, ["tx", "ty"], "left_semi")
+        occupied = origins.select(
+            _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
+        ).distinct()
+        asked = state.where("not done").join(occupied, ["tx", "ty"], "left_semi")
         crowded = _with_kids(asked, points, size, level, tasks)
 
     if not finished:

@@ -75,10 +75,9 @@ def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
                   max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Take ``k`` neighbours, then the first of them by (distance, key)."""
     tiles = tiles or build_tiles(destinations, origins, k, max_distance)
-    return nearest_lists(origins, tiles).select(
-        "origin",
-        F.col("nearest")[0]["destination"].alias("destination"),
-        F.col("nearest")[0]["distance"].alias("distance"),
+    seen = tiles.locate(origins.select("origin", "x", "y"))
+    return tiles.nearest(seen, ["origin"], first=1).select("origin", F.inline_outer("nearest")).select(
+        "origin", "destination", "distance"
     )
 
 
@@ -196,17 +195,21 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance
-        FROM {located} a, LATERAL (
+        FROM {outer} a, LATERAL (
             SELECT c.destination,
                    sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) AS distance
-            FROM (SELECT a.x, a.y, a.level, a.tx, a.ty) o
-            JOIN {candidates} c ON c.level = o.level AND c.tx = o.tx AND c.ty = o.ty
+            FROM (SELECT a.ax AS x, a.ay AS y, a.at) o
+            JOIN {candidates} c ON struct(c.level, c.tx, c.ty) = o.at
             WHERE sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) <= {cap}
             ORDER BY distance, c.destination
             LIMIT 1
         ) b
         """,
-        located=tiles.locate(origins.select("origin", "x", "y")),
+        # New column names: shared ones would clash where this result meets
+        # another one of the same origins.
+        outer=tiles.locate(origins.select("origin", "x", "y")).selectExpr(
+            "origin", "x as ax", "y as ay", "struct(level, tx, ty) as at"
+        ),
         candidates=tiles.candidates(), cap=float(max_distance),
     )
     return _round(best, round_to)

@@ -100,11 +100,13 @@ class Tiles:
             return bbox_within(ax, ay, bx, by, self.max_distance)
         return distance(ax, ay, bx, by) <= F.lit(float(self.max_distance))
 
-    def nearest(self, located: DataFrame, keep: list[str], ties: bool = False) -> DataFrame:
+    def nearest(self, located: DataFrame, keep: list[str], ties: bool = False,
+                first: int | None = None) -> DataFrame:
         """``keep`` plus ``nearest``: the ranked ``array<struct<distance, destination>>``.
 
         ``located`` comes from :meth:`locate`.  With ``ties`` the list holds the
-        coordinates of all destinations at the smallest distance instead.
+        coordinates of all destinations at the smallest distance instead.  Only
+        the ``first`` of the ``k`` neighbours are looked up, if given.
         """
         pick = nearest_slots(None if ties else self.k, self.max_distance, self.square)
         met = located.join(self.table, TILE_KEY)
@@ -117,7 +119,8 @@ class Tiles:
             else "named_struct('distance', s.distance, 'destination', candidates[s.slot].destination, "
             "'bx', candidates[s.slot].x, 'by', candidates[s.slot].y)"
         )
-        return found.selectExpr(*keep, f"transform(slots, s -> {value}) as nearest")
+        slots = f"slice(slots, 1, {first})" if first else "slots"
+        return found.selectExpr(*keep, f"transform({slots}, s -> {value}) as nearest")
 
 
 def _reduce_to_k(destinations: DataFrame, k: int) -> DataFrame:

@@ -3,7 +3,8 @@
 Spark does the partitioning, the joins and the grouping; these two functions
 only do the arithmetic of a row's list, for a whole Arrow batch at a time.
 They replace lambda expressions, which Spark evaluates element by element
-outside code generation (measured about ten times slower here).
+outside code generation (about three times slower in a trial of 100 000 rows
+with 24 entries each).
 
 Both are built inside a function, so they reach the workers by value.  They
 are declared non-deterministic only to stop Catalyst from copying the call into

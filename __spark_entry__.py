@@ -19,6 +19,12 @@ from geonear.functions.hexgrid import RES9_EDGE  # noqa: E402
 from geonear.plans.prepare import PROPERTY_SCHEMA  # noqa: E402
 from geonear.session import scratch_path  # noqa: E402
 
+try:  # the corpus operators may be left out of an installation
+    import corpus_pipeline  # noqa: E402
+    from geonear.llm import queries as corpus  # noqa: E402
+except ImportError:
+    corpus = None
+
 R = 5000.0  # the distance cap of the workload, inclusive
 
 
@@ -367,7 +373,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _ALL}
+    own = {q.__name__: q for q in _ALL}
+    return own if corpus is None else own | corpus.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 # --- DuckDB equivalents -----------------------------------------------------------------

@@ -42,7 +42,7 @@ BLOCK_IDS = 1 << 20  # ids of a block; only a document above it makes a larger o
 ROUNDS = 4
 PAIRS_PER_ROUND = 2048
 MIN_COUNT = 16  # occurrences that make a pair worth a rule
-CACHED = 300_000  # slices whose ids a Python worker remembers
+CACHED = 800_000  # slices whose ids a Python worker remembers
 _HASHED = 20  # bits of the table in which pairs are counted first
 
 
@@ -53,17 +53,18 @@ def _ends_as(values, dtype="<u4") -> bytes:
 # --- the grammar ---------------------------------------------------------------
 
 
-def _frequent_pairs(key: np.ndarray, most: int, least: int) -> np.ndarray:
-    """At most ``most`` of the most frequent keys that occur ``least`` times; sorted."""
+def _frequent_pairs(key: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the most frequent keys that occur ``least`` times, sorted; where they can stand."""
     bucket = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _HASHED)).astype(np.int64)
     held = np.bincount(bucket, minlength=1 << _HASHED)
     # No key is more frequent than its bucket: only the fullest buckets are counted exactly.
     full = held[held >= least]
     if len(full) > most:
         least = max(least, int(np.partition(full, len(full) - most)[len(full) - most]))
-    found, count = np.unique(key[held[bucket] >= least], return_counts=True)
+    near = np.flatnonzero(held[bucket] >= least)
+    found, count = np.unique(key[near], return_counts=True)
     found, count = found[count >= least], count[count >= least]
-    return np.sort(found[np.lexsort((found, -count))][:most])
+    return np.sort(found[np.lexsort((found, -count))][:most]), near
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = ROUNDS,
@@ -82,9 +83,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = ROU
     for _ in range(rounds):
         inner = np.flatnonzero(~last[:-1]) if len(symbols) else np.zeros(0, np.int64)
         key = symbols[inner] << 32 | symbols[inner + 1]
-        chosen = _frequent_pairs(key, pairs_per_round, min_count)
+        chosen, near = _frequent_pairs(key, pairs_per_round, min_count)
         if not len(chosen):
             break
+        inner, key = inner[near], key[near]
         rank = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
         hit = chosen[rank] == key
         at, rank = inner[hit], rank[hit]

@@ -12,20 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from geonear.llm.common import runs, texts_of, with_fields
+from geonear.llm.common import slices_of, texts_of, with_fields
 from geonear.llm.pretokens import byte_slices
 
-CHUNK = 1 << 20  # code points split at a time
+CHUNK = 1 << 20  # bytes of text, or of ids, that a worker handles at a time
 CACHED = 400_000  # slices whose ids a Python worker remembers
 LONG = 64  # bytes from which a slice is merged with a heap
 
 
+@lru_cache(maxsize=2)
+def read_ranks(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
+    """The rank file both ways round."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return ranks, {i: b for b, i in ranks.items()}
+
+
+def decode_ids(vocabulary: dict[int, bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(vocabulary.__getitem__, ids.tolist()))
+
+
 class RankCoder:
     """Encodes slices by ``ranks``: bytes to id, the smaller id merging first."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.vocabulary = {i: b for b, i in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         # Every pair of ids that makes a token together, as left << 32 | right.
         pairs = [
@@ -44,8 +55,7 @@ class RankCoder:
     @classmethod
     @lru_cache(maxsize=2)
     def load(cls, path: str) -> RankCoder:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        return cls(read_ranks(path)[0])
 
     def merge_one(self, piece: bytes) -> bytes:
         """Ids of one slice in time ``n log n``: smallest rank first, leftmost among equals."""
@@ -117,18 +127,18 @@ class RankCoder:
     def ids_of(self, slices: list[bytes]) -> list[bytes]:
         """Ids of every slice, as little-endian 32-bit numbers."""
         cache = self._cache
-        new = [s for s in set(slices) if s not in cache]
-        if new:
+        values = list(map(cache.get, slices))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            new = list({slices[i] for i in missing})
             if len(cache) + len(new) > self._fixed + CACHED:
-                wanted = {s: cache[s] for s in set(slices) if s in cache}
-                cache = self._cache = {b: i.to_bytes(4, "little") for b, i in self.ranks.items()} | wanted
+                cache = self._cache = {b: i.to_bytes(4, "little") for b, i in self.ranks.items()}
             short = [s for s in new if len(s) < LONG]
             cache.update(zip(short, self.merge_many(short)))
             cache.update((s, self.merge_one(s)) for s in new if len(s) >= LONG)
-        return list(map(cache.__getitem__, slices))
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+            for i in missing:
+                values[i] = cache[slices[i]]
+        return values
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
@@ -145,19 +155,17 @@ def bpe_encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Data
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = RankCoder.load(ranks_path)
-        for batch in batches:
-            texts = texts_of(batch, text_col)
+        for batch in slices_of(batches, text_col, CHUNK):
             columns: tuple[list, list, list] = ([], [], [])
-            for a, b in runs(map(len, texts), CHUNK):
-                slices, first, offset = byte_slices(texts[a:b])
-                values = coder.ids_of(slices)
-                sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-                before = np.cumsum(sizes) - sizes
-                bounds = first.tolist()
-                for i, j in zip(bounds, bounds[1:]):
-                    columns[0].append(b"".join(values[i:j]))
-                    columns[1].append(offset[i:j].astype("<u4").tobytes())
-                    columns[2].append((before[i:j] - (before[i] if i < j else 0)).astype("<u4").tobytes())
+            slices, first, offset = byte_slices(texts_of(batch, text_col))
+            values = coder.ids_of(slices)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            before = np.cumsum(sizes) - sizes
+            bounds = first.tolist()
+            for i, j in zip(bounds, bounds[1:]):
+                columns[0].append(b"".join(values[i:j]))
+                columns[1].append(offset[i:j].astype("<u4").tobytes())
+                columns[2].append((before[i:j] - (before[i] if i < j else 0)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, pa.binary()) for c in columns)],
                 names=[*batch.schema.names, "ids", "slice_bytes", "slice_ids"])
@@ -171,9 +179,9 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_co
     base = encoded.drop(out_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RankCoder.load(ranks_path)
-        for batch in batches:
-            found = [coder.decode(np.frombuffer(v or b"", "<u4")) for v in batch.column(ids_col).to_pylist()]
+        vocabulary = read_ranks(ranks_path)[1]
+        for batch in slices_of(batches, ids_col, CHUNK):
+            found = [decode_ids(vocabulary, np.frombuffer(v or b"", "<u4")) for v in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out_col])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,18 @@ def runs(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, i + 1
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], name: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of one string or binary column.
+
+    A worker then holds the results of one such slice, not of a whole batch. A
+    longer value makes a batch of its own.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+        for a, b in runs(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
 def with_fields(df: DataFrame, **fields: T.DataType) -> T.StructType:
     """The schema of ``df`` with fields added, all nullable."""
     kept = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]

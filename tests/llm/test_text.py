@@ -237,7 +237,7 @@ def test_bpe_frames_round_trip(spark, coder):
         for k in range(len(at)):  # every slice decodes by itself
             end = at[k + 1] if k + 1 < len(at) else len(text.encode())
             part = ids[before[k]:before[k + 1] if k + 1 < len(at) else None]
-            assert own.decode(part) == text.encode()[at[k]:end]
+            assert bytebpe.decode_ids(bytebpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))[1], part) == text.encode()[at[k]:end]
     assert bytebpe.bpe_encode(docs.limit(0), tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 

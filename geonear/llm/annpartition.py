@@ -151,6 +151,23 @@ def fit_router(sample: np.ndarray, partitions: int, k: int = 20, target: float =
     return router
 
 
+def inner_products(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of all rows, summed in the same order wherever a pair stands: equal vectors get equal sums."""
+    out = np.zeros((len(y), len(x)))
+    for a, b in zip(y.T, np.ascontiguousarray(x.T)):
+        out += a[:, None] * b[None, :]
+    return out
+
+
+def best_of(asking: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+    """Per query the positions in ``ids`` (ascending) of its ``k`` best rows, their scores, and which are any."""
+    s = inner_products(y, x)
+    s[asking[:, None] == ids[None, :]] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    score = np.take_along_axis(s, best, axis=1)
+    return best, score, score > -np.inf
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -187,7 +204,9 @@ def nearest_vectors(
     ``target_recall`` on sampled rows kept from the fit. Parts are compared in
     blocks of ``BLOCK_ROWS`` rows with blocks of as many queries, so a part
     with a third of the rows is the work of many tasks; each pair of blocks
-    sends on ``k`` rows per query. A repeated id asks once; its rows are candidates each.
+    sends on at most ``k`` rows per query, and none that scores below the
+    query's ``k``-th in the sample, whose own finds count too. A repeated id
+    asks once and is one candidate, with its best score.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<float>")
@@ -205,19 +224,39 @@ def nearest_vectors(
     n = rows.count()
     sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).toArrow()
     parts = min(MAX_PARTITIONS, max(1, n // ROWS_PER_PARTITION))
-    sent = spark.sparkContext.broadcast(fit_router(_matrix(sample.column("v"), dim), parts, k, target_recall))
-    parts, probes = sent.value.partitions, sent.value.probes
+    seen = np.argsort(sample.column("id").to_numpy(), kind="stable")
+    seen_ids, seen_rows = sample.column("id").to_numpy()[seen], _matrix(sample.column("v"), dim)[seen]
+    sent = spark.sparkContext.broadcast((fit_router(seen_rows, parts, k, target_recall), seen_ids, seen_rows))
+    parts, probes = sent.value[0].partitions, sent.value[0].probes
 
     def place(batches):
+        router, ids, x = sent.value
         for batch in batches:
-            best = sent.value.ranked(_matrix(batch.column("v"), dim), probes).astype(np.int32)
+            vectors_here = _matrix(batch.column("v"), dim)
+            best = router.ranked(vectors_here, probes).astype(np.int32)
+            # Only a query needs more than its own part.
+            wanted = np.where(batch.column("q").to_numpy(zero_copy_only=False), probes, 1)
+            parts = best[np.arange(probes)[None, :] < wanted[:, None]]
+            ends = np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)
+            # What a query finds in the sample: its least score bounds what else is worth sending.
+            seeds: list = [None] * len(best)
+            asking = np.flatnonzero(wanted == probes) if probes > 1 else np.flatnonzero(
+                batch.column("q").to_numpy(zero_copy_only=False))
+            own = batch.column("id").to_numpy(zero_copy_only=False)
+            for i in range(0, len(asking), 64):
+                rows_here = asking[i:i + 64]
+                at, score, any_ = best_of(own[rows_here], vectors_here[rows_here], ids, x, k)
+                for r, a, sc, ok in zip(rows_here.tolist(), at, score, any_):
+                    seeds[r] = [{"vec_id": j, "score": v} for j, v in zip(ids[a[ok]].tolist(), sc[ok].tolist())]
+            kind_of = pa.list_(pa.struct([("vec_id", batch.schema.field("id").type), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(np.arange(len(best) + 1) * probes, best.reshape(-1))],
-                names=["id", "v", "q", "parts"])
+                [*batch.columns, pa.ListArray.from_arrays(ends, parts), pa.array(seeds, kind_of)],
+                names=["id", "v", "q", "parts", "seeds"])
 
     kind = id_type.simpleString()
     placed, _ = materialize_measured(
-        rows.mapInArrow(place, f"id {kind}, v array<float>, q boolean, parts array<int>"), "vectors", n=F.count("*"))
+        rows.mapInArrow(place, f"id {kind}, v array<float>, q boolean, parts array<int>, "
+                              f"seeds array<struct<vec_id: {kind}, score: double>>"), "vectors", n=F.count("*"))
     home, asked = F.col("parts")[0], F.explode("parts").alias("part")
     counts = {r["part"]: r for r in placed.select(F.col("q"), asked, home.alias("home")).groupBy("part").agg(
         F.count_if(F.col("part") == F.col("home")).alias("rows"), F.count_if("q").alias("queries")).collect()}
@@ -229,8 +268,9 @@ def nearest_vectors(
     candidates = placed.select("id", "v", home.alias("part")).select(
         "id", "v", "part", F.pmod(dealt, of_rows).alias("row_block"),
         F.explode(F.sequence(F.lit(0).cast("long"), of_queries - 1)).alias("query_block"))
-    queries = placed.where("q").dropDuplicates(["id"]).select("id", "v", asked).select(
-        "id", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), of_rows - 1)).alias("row_block"),
+    bound = F.when(F.size("seeds") >= k, F.element_at("seeds", k)["score"]).otherwise(float("-inf"))
+    queries = placed.where("q").dropDuplicates(["id"]).select("id", "v", bound.alias("bound"), asked).select(
+        "id", "v", "bound", "part", F.explode(F.sequence(F.lit(0).cast("long"), of_rows - 1)).alias("row_block"),
         F.pmod(dealt, of_queries).alias("query_block"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,15 +278,12 @@ def nearest_vectors(
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], _matrix(left.column("v"), dim)[order] if len(order) else np.zeros((0, dim))
         y = _matrix(right.column("v"), dim) if len(asking) else np.zeros((0, dim))
+        bounds = right.column("bound").to_numpy()
         found = []
         for i in range(0, len(asking) if len(ids) else 0, 64):
-            # No BLAS: equal vectors must get equal sums wherever they stand.
-            s = np.einsum("qd,nd->qn", y[i:i + 64], x)
             own = asking[i:i + 64]
-            s[own[:, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(s, best, axis=1)
-            keep = score > -np.inf
+            best, score, any_ = best_of(own, y[i:i + 64], ids, x, k)
+            keep = any_ & (score >= bounds[i:i + 64, None])
             found.append((np.repeat(own, keep.sum(axis=1)), ids[best][keep], score[keep]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [ids[:0], ids[:0], np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
@@ -254,6 +291,8 @@ def nearest_vectors(
     key = ["part", "row_block", "query_block"]
     met = candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(
         compare, f"query_id {kind}, vec_id {kind}, score double")
+    seeds = placed.where("q").select(F.col("id").alias("query_id"), F.inline("seeds"))
+    met = met.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -51,7 +51,7 @@ def library_classes() -> np.ndarray:
 @lru_cache(maxsize=1)
 def _machine() -> tuple[np.ndarray, np.ndarray]:
     """Next state and "a slice starts here", both indexed ``symbol * 8 + state``."""
-    to = np.zeros((16, 8), np.uint8)
+    to = np.zeros((16, 8), np.int64)
     cut = np.ones((16, 8), bool)
     runs = {_WORD: _IN_WORD, _DIGITS: _IN_DIGITS, _MARKS: _IN_MARKS}
     for symbol, state in runs.items():
@@ -114,7 +114,7 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     # One map of the states per block, all blocks at once.
     maps = np.tile(np.arange(8), (rows, 1))
     for step in symbol:
-        maps = to[step[:, None] + maps].astype(np.int64)
+        maps = to[step[:, None] + maps]
     # Inclusive scan over the blocks: after it, maps[i] is blocks 0..i composed.
     reach = 1
     while reach < rows:
@@ -125,7 +125,7 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for i, step in enumerate(symbol):
         at = step + state
         found[i] = cut[at]
-        state = to[at].astype(np.int64)
+        state = to[at]
     return np.flatnonzero(found.T.reshape(-1)[:n])
 
 

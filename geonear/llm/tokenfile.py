@@ -175,13 +175,17 @@ def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
     out: list[bytes] = []
     for a, b in runs(map(len, texts), CHUNK):
         slices, first, _ = byte_slices(texts[a:b])
-        new = [s for s in set(slices) if s not in cache]
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = list(set(slices))
-        found = tokenizer.encode_batch_fast([s.decode("utf-8", "surrogatepass") for s in new], add_special_tokens=False)
-        cache.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(new, found))
-        values = list(map(cache.__getitem__, slices))
+        values = list(map(cache.get, slices))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            new = list({slices[i] for i in missing})
+            if len(cache) + len(new) > CACHED:
+                cache.clear()
+            found = tokenizer.encode_batch_fast([s.decode("utf-8", "surrogatepass") for s in new],
+                                                add_special_tokens=False)
+            cache.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(new, found))
+            for i in missing:
+                values[i] = cache[slices[i]]
         bounds = first.tolist()
         out += [b"".join(values[i:j]) for i, j in zip(bounds, bounds[1:])]
     return out

@@ -16,7 +16,7 @@ import fixtures as fx  # noqa: E402
 import geonear as g  # noqa: E402
 from geonear.functions.geometry import srid_of  # noqa: E402
 from geonear.functions.hexgrid import RES9_EDGE  # noqa: E402
-from geonear.plans.prepare import PROPERTY_SCHEMA  # noqa: E402
+from geonear.plans.prepare import POSTCODE_SCHEMA, PROPERTY_SCHEMA  # noqa: E402
 from geonear.session import scratch_path  # noqa: E402
 
 try:  # the corpus operators may be left out of an installation
@@ -234,10 +234,9 @@ def udf_sql_functions(spark, sf_dir):
 
 def src_csv_header(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    raw = fx.origins(spark, sf_dir).selectExpr(
-        "origin as UPRN", "x as X_COORDINATE", "y as Y_COORDINATE")
-    raw.write.option("header", True).csv(path)
-    return g.read_points_csv(spark, path)
+    _raw_properties(spark, sf_dir).write.option("header", True).csv(path)
+    return g.read_points_csv(spark, path).withColumns(
+        {c: F.col(c).cast("double") for c in ("LATITUDE", "LONGITUDE")})
 
 
 def src_csv_pipe(spark, sf_dir):
@@ -315,12 +314,17 @@ def prep_job(spark, sf_dir):
 
 
 def load_job(spark, sf_dir):
-    origins, _ = _prepared(spark, sf_dir)
-    table = scratch_path(spark, "serving")
-    # The second load finds every key present and adds nothing.
-    g.load_serving_table(spark, origins, table, "uprn", PROPERTY_SCHEMA)
-    loaded = g.load_serving_table(spark, origins, table, "uprn", PROPERTY_SCHEMA)
-    return loaded.drop("geom")
+    prepared = _prepared(spark, sf_dir)
+    folder, parts = scratch_path(spark, "serving"), []
+    for kind, orc, key, schema in zip(("origin", "destination"), prepared, ("uprn", "postcode"),
+                                      (PROPERTY_SCHEMA, POSTCODE_SCHEMA)):
+        # The second load finds every key present and adds nothing.
+        g.load_serving_table(spark, orc, f"{folder}/{kind}", key, schema)
+        loaded = g.load_serving_table(spark, orc, f"{folder}/{kind}", key, schema)
+        more = ["lat", "lon"] if kind == "origin" else ["cast(null as double) as lat", "cast(null as double) as lon"]
+        parts.append(loaded.selectExpr(f"'{kind}' as kind", f"cast({key} as string) as id", "geom.x as x",
+                                       "geom.y as y", *more, "wkt"))
+    return parts[0].unionByName(parts[1])
 
 
 def _hex_and_reference(spark, sf_dir):
@@ -506,7 +510,7 @@ def oracle_sql() -> dict[str, str]:
         on o_custkey = c_custkey"""
     sq = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
     point_rows = "select origin, x, y from origins"
-    return {
+    own = {
         "agg_first_per_key": """select o_custkey, o_orderkey, o_totalprice, o_orderstatus from orders
             qualify row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) = 1""",
         "agg_last_per_key": """select o_custkey, o_orderkey, o_totalprice, o_orderstatus from orders
@@ -565,8 +569,13 @@ def oracle_sql() -> dict[str, str]:
         "knn_unbounded": fx.sql(free),
         "knn_window": fx.sql(rounded),
         "load_job": fx.sql(
-            """select origin as uprn, x as easting, y as northing, y / 1e5 as lat, x / 1e5 as lon,
-                'POINT(' || x || ' ' || y || ')' as wkt from inside""",
+            f"""select 'origin' as kind, cast(origin as varchar) as id, x, y, y / 1e5 as lat, x / 1e5 as lon,
+                'POINT(' || x || ' ' || y || ')' as wkt from inside
+            union all
+            select 'destination', string_agg(destination, ',' order by destination), x, y, null, null,
+                'POINT(' || x || ' ' || y || ')'
+            from ({fx.sql_inside('raw_destinations', 'destination')}) where name = 'Alpha'
+            group by x, y""",
             fx.sql_edges(), property_rows),
         "nearest_all_ties": fx.sql(ties, coarse=True),
         "prep_job": fx.sql(
@@ -585,7 +594,8 @@ def oracle_sql() -> dict[str, str]:
         "sink_table_ctas": fx.sql(rounded),
         "src_copy_by_name": fx.sql(point_rows),
         "src_csv_header": fx.sql("""select cast(origin as varchar) as "UPRN",
-            x as "X_COORDINATE", y as "Y_COORDINATE" from origins"""),
+            x as "X_COORDINATE", y as "Y_COORDINATE", y / 1e5 as "LATITUDE", x / 1e5 as "LONGITUDE"
+            from origins"""),
         "src_csv_pipe": fx.sql("""select destination as postcode, x as x0, y as y0,
             'POINT(' || x || ' ' || y || ')' as wkt, x, y from destinations"""),
         "src_geopackage": fx.sql(
@@ -593,3 +603,4 @@ def oracle_sql() -> dict[str, str]:
         "src_orc_roundtrip": fx.sql(point_rows),
         "udf_sql_functions": fx.sql(rounded),
     }
+    return own if corpus is None else own | corpus.ORACLE_SQL

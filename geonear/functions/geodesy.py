@@ -36,7 +36,8 @@ def geodesic_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
         h = F.pow(F.sin((b - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(
             F.sin((p - o) / 2), F.lit(2.0)
         )
-        return 2 * EARTH_RADIUS * F.asin(F.sqrt(h))
+        # Rounding can lift h above 1 for antipodes.
+        return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
     f, g, l = (a + b) / 2, (a - b) / 2, (o - p) / 2
     sq = lambda v: F.pow(v, F.lit(2.0))
     s = sq(F.sin(g)) * sq(F.cos(l)) + sq(F.cos(f)) * sq(F.sin(l))

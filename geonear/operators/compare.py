@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,24 +37,39 @@ def compare_methods(results: dict[str, DataFrame], reference: DataFrame) -> Data
     """Per method: rows, mismatches against ``reference`` and whether it agrees.
 
     The rule is that of :func:`check`, for all methods in one grouping by
-    origin instead of one outer join each.
+    origin instead of one outer join each: a method may have any number of rows
+    for an origin, each of which counts; an origin that only the reference has
+    is one mismatch; a NULL destination agrees with nothing.  ``reference`` has
+    one row per origin at most.
     """
     tagged = [reference.select(F.lit("").alias("method"), "origin", "destination")]
     tagged += [r.select(F.lit(m).alias("method"), "origin", "destination") for m, r in results.items()]
     stacked = reduce(DataFrame.unionByName, tagged)
-    # One short list per origin: at most one row per method.
-    per_origin = stacked.groupBy("origin").agg(
-        F.map_from_entries(F.collect_list(F.struct("method", "destination"))).alias("found")
+    # Equal answers are counted first, so an origin has few rows however often it is repeated.
+    answers = stacked.groupBy("origin", "method", "destination").agg(F.count("*").alias("n"))
+    is_reference = F.col("method") == ""
+    same_origin = Window.partitionBy("origin")
+    seen = answers.withColumns({
+        "expected": F.max(F.when(is_reference, F.col("destination"))).over(same_origin),
+        "known": F.max(is_reference).over(same_origin),
+    })
+    same = F.coalesce(F.col("destination") == F.col("expected"), F.lit(False))
+    per_origin = seen.groupBy("origin", "method", "known").agg(
+        F.sum("n").alias("n"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("bad")
     )
-    names = F.array(*[F.lit(m) for m in results])
-    pairs = per_origin.select(
-        F.explode(names).alias("method"), F.col("found")[""].alias("expected"), "found"
-    ).select("method", "expected", F.col("found")[F.col("method")].alias("got"))
-    return (
-        pairs.groupBy("method")
-        .agg(
-            F.count("got").alias("n_rows"),
-            F.count_if(~F.col("expected").eqNullSafe(F.col("got"))).alias("n_mismatch"),
-        )
-        .withColumn("agrees", F.col("n_mismatch") == 0)
+    totals = per_origin.groupBy("method").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_if("known").alias("met")
     )
+    # One row per method: a method without any row must be reported too.
+    names = reference.sparkSession.createDataFrame([(m,) for m in results], "method string")
+    everything = Window.partitionBy(F.lit(0))
+    counted = names.unionByName(names.sparkSession.createDataFrame([("",)], "method string")).join(
+        totals, "method", "left")
+    found = counted.withColumn(
+        "expected", F.coalesce(F.max(F.when(is_reference, F.col("met"))).over(everything), F.lit(0))
+    ).where(~is_reference)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return found.select(
+        "method", zero(F.col("n")).alias("n_rows"),
+        (zero(F.col("bad")) + F.col("expected") - zero(F.col("met"))).cast("long").alias("n_mismatch"),
+    ).withColumn("agrees", F.col("n_mismatch") == 0)

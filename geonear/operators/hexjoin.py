@@ -26,7 +26,8 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
     If the true nearest lies in the disk it is the answer, so the cell join is
     run only for origins whose nearest destination is outside their disk.
     """
-    tiles = tiles or build_tiles(destinations, origins, 1, max_distance)
+    tiles = (build_tiles(destinations, origins, 1, max_distance) if tiles is None
+             else tiles.require(destinations, origins, 1, max_distance, False))
     best = nearest_lists(origins, tiles).select("origin", "x", "y", F.inline_outer("nearest"))
     if exact:
         found = best

@@ -24,6 +24,13 @@ def _round(df: DataFrame, digits: int | None) -> DataFrame:
     return df.withColumn("distance", F.round("distance", digits))
 
 
+def _tiles(tiles: Tiles | None, destinations: DataFrame | None, origins: DataFrame, k: int | None,
+           max_distance: float | None, square: bool = False) -> Tiles:
+    if tiles is None:
+        return build_tiles(destinations, origins, k or 1, max_distance, square)
+    return tiles.require(destinations, origins, k, max_distance, square)
+
+
 def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataFrame:
     """``(origin, x, y, nearest)``: the ranked neighbours of each origin as an array.
 
@@ -34,29 +41,34 @@ def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataF
     seen = origins.select("origin", "x", "y")
     found = tiles.nearest(tiles.locate(seen), ["origin", "x", "y"])
     if how == "left":
-        found = seen.join(found.select("origin", "nearest"), "origin", "left")
+        # By coordinates, on which alone a list depends: ids may be NULL or repeat.
+        spots = seen.select("x", "y").distinct()
+        lists = tiles.nearest(tiles.locate(spots), ["x", "y"])
+        found = seen.join(lists, ["x", "y"], "left").select("origin", "x", "y", "nearest")
     return found
 
 
+def _neighbours(lists: DataFrame, round_to: int | None = None) -> DataFrame:
+    # Lists are never empty, so "outer" adds no row; it only keeps Catalyst from
+    # inferring a filter that would build the list a second time.
+    rows = lists.select("origin", F.inline_outer("nearest"))
+    return _round(rows.select("origin", "destination", "distance"), round_to)
+
+
 def knn_join(
     origins: DataFrame,
     destinations: DataFrame,
-    k: int = 1,
+    k: int | None = None,
     max_distance: float | None = None,
     how: str = "inner",
     round_to: int | None = None,
     tiles: Tiles | None = None,
 ) -> DataFrame:
-    """The ``k`` nearest destinations of every origin, one row per neighbour.
+    """The ``k`` (default 1, or that of the tiles) nearest destinations of every origin.
 
-    ``how="left"`` keeps origins without a match, with NULLs.
+    One row per neighbour.  ``how="left"`` keeps origins without a match, with NULLs.
     """
-    tiles = tiles or build_tiles(destinations, origins, k, max_distance)
-    lists = nearest_lists(origins, tiles, how)
-    # Lists are never empty, so "outer" adds no row; it only keeps Catalyst from
-    # inferring a filter that would build the list a second time.
-    rows = lists.select("origin", F.inline_outer("nearest"))
-    return _round(rows.select("origin", "destination", "distance"), round_to)
+    return _neighbours(nearest_lists(origins, _tiles(tiles, destinations, origins, k, max_distance), how), round_to)
 
 
 def nearest(
@@ -74,7 +86,7 @@ def nearest(
 def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
                   max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Take ``k`` neighbours, then the first of them by (distance, key)."""
-    tiles = tiles or build_tiles(destinations, origins, k, max_distance)
+    tiles = _tiles(tiles, destinations, origins, k, max_distance)
     seen = tiles.locate(origins.select("origin", "x", "y"))
     return tiles.nearest(seen, ["origin"], first=1).select("origin", F.inline_outer("nearest")).select(
         "origin", "destination", "distance"
@@ -87,7 +99,7 @@ def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
 
     Rounding makes extra ties, which the key then decides.
     """
-    tiles = tiles or build_tiles(destinations, origins, k)
+    tiles = _tiles(tiles, destinations, origins, k, None)
     rounded = F.transform(
         "nearest",
         lambda m: F.struct(
@@ -104,14 +116,14 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
-    tiles = tiles or build_tiles(destinations, origins, 1, max_distance, square=True)
-    return knn_join(origins, destinations, tiles=tiles)
+    tiles = _tiles(tiles, destinations, origins, 1, max_distance, square=True)
+    return _neighbours(nearest_lists(origins, tiles))
 
 
 def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
                      max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Every destination at the smallest distance, several rows per origin if tied."""
-    tiles = tiles or build_tiles(destinations, origins, 1, max_distance)
+    tiles = _tiles(tiles, destinations, origins, 1, max_distance)
     seen = origins.select("origin", "x", "y")
     spots = tiles.nearest(tiles.locate(seen), ["origin"], ties=True).select(
         "origin", F.inline_outer("nearest")
@@ -145,7 +157,7 @@ def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
                       round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins, 1, max_distance))
+    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, max_distance))
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
@@ -154,7 +166,7 @@ def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance:
 def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins, 1, max_distance))
+    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, max_distance))
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
@@ -175,7 +187,7 @@ def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
 
     Only pairs that can win are looked at.
     """
-    pairs = candidate_pairs(origins, tiles or build_tiles(destinations, origins))
+    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, None))
     rank = F.struct("distance", "destination")
     return pairs.groupBy("origin").agg(
         F.min_by("destination", rank).alias("destination"), F.min("distance").alias("distance")
@@ -191,7 +203,7 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     with the distinct outer coordinates and a per-group limit; written as plain
     ``WHERE c.tx = a.tx`` it would pull the equalities up and loop over all pairs.
     """
-    tiles = tiles or build_tiles(destinations, origins, 1, max_distance)
+    tiles = _tiles(tiles, destinations, origins, 1, max_distance)
     best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance

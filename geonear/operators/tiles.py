@@ -47,6 +47,11 @@ TILE_KEY = ["level", "tx", "ty"]
 COARSE_CELLS = 8  # coarsest grid of an uncapped search, per axis
 
 
+def located(name: str) -> Column:
+    """Whether a coordinate is a number: rows with NULL, NaN or infinite ones lie nowhere."""
+    return F.coalesce(F.abs(name) < F.lit(math.inf), F.lit(False))
+
+
 def _cell(v: Column, size: float, level: float) -> Column:
     # Scaling by a power of two is exact, so the levels nest exactly.
     return F.floor(v / F.lit(float(size)) * F.lit(float(SPLIT**level)))
@@ -66,6 +71,25 @@ class Tiles:
     k: int
     max_distance: float | None
     square: bool
+    destinations: DataFrame | None = None
+    origins: DataFrame | None = None
+
+    def require(self, destinations: DataFrame | None, origins: DataFrame | None, k: int | None,
+                max_distance: float | None, square: bool) -> Tiles:
+        """These tiles, if they are the ones such a query needs; else an error.
+
+        ``k`` and ``max_distance`` may be ``None`` for "those of the tiles".
+        Tiles without an origin aren't kept, so other origins would lose rows.
+        """
+        asked = {"k": k, "max_distance": max_distance, "square": square}
+        for name, value in asked.items():
+            if value is not None and value != getattr(self, name):
+                raise ValueError(f"the tiles were built for {name}={getattr(self, name)}, not {value}")
+        for name, df in (("destinations", destinations), ("origins", origins)):
+            own = getattr(self, name)
+            if df is not None and own is not None and not df.sameSemantics(own):
+                raise ValueError(f"the tiles were built for other {name}")
+        return self
 
     def scale(self, level: int) -> float:
         """Tiles of ``level`` per coarsest cell and axis."""
@@ -82,6 +106,7 @@ class Tiles:
             f"floor(y / {self.size!r}D * {self.scale(level)!r}D) as ty)"
             for level in self.levels
         ]
+        origins = origins.where(located("x") & located("y"))
         if len(keys) == 1:
             return origins.selectExpr("*", f"{keys[0]} as __t").select("*", "__t.*").drop("__t")
         return origins.selectExpr("*", f"inline(array({', '.join(keys)}))")
@@ -129,7 +154,7 @@ def _reduce_to_k(destinations: DataFrame, k: int) -> DataFrame:
     Both forms combine before the shuffle, so a coordinate shared by any number
     of rows sends at most ``k`` of them per task.
     """
-    known = destinations.select("destination", "x", "y").where("x is not null and y is not null")
+    known = destinations.select("destination", "x", "y").where(located("x") & located("y"))
     if k == 1:
         kept = known.groupBy("x", "y").agg(F.array(F.min("destination")).alias("keys"))
     else:
@@ -198,7 +223,10 @@ def build_tiles(
 
     With ``max_distance`` only destinations within the circle (``square``: the
     square) of that radius count.  The tiles serve the points of
-    ``origins(x, y)`` only.  ``leaf_size`` is the list length at which cutting
+    ``origins(x, y)`` only; passing them to a query on other tables, or of
+    another ``k`` or cap, is an error.  Rows whose coordinates are NULL, NaN or
+    infinite have no neighbours.  The tiles are built by several jobs before
+    this returns.  ``leaf_size`` is the list length at which cutting
     ends (default 128 + 4k, at least 8k); it never limits a result.
     """
     if k < 1:
@@ -213,8 +241,12 @@ def build_tiles(
     points, seen = materialize_measured(
         _reduce_to_k(destinations, k), "points", rows=F.count("*"), **box
     )
+    bound = dict(destinations=destinations, origins=origins)
     if not seen["rows"]:
-        return Tiles(_no_tiles(destinations), 1.0, [0], k, max_distance, square)
+        return Tiles(_no_tiles(destinations), 1.0, [0], k, max_distance, square, **bound)
+    # The origins' source is read here once, whatever the number of rounds.
+    spots, asked_box = materialize_measured(
+        origins.select("x", "y").where(located("x") & located("y")).distinct(), "asked", **box)
 
     if max_distance is not None:
         size, reach = _capped_grid(seen, float(max_distance))
@@ -223,9 +255,8 @@ def build_tiles(
         for t, q in (("tx", "qx"), ("ty", "qy")):
             start = start.selectExpr("*", f"explode(sequence({q} - {reach}, {q} + {reach})) as {t}")
     else:
-        asked = origins.agg(*[m.alias(name) for name, m in box.items()]).first().asDict()
         span = {
-            side: pick(v for v in (asked[side], seen[side]) if v is not None)
+            side: pick(v for v in (asked_box[side], seen[side]) if v is not None)
             for side, pick in (("x0", min), ("x1", max), ("y0", min), ("y1", max))
         }
         width = max(span["x1"] - span["x0"], span["y1"] - span["y0"])
@@ -255,23 +286,25 @@ def build_tiles(
             small.withColumn("done", done), f"tiles-level{level}",
             done=F.count_if("done"), crowded=F.count_if(~F.col("done")),
         )
+        occupied = spots.select(
+            _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
+        ).distinct()
         if counts["done"]:
             levels.append(level)
+            # A tile without origins would never be met.
             finished.append(
-                state.where("done").select(F.lit(level).alias("level"), "tx", "ty", "cells")
+                state.where("done").join(occupied, ["tx", "ty"], "left_semi")
+                .select(F.lit(level).alias("level"), "tx", "ty", "cells")
             )
         if not counts["crowded"]:
             break
         tasks = max(1, min(counts["crowded"] // 16, 4 * parallel), counts["crowded"] // 50_000)
-        occupied = origins.select(
-            _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
-        ).distinct()
         asked = state.where("not done").join(occupied, ["tx", "ty"], "left_semi")
         crowded = _with_kids(asked, points, size, level, tasks)
 
     if not finished:
-        return Tiles(_no_tiles(destinations), size, [0], k, max_distance, square)
-    return Tiles(_fill(points, finished, levels, size), size, levels, k, max_distance, square)
+        return Tiles(_no_tiles(destinations), size, [0], k, max_distance, square, **bound)
+    return Tiles(_fill(points, finished, levels, size), size, levels, k, max_distance, square, **bound)
 
 
 def _capped_grid(seen: dict, cap: float) -> tuple[float, int]:

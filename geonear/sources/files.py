@@ -121,7 +121,12 @@ def save_result_table(df: DataFrame, name: str, path: str | None = None) -> None
 
 
 def new_keys(existing: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows of ``batch`` to insert: the first per key (in ``order``), unknown keys only."""
+    """Rows of ``batch`` to insert: the first per key (in ``order``), unknown keys only.
+
+    The key is a primary key: a NULL in it is an error, raised when the rows are read.
+    """
+    known = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is NULL"))).otherwise(F.col(key))
+    batch = batch.withColumn(key, known.cast(batch.schema[key].dataType))
     first = Window.partitionBy(key).orderBy(*order)
     once = batch.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
     return once.join(existing.select(key), key, "left_anti")

@@ -58,14 +58,13 @@ def _source_class():
             parts = []
             for path in self.files:
                 with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    low, high = db.execute(
-                        f'select min(rowid), max(rowid) from "{self.table}"'
-                    ).fetchone()
-                if low is not None:
-                    parts += [
-                        Rows(path, first, min(first + self.rows - 1, high))
-                        for first in range(low, high + 1, self.rows)
-                    ]
+                    # Ranges of rows that exist: ids may leave gaps of any size.
+                    ranges = db.execute(
+                        f'select min(id), max(id) from (select rowid as id, '
+                        f'(row_number() over (order by rowid) - 1) / ? as part from "{self.table}") '
+                        'group by part', (self.rows,)
+                    ).fetchall()
+                parts += [Rows(path, first, last) for first, last in ranges]
             return parts or [Rows(None, 0, -1)]
 
         def read(self, partition):
@@ -79,7 +78,12 @@ def _source_class():
                 return
             target = to_arrow_schema(self.schema)
             key, geometry, plain = layer_columns(partition.path, self.table)
-            names = ", ".join(f'"{n}"' for n in (key, *[p[0] for p in plain], geometry))
+            # By name: files of a layer may hold its columns in another order.
+            wanted = [f.name for f in target][:-2]
+            missing = set(wanted) - {key, *[p[0] for p in plain]}
+            if missing:
+                raise ValueError(f"{partition.path} lacks columns {sorted(missing)} of {self.table!r}")
+            names = ", ".join(f'"{n}"' for n in (*wanted, geometry))
             # Bytes of the envelope by its code in the header's flags.
             envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
             with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:

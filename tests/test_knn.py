@@ -60,10 +60,10 @@ def test_hot_cells_keep_candidate_lists_short(make):
     sparse = [(f"Z{i:05d}", rng.uniform(0, 10000), rng.uniform(0, 10000)) for i in range(60)]
     origins = [(1, 4990.0, 4990.0), (2, 100.0, 101.0), (3, 5000.5, 5000.5), (4, 2500.0, 4000.0)]
     everything = make(crowd + spot + sparse, "destination")
-    tiles = g.build_tiles(everything, make(origins, "origin"), 1, 5000.0, leaf_size=64)
+    tiles = g.build_tiles(everything, asking := make(origins, "origin"), 1, 5000.0, leaf_size=64)
     longest = tiles.table.selectExpr("max(size(candidates)) as n").first().n
     assert longest <= 64
-    found = rows(g.knn_join(make(origins, "origin"), None, tiles=tiles))
+    found = rows(g.knn_join(asking, None, tiles=tiles))
     assert found == brute(origins, crowd + spot + sparse, 1, 5000.0)
 
 

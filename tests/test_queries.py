@@ -31,10 +31,11 @@ def canonical(names, rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert {q.__name__ for q in contract._ALL} <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     answer = duck.sql(contract.oracle_sql()[name])

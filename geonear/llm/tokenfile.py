@@ -43,6 +43,7 @@ ROUNDS = 4
 PAIRS_PER_ROUND = 2048
 MIN_COUNT = 16  # occurrences that make a pair worth a rule
 CACHED = 800_000  # slices whose ids a Python worker remembers
+JOINED = 256  # words that the tokenizer is asked for in one text
 _HASHED = 20  # bits of the table in which pairs are counted first
 
 
@@ -165,13 +166,56 @@ def _tokenizer(path: str):
     return found, {}
 
 
+@lru_cache(maxsize=1)
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes that each id stands for: a byte-level vocabulary writes every byte as one character."""
+    vocabulary = _tokenizer(path)[0].get_vocab()
+    size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, i in vocabulary.items():
+        size[i] = len(token)
+    return size
+
+
+def _is_word(piece: str) -> bool:
+    # Another one may follow it in a text: the blank begins a pre-token of its own.
+    return piece[:1] == " " and piece[1:].isalpha()
+
+
+def _encode_slices(slices: list[bytes], path: str) -> dict[bytes, bytes]:
+    """The library's ids of each pre-token, as 32-bit numbers.
+
+    Words are asked for many at a time, in one text, and told apart by their
+    bytes; should a word not end with a token, all are asked for one by one.
+    """
+    tokenizer = _tokenizer(path)[0]
+
+    def ask(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    pieces = [s.decode("utf-8", "surrogatepass") for s in slices]
+    words = [i for i, p in enumerate(pieces) if _is_word(p)]
+    known: dict[bytes, bytes] = {}
+    if words:
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        ids = np.concatenate(ask(["".join(pieces[i] for i in g) for g in groups]))
+        reach = np.cumsum(_token_bytes(path)[ids])
+        ends = np.cumsum(np.fromiter((len(slices[i]) for i in words), np.int64, len(words)))
+        at = np.searchsorted(reach, ends)
+        if at[-1] == len(reach) - 1 and np.array_equal(reach[at], ends):
+            data, bounds = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+            known = {slices[i]: data[a:b] for i, a, b in zip(words, bounds, bounds[1:])}
+    rest = [i for i, s in enumerate(slices) if s not in known]
+    known.update((slices[i], found.tobytes()) for i, found in zip(rest, ask([pieces[i] for i in rest])))
+    return known
+
+
 def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
     """The library's ids of each text, as 32-bit numbers, without special tokens.
 
     A byte-level tokenizer encodes each pre-token by itself, so the library is
     asked once per distinct pre-token.
     """
-    tokenizer, cache = _tokenizer(tokenizer_path)
+    cache = _tokenizer(tokenizer_path)[1]
     out: list[bytes] = []
     for a, b in runs(map(len, texts), CHUNK):
         slices, first, _ = byte_slices(texts[a:b])
@@ -181,9 +225,7 @@ def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
             new = list({slices[i] for i in missing})
             if len(cache) + len(new) > CACHED:
                 cache.clear()
-            found = tokenizer.encode_batch_fast([s.decode("utf-8", "surrogatepass") for s in new],
-                                                add_special_tokens=False)
-            cache.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(new, found))
+            cache.update(_encode_slices(new, tokenizer_path))
             for i in missing:
                 values[i] = cache[slices[i]]
         bounds = first.tolist()

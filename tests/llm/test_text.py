@@ -289,3 +289,16 @@ def test_token_file_equals_the_library(spark, tmp_path):
         total += len(ids)
     tokenfile.write_token_file(docs.limit(0), str(tmp_path / "e"), path)
     assert tokenfile.token_documents(tokenfile.read_token_file(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_words_asked_for_together_equal_single_ones(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slices = [s.encode() for s in (" one", " zwei", " ñandú", "head", "'s", " x́", "  ", " 7", "\n", " 日本", " a")]
+    slices += [f" w{chr(97 + i % 26)}{chr(97 + i // 26)}".encode() for i in range(600)]
+    tokenizer = tokenfile._tokenizer(path)[0]
+    want = {s: np.array(tokenizer.encode(s.decode(), add_special_tokens=False).ids, "<u4").tobytes() for s in slices}
+    assert tokenfile._encode_slices(slices, path) == want
+    assert tokenfile._encode_slices([], path) == {}
+    # Token sizes that fit no word: every slice is asked for by itself.
+    monkeypatch.setattr(tokenfile, "_token_bytes", lambda p: np.full(60_000, 1000))
+    assert tokenfile._encode_slices(slices, path) == want

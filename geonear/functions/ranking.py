@@ -16,6 +16,30 @@ from __future__ import annotations
 import math
 
 
+def _k_smallest_bound(d, starts, sizes, k):
+    """A bound per row that its ``k`` smallest values do not exceed.
+
+    Rows of similar length are looked at together, as one matrix, so that a
+    partial selection takes the place of sorting whole lists.
+    """
+    import numpy as np
+
+    bound = np.full(len(sizes), np.inf)
+    width = 1
+    while width < sizes.max(initial=0):
+        width *= 2
+        rows = np.flatnonzero((sizes > width // 2) & (sizes <= width) & (sizes > k))
+        step = max(1, (1 << 20) // width)
+        for i in range(0, len(rows), step):
+            part = rows[i:i + step]
+            slot = np.arange(width)
+            filled = slot < sizes[part][:, None]
+            at = np.where(filled, starts[part][:, None] + slot, 0)
+            values = np.where(filled, d[at], np.inf)
+            bound[part] = np.partition(values, k - 1, axis=1)[:, k - 1]
+    return bound
+
+
 def nearest_slots(k: int | None, cap: float | None = None, square: bool = False):
     """UDF ``(x, y, bx[], by[]) -> array<struct<slot, distance>>``, 0-based slots.
 
@@ -25,6 +49,8 @@ def nearest_slots(k: int | None, cap: float | None = None, square: bool = False)
     """
     from pyspark.sql import functions as F
 
+    bound_of = _k_smallest_bound
+
     def pick(x, y, bx, by):
         import numpy as np
         import pyarrow as pa
@@ -49,9 +75,12 @@ def nearest_slots(k: int | None, cap: float | None = None, square: bool = False)
             if k == 1 and len(hit):
                 hit = hit[np.r_[True, np.diff(row[hit]) > 0]]
         else:
-            order = np.lexsort((d, row))  # stable: ties keep the slot order
-            place = np.arange(len(order)) - starts[:-1][row[order]]
-            hit = order[(place < k) & allowed[order]]
+            # Ties with the k-th stay until here; the stable sort keeps their slot order.
+            near = np.flatnonzero(allowed & (d <= bound_of(d, starts[:-1], sizes, k)[row]))
+            hit = near[np.lexsort((d[near], row[near]))]
+            held = np.cumsum(np.bincount(row[hit], minlength=len(sizes)))
+            place = np.arange(len(hit)) - np.r_[0, held][row[hit]]
+            hit = hit[place < k]
         ends = np.cumsum(np.bincount(row[hit], minlength=len(sizes)))
         found = pa.StructArray.from_arrays(
             [pa.array((hit - starts[:-1][row[hit]]).astype("i4")), pa.array(d[hit])],

@@ -25,8 +25,8 @@ shuffle.  The work is done on cell counts; the destinations themselves are
 joined once, at the end.
 
 A tile far from a tight cluster stays crowded until it is as small as the
-cluster.  So only tiles with an origin in them are cut again: from the second
-round on there is at most one crowded tile per distinct origin coordinate.
+cluster.  So only tiles with an origin in them are stored at all: in every
+round there is at most one tile per distinct origin coordinate.
 """
 
 from __future__ import annotations
@@ -279,28 +279,24 @@ def build_tiles(
     for level in range(1, MAX_LEVEL + 1):
         cell = size / SPLIT**level
         middle = _prune(_halve(crowded), 2 * cell, k, max_distance, square)
-        small = _prune(_halve(middle), cell, k, max_distance, square)
+        # A tile without origins would never be met: it is neither kept nor cut again.
+        occupied = spots.select(
+            _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
+        ).distinct()
+        small = _prune(_halve(middle).join(occupied, ["tx", "ty"], "left_semi"), cell, k, max_distance, square)
         left = F.expr(f"aggregate(cells, 0L, (acc, c) -> acc + c.n) <= {leaf_size}")
         done = F.lit(True) if level == MAX_LEVEL else left
         state, counts = materialize_measured(
             small.withColumn("done", done), f"tiles-level{level}",
             done=F.count_if("done"), crowded=F.count_if(~F.col("done")),
         )
-        occupied = spots.select(
-            _cell(x, size, level).alias("tx"), _cell(y, size, level).alias("ty")
-        ).distinct()
         if counts["done"]:
             levels.append(level)
-            # A tile without origins would never be met.
-            finished.append(
-                state.where("done").join(occupied, ["tx", "ty"], "left_semi")
-                .select(F.lit(level).alias("level"), "tx", "ty", "cells")
-            )
+            finished.append(state.where("done").select(F.lit(level).alias("level"), "tx", "ty", "cells"))
         if not counts["crowded"]:
             break
         tasks = max(1, min(counts["crowded"] // 16, 4 * parallel), counts["crowded"] // 50_000)
-        asked = state.where("not done").join(occupied, ["tx", "ty"], "left_semi")
-        crowded = _with_kids(asked, points, size, level, tasks)
+        crowded = _with_kids(state.where("not done"), points, size, level, tasks)
 
     if not finished:
         return Tiles(_no_tiles(destinations), size, [0], k, max_distance, square, **bound)

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import brute, rows
 
 import geonear as g
+from geonear.functions.ranking import _k_smallest_bound
 
 
 def points(rng, n, kind, shape):
@@ -168,3 +170,15 @@ def test_hex_disk_limits_the_search(make):
     only_far = make([("far", 4000.0, 0.0)], "destination")
     assert rows(g.nearest_in_hex_disk(o, only_far, 5000.0)) == []
     assert [r[1] for r in rows(g.nearest_in_hex_disk(o, only_far, 5000.0, exact=True))] == ["far", "far"]
+
+
+def test_bound_of_the_k_smallest():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 700, 200)
+    starts = np.r_[0, np.cumsum(sizes)]
+    d = rng.integers(0, 50, starts[-1]).astype(float)  # many ties
+    d[rng.random(len(d)) < 0.1] = np.inf
+    for k in (2, 5, 100):
+        bound = _k_smallest_bound(d, starts[:-1], sizes, k)
+        for i, n in enumerate(sizes):
+            assert bound[i] == (np.sort(d[starts[i]:starts[i + 1]])[k - 1] if n > k else np.inf)

@@ -209,7 +209,10 @@ def nearest_vectors(
     asks once and is one candidate, with its best score.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<float>")
+    # Single-precision vectors stay so; of any other numbers no digit is lost.
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    stored = "array<float>" if single else "array<double>"
+    v = F.col(vector_col).cast(stored)
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(
         "id is not null")
     if dim is None:
@@ -255,7 +258,7 @@ def nearest_vectors(
 
     kind = id_type.simpleString()
     placed, _ = materialize_measured(
-        rows.mapInArrow(place, f"id {kind}, v array<float>, q boolean, parts array<int>, "
+        rows.mapInArrow(place, f"id {kind}, v {stored}, q boolean, parts array<int>, "
                               f"seeds array<struct<vec_id: {kind}, score: double>>"), "vectors", n=F.count("*"))
     home, asked = F.col("parts")[0], F.explode("parts").alias("part")
     counts = {r["part"]: r for r in placed.select(F.col("q"), asked, home.alias("home")).groupBy("part").agg(

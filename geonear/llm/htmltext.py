@@ -67,6 +67,7 @@ class _Page:
         self.blocks: tuple[list[str], ...] = ([], [], [])
         self.roots = [False, False]
         self.parts: list[str] = []
+        self.inside = (False, False)  # whether they lie in the article, in main
         # name, number, first character, dropped, in article, in main, holds an article
         self.open: list[list] = [["", 0, 0, False, False, False, False]]
         self.walk()
@@ -79,12 +80,12 @@ class _Page:
         if self.parts:
             block = " ".join("".join(self.parts).split())
             self.parts = []
-            top = self.open[-1]
-            if block and not top[3]:
+            # What is open by now may be dropped; the parts are not.
+            if block:
                 self.blocks[2].append(block)
-                if top[5]:
+                if self.inside[1]:
                     self.blocks[1].append(block)
-                if top[4]:
+                if self.inside[0]:
                     self.blocks[0].append(block)
 
     def close(self, depth: int, end: int) -> None:
@@ -161,7 +162,9 @@ class _Page:
         self.flush()
 
     def data(self, text: str) -> None:
-        if not self.open[-1][3]:
+        top = self.open[-1]
+        if not top[3]:
+            self.inside = (top[4], top[5])
             self.parts.append(unescape(text) if "&" in text else text)
 
 

@@ -55,6 +55,9 @@ def test_nearest_vectors_small_tables(spark):
     assert annpartition.nearest_vectors(spark.createDataFrame([(0, [1.0])], schema), q).count() == 0
     two = annpartition.nearest_vectors(spark.createDataFrame([(0, [2.0]), (1, [3.0]), (2, None)], schema), q)
     assert [tuple(r) for r in two.collect()] == [(0, 1, 1, 6.0)]
+    exact = annpartition.nearest_vectors(
+        spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.1, 7.0])], "vec_id long, embedding array<double>"), q)
+    assert [r["score"] for r in exact.collect()] == [0.1]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")

@@ -159,6 +159,8 @@ PAGES = [
     ("<article><ul><li>1<li>2</ul><p>x &lt;b&gt; 3 < 4</article>", "1\n2\nx <b> 3 < 4"),
     ("<article><p>cut off <a href='x", "cut off"), ("", ""), (None, ""), ("<article></article>", ""), ("plain", "plain"),
     ("<article><article class='comment'><p>c</p></article><p>x</p></article>", "x"),
+    ("<article><p>Kept <span class='ad'>gone</p><p>b</p></article>", "Kept\nb"),
+    ("<article><p>a <button>x<div>y</div></button></p></article>", "a"),
     ("<article><p>" + "<i>" * 3000 + "deep" + "</p><p>y</p></article>", "deep\ny"),
 ]
 

@@ -104,6 +104,10 @@ def knn_nearest_first(spark, sf_dir):
     return g.nearest_first_of_ties(*_both(spark, sf_dir, coarse=True), R)
 
 
+def knn_geodesic(spark, sf_dir):
+    return g.nearest_geodesic(*_both(spark, sf_dir), R)
+
+
 def knn_hex(spark, sf_dir):
     return g.nearest_in_hex_disk(*_both(spark, sf_dir), R)
 
@@ -299,9 +303,13 @@ def _raw_properties(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    postcodes = fx.raw_destinations(spark, sf_dir).withColumnRenamed("destination", "postcode")
-    return g.prepare(_raw_properties(spark, sf_dir), postcodes, fx.edges(spark), "Alpha",
-                     scratch_path(spark, "prepared"))
+    """The preparation from its three input files: a CSV, a point layer and a polygon layer."""
+    csv = scratch_path(spark, "csv")
+    _raw_properties(spark, sf_dir).write.option("header", True).csv(csv)
+    points = fx.write_geopackages(fx.raw_destinations(spark, sf_dir), "codepoint")
+    postcodes = g.decode_wkb(g.read_geopackage(spark, points, "codepoint"), "wkb").select("postcode", "x", "y")
+    districts = g.polygon_edges(g.read_geopackage(spark, fx.write_districts(spark, "district"), "district"))
+    return g.prepare(g.read_points_csv(spark, csv), postcodes, districts, "Alpha", scratch_path(spark, "prepared"))
 
 
 def prep_job(spark, sf_dir):
@@ -359,6 +367,8 @@ def compare_methods_report(spark, sf_dir):
         "knn_join_k10_top1": g.knn_join_top1(*both, 10),
         "knn_join_k100_top1": g.knn_join_top1(*both, 100),
         "knn_k5_rounded": g.knn_rounded_first(*both, 5),
+        "knn_nearest_first": g.nearest_first_of_ties(*both, R, tiles=capped),
+        "knn_geodesic": g.nearest_geodesic(*both, R),
     }
     return g.compare_methods(results, g.nearest_distinct_on(*both, R, tiles=capped))
 
@@ -368,7 +378,7 @@ _ALL = (
     compare_methods_report, compare_outer, geom_distance, geom_geodesic, geom_point_xy,
     geom_transform, geom_wkb_roundtrip, geom_wkt_roundtrip, hex_cell, hex_disk, join_bbox_pairs,
     join_dwithin_pairs, join_point_in_polygon, knn_bbox, knn_brute, knn_distinct_on,
-    knn_first_per_origin, knn_hex, knn_join_k10, knn_join_k100_top1, knn_join_k10_top1,
+    knn_first_per_origin, knn_geodesic, knn_hex, knn_join_k10, knn_join_k100_top1, knn_join_k10_top1,
     knn_join_k5, knn_k5_rounded, knn_lateral, knn_left_unmatched, knn_nearest_first, knn_pyramid,
     knn_unbounded, knn_window, load_job, nearest_all_ties, prep_job, sink_insert_new_keys,
     sink_result_csv, sink_table_ctas, src_copy_by_name, src_csv_header, src_csv_pipe,
@@ -384,36 +394,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- DuckDB equivalents -----------------------------------------------------------------
 
 
+def _geodesic_steps(source: str) -> str:
+    """CTEs from ``source(a, o, b, p, …)``, radians, to ``r`` for :data:`SPHERE` and :data:`SPHEROID`."""
+    return f"""
+q as (select *, (a + b) / 2 as f, (a - b) / 2 as g, (o - p) / 2 as l from ({source})),
+s as (select *, pow(sin(g), 2) * pow(cos(l), 2) + pow(cos(f), 2) * pow(sin(l), 2) as s,
+             pow(cos(g), 2) * pow(cos(l), 2) + pow(sin(f), 2) * pow(sin(l), 2) as c,
+             pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin((p - o) / 2), 2) as h from q),
+w as (select *, atan(sqrt(s / c)) as w from s),
+r as (select *, case when w <> 0 then sqrt(s * c) / w end as r from w)"""
+
+
+SPHERE = "2 * 6371008.8e0 * asin(sqrt(h))"
+SPHEROID = """case when s = 0 then 0e0 else 2 * w * 6378137e0 * (1 + (1 / 298.257223563e0) * (
+        (3 * r - 1) / (2 * c) * pow(sin(f), 2) * pow(cos(g), 2)
+        - (3 * r + 1) / (2 * s) * pow(cos(f), 2) * pow(sin(g), 2))) end"""
+
+
 def _sql_geodesic() -> str:
-    return """
-with o as (select o_orderkey as origin, o_custkey,
+    return f"""
+with d as (select o_orderkey as origin, o_custkey,
     radians(cast(180000 + 10 * ((o_orderkey * 104729) % 3001) as double) / 1e5 - 0e0 + 49e0) as a,
     radians(cast(420000 + 10 * ((o_orderkey * 7919) % 4001) as double) / 1e5 - 6e0 + 0e0) as o
     from orders),
-c as (select c_custkey,
+e as (select c_custkey,
     radians(cast(180000 + 10 * (((c_custkey // 3) * 7307) % 3001) as double) / 1e5 - 0e0 + 49e0) as b,
     radians(cast(420000 + 10 * (((c_custkey // 3) * 6151) % 4001) as double) / 1e5 - 6e0 + 0e0) as p
     from customer),
-q as (select origin, a, o, b, p, (a + b) / 2 as f, (a - b) / 2 as g, (o - p) / 2 as l
-    from o join c on o_custkey = c_custkey),
-s as (select *, pow(sin(g), 2) * pow(cos(l), 2) + pow(cos(f), 2) * pow(sin(l), 2) as s,
-             pow(cos(g), 2) * pow(cos(l), 2) + pow(sin(f), 2) * pow(sin(l), 2) as c,
-             pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin((p - o) / 2), 2) as h from q),
-w as (select *, atan(sqrt(s / c)) as w from s),
-r as (select *, case when w <> 0 then sqrt(s * c) / w end as r from w)
-select origin, round(2 * 6371008.8e0 * asin(sqrt(h)), 2) as sphere,
-    round(case when s = 0 then 0e0 else 2 * w * 6378137e0 * (1 + (1 / 298.257223563e0) * (
-        (3 * r - 1) / (2 * c) * pow(sin(f), 2) * pow(cos(g), 2)
-        - (3 * r + 1) / (2 * s) * pow(cos(f), 2) * pow(sin(g), 2))) end, 2) as spheroid
-from r"""
+{_geodesic_steps("select origin, a, o, b, p from d join e on o_custkey = c_custkey")}
+select origin, round({SPHERE}, 2) as sphere, round({SPHEROID}, 2) as spheroid from r"""
+
+
+def _sql_nearest_geodesic() -> tuple[str, ...]:
+    """CTEs up to ``geodesic``: every pair on the sphere, the nearest on the spheroid."""
+    globe = {}
+    for side, key in (("origins", "origin"), ("destinations", "destination")):
+        globe[side] = _sql_degrees(f"select {key}, x, y from {side}")
+    return (
+        f"globe_a as materialized (select origin, radians(lat) as a, radians(lon) as o from ({globe['origins']}))",
+        f"globe_b as materialized (select destination, radians(lat) as b, radians(lon) as p"
+        f" from ({globe['destinations']}))",
+        _geodesic_steps("select * from globe_a, globe_b").strip(),
+        f"""geodesic as (select origin, destination, round({SPHEROID}, 2) as distance
+            from (select *, {SPHERE} as sphere from r) where sphere <= {R}
+            qualify row_number() over (partition by origin order by sphere, destination) = 1)""",
+    )
 
 
-def _sql_transform() -> str:
+def _sql_degrees(points: str) -> str:
+    """``points`` (a query with x, y) with lat and lon."""
     a, b, f0 = "6377563.396e0", "6356256.909e0", "0.9996012717e0"
     e2 = f"(1 - ({b} / {a}) * ({b} / {a}))"
     n = f"(({a} - {b}) / ({a} + {b}))"
     p0 = "radians(49e0)"
-    body = f"select origin, x - 400000e0 as d, y + 100000e0 as north from origins"
+    body = f"select *, x - 400000e0 as d, y + 100000e0 as north from ({points})"
     count = 0
 
     def step(name, value):
@@ -457,8 +491,12 @@ def _sql_transform() -> str:
     for i in range(4):
         step(f"q{i + 1}", f"atan2(wz + {w2} * 6378137e0 / sqrt(1 - {w2} * pow(sin(q{i}), 2)) * sin(q{i}),"
                           " sqrt(wx * wx + wy * wy))")
-    return fx.sql("select origin, round(degrees(q4), 7) as lat, "
-                  f"round(degrees(atan2(wy, wx)), 7) as lon from ({body}) done")
+    return f"select *, degrees(q4) as lat, degrees(atan2(wy, wx)) as lon from ({body}) done"
+
+
+def _sql_transform() -> str:
+    moved = _sql_degrees("select origin, x, y from origins")
+    return fx.sql(f"select origin, round(lat, 7) as lat, round(lon, 7) as lon from ({moved})")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -494,7 +532,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_window": capped, "knn_lateral": capped, "knn_first_per_origin": capped,
         "knn_pyramid": capped, "knn_bbox": square, "knn_hex": "select * from hex_knn",
         "knn_unbounded": free, "knn_brute": free, "knn_join_k10_top1": free,
-        "knn_join_k100_top1": free, "knn_k5_rounded": k5_rounded,
+        "knn_join_k100_top1": free, "knn_k5_rounded": k5_rounded, "knn_nearest_first": capped,
+        "knn_geodesic": "select * from geodesic",
     }
     report = " union all ".join(
         f"""select '{m}' as method, count(b.origin) as n_rows,
@@ -527,7 +566,7 @@ def oracle_sql() -> dict[str, str]:
             from reference a full outer join hex_knn b on a.origin = b.origin
             where not coalesce(a.destination = b.destination, false)""",
             *hexed, reference),
-        "compare_methods_report": fx.sql(report, *hexed, reference),
+        "compare_methods_report": fx.sql(report, *hexed, reference, *_sql_nearest_geodesic()),
         "geom_distance": f"""select origin, sqrt({sq}) as distance, {sq} as distance_sq,
             sqrt({sq}) <= {R} as within,
             abs(a.x - b.x) <= {R} and abs(a.y - b.y) <= {R} as in_box {order_customer}""",
@@ -550,6 +589,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_brute": fx.sql(free),
         "knn_distinct_on": fx.sql(rounded),
         "knn_first_per_origin": fx.sql(capped),
+        "knn_geodesic": fx.sql("select * from geodesic", *_sql_nearest_geodesic()),
         "knn_hex": fx.sql("select * from hex_knn", *hexed),
         "knn_join_k10": fx.sql(near(k=10)),
         "knn_join_k100_top1": fx.sql(f"select * from ({near(k=100)}) qualify row_number() over "

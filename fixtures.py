@@ -172,3 +172,28 @@ def write_geopackages(df: DataFrame, layer: str, srid: int = 27700, parts: int =
 
     df.select("destination", "x", "y").repartition(parts).foreachPartition(write)
     return folder
+
+
+def write_districts(spark: SparkSession, layer: str, srid: int = 27700) -> str:
+    """The test districts as one polygon layer of a GeoPackage; returns its folder."""
+    import os
+    import sqlite3
+    import struct
+
+    folder = scratch_path(spark, "gpkg").removeprefix("file:")
+    os.makedirs(folder)
+    rings: dict[str, list] = {}
+    for name, _, points in RINGS:
+        rings.setdefault(name, []).append([*points, points[0]])
+    with sqlite3.connect(f"{folder}/districts.gpkg") as db:
+        db.execute("create table gpkg_contents (table_name text, data_type text)")
+        db.execute("create table gpkg_geometry_columns (table_name text, column_name text)")
+        db.execute("insert into gpkg_contents values (?, 'features')", (layer,))
+        db.execute("insert into gpkg_geometry_columns values (?, 'geometry')", (layer,))
+        db.execute(f'create table "{layer}" (fid integer primary key, geometry blob, name text)')
+        for name, own in rings.items():
+            body = struct.pack("<BII", 1, 3, len(own)) + b"".join(
+                struct.pack("<I", len(r)) + struct.pack(f"<{2 * len(r)}d", *(v for xy in r for v in xy)) for r in own)
+            db.execute(f'insert into "{layer}" (geometry, name) values (?, ?)',
+                       (struct.pack("<2sBBi", b"GP", 0, 1, srid) + body, name))
+    return folder

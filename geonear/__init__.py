@@ -8,6 +8,7 @@ from geonear.functions.geometry import bbox_within, distance, distance_sq, dwith
 from geonear.functions.hexgrid import hex_cell, hex_disk
 from geonear.functions.sql import register_sql_functions
 from geonear.operators.compare import check, compare_methods, diff_inner
+from geonear.operators.geodesic import nearest_geodesic
 from geonear.operators.grouping import first_per_key, group_colocated, last_per_key
 from geonear.operators.hexjoin import nearest_in_hex_disk
 from geonear.operators.knn import (
@@ -25,7 +26,7 @@ from geonear.operators.knn import (
     nearest_sort_dedupe,
 )
 from geonear.operators.pairs import bbox_join, dwithin_join
-from geonear.operators.polygons import points_in_polygons, ring_edges
+from geonear.operators.polygons import Polygons, cut_polygons, points_in_polygons, ring_edges
 from geonear.operators.tiles import Tiles, build_tiles
 from geonear.plans.prepare import load_serving_table, prepare
 from geonear.sources.files import (

@@ -54,6 +54,6 @@ def hex_steps(a: Column, b: Column) -> Column:
     return F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr))
 
 
-def sure_radius(edge: float, k: int) -> float:
-    """Every point nearer than this lies in the ``k``-disk of the origin's cell."""
-    return (1.5 * k - 0.5) * edge
+def disk_reach(edge: float, k: int) -> float:
+    """No point of the ``k``-disk around a point's cell is farther from it than this."""
+    return (math.sqrt(3.0) * k + 2.0) * edge * (1 + 1e-9)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geonear.functions.geometry import distance
-from geonear.functions.hexgrid import RES9_EDGE, hex_cell, hex_disk, hex_steps
+from geonear.functions.geometry import distance, located
+from geonear.functions.hexgrid import RES9_EDGE, disk_reach, hex_cell, hex_steps
 from geonear.operators.grouping import first_per_key
 from geonear.operators.knn import nearest_lists
-from geonear.operators.pairs import blocked_join
+from geonear.operators.pairs import near_pairs
 from geonear.operators.tiles import Tiles, build_tiles
 from geonear.session import materialize
 
@@ -23,8 +23,9 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
     is not seen, and an origin with an empty disk gets no row.
     ``exact=True`` drops the disk and returns the true nearest.
 
-    If the true nearest lies in the disk it is the answer, so the cell join is
-    run only for origins whose nearest destination is outside their disk.
+    If the true nearest lies in the disk it is the answer, and if it lies
+    farther than the disk reaches there is none. Pairs are looked at for the
+    origins in between only, by cells as wide as the reach: one row per origin.
     """
     tiles = (build_tiles(destinations, origins, 1, max_distance) if tiles is None
              else tiles.require(destinations, origins, 1, max_distance, False))
@@ -37,18 +38,17 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
         )
         best = materialize(best.withColumn("steps", steps), "hex-nearest")
         seen = best.where(F.col("steps") <= k).select("origin", "destination", "distance")
-        rest = best.where(F.col("steps") > k).select(
-            "origin", F.col("x").alias("ax"), F.col("y").alias("ay"),
-            F.inline(hex_disk(hex_cell(F.col("x"), F.col("y"), edge), k)),
-        )
+        # Beyond the reach of a disk there is nothing in it either.
+        reach = disk_reach(edge, k)
+        rest = best.where((F.col("steps") > k) & (F.col("distance") <= reach)).select(
+            "origin", F.col("x").alias("ax"), F.col("y").alias("ay"))
         # One key per coordinate is enough for a minimum by (distance, key).
         spots = destinations.groupBy(F.col("x").alias("bx"), F.col("y").alias("by")).agg(
             F.min("destination").alias("destination")
-        )
-        cells = spots.withColumn("cell", hex_cell(F.col("bx"), F.col("by"), edge)).select(
-            "destination", "bx", "by", "cell.q", "cell.r"
-        )
-        met = blocked_join(rest, cells, ["q", "r"], "origin", "destination").select(
+        ).where(located("bx") & located("by"))
+        in_disk = hex_steps(
+            hex_cell(F.col("ax"), F.col("ay"), edge), hex_cell(F.col("bx"), F.col("by"), edge)) <= k
+        met = near_pairs(rest, spots, reach).where(in_disk).select(
             "origin", "destination",
             distance(*[F.col(c) for c in ("ax", "ay", "bx", "by")]).alias("distance"),
         )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geonear.functions.geometry import grid_index
+from geonear.functions.geometry import located
 from geonear.session import materialize
 
-BANDS_PER_POLYGON = 32
+EDGES_PER_BAND = 8
 
 
 def ring_edges(vertices: DataFrame) -> DataFrame:
@@ -55,49 +57,91 @@ def _inside_udf():
     return F.arrow_udf(inside, "boolean").asNondeterministic()
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of ``points`` (with ``x``, ``y``) joined to each polygon holding them.
+@dataclass
+class Polygons:
+    """Polygons cut into bands, stored on shared storage; serves any number of points."""
+
+    boxes: DataFrame  # level, cx, cy: the cells of a polygon's box; its name, extent and band height
+    bands: DataFrame  # name, band: the edges at that height
+    levels: list[int]
+
 
-    ``edges`` is ``(name, x1, y1, x2, y2)``; holes and several rings follow the
-    even-odd rule, and the boundary counts as inside.
+def cut_polygons(edges: DataFrame) -> Polygons:
+    """Cut polygons ``(name, x1, y1, x2, y2)`` for :func:`points_in_polygons`.
 
-    Polygons are cut into horizontal bands, so that a point meets only the few
-    edges at its own height: all of those decide the crossing parity.  Points
-    and bands meet in an equi-join on grid cells, one row per point and
-    polygon near it; neither edges nor pairs are shuffled per point.
+    A polygon has about ``EDGES_PER_BAND`` edges per band, but never so many
+    bands that its edges, cut by them, make more than about twice as many
+    pieces: storage stays linear in the edges, whatever the sizes of the other
+    polygons. Its box is entered in the cells of a grid at least as wide as the
+    box, four at most; there is one grid per power of two in use.
     """
-    boxes = edges.groupBy("name").agg(
-        (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"),
-        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
-    )
-    mean = boxes.agg(F.avg("w").alias("w"), F.avg("h").alias("h")).first()
-    band = (mean.h or 1.0) / BANDS_PER_POLYGON
-    width = (mean.w or 1.0) / 2
     lower, upper = F.least("y1", "y2"), F.greatest("y1", "y2")
-    pieces = (
-        edges.withColumn(
-            "cy", F.explode(F.sequence(grid_index(lower, band), grid_index(upper, band)))
-        )
-        .groupBy("name", "cy")
+    sizes = edges.groupBy("name").agg(
+        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"),
+        F.min(lower).alias("y0"), F.max(upper).alias("y1"),
+        F.count("*").alias("n"), F.sum(upper - lower).alias("climb"),
+    )
+    height, side = F.col("y1") - F.col("y0"), F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    bands = F.greatest(F.lit(1.0), F.floor(F.least(
+        F.col("n") / EDGES_PER_BAND, F.try_divide(F.col("n") * height, F.col("climb")))))
+    boxes = materialize(sizes.select(
+        "name", "x0", "x1", "y0", "y1",
+        F.when(height > 0, height / bands).otherwise(1.0).alias("band_height"),
+        F.when(side > 0, F.ceil(F.log2(side))).otherwise(0).cast("int").alias("level"),
+    ), "polygon-boxes")
+    levels = sorted(r["level"] for r in boxes.select("level").distinct().collect())
+    known = boxes.select(F.col("name").alias("owner"), "y0", "band_height")
+    row = lambda y: F.floor((y - F.col("y0")) / F.col("band_height"))
+    cut = (
+        edges.join(known, F.col("name").eqNullSafe(F.col("owner")))
+        .withColumn("band", F.explode(F.sequence(row(lower), row(upper))))
+        .groupBy("name", "band")
         .agg(
             F.min(F.least("x1", "x2")).alias("x_min"),
             F.max(F.greatest("x1", "x2")).alias("x_max"),
             F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e"),
         )
-        .withColumn(
-            "cx",
-            F.explode(F.sequence(grid_index(F.col("x_min"), width), grid_index(F.col("x_max"), width))),
-        )
     )
+    size = F.pow(F.lit(2.0), F.col("level"))
+    for cell, a, b in (("cx", "x0", "x1"), ("cy", "y0", "y1")):
+        boxes = boxes.withColumn(cell, F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))))
     # Stored, so that its size decides between broadcast and shuffle.
-    pieces = materialize(pieces, "polygon-bands")
-    met = (
-        points.where("x is not null and y is not null")
-        .withColumns({"cx": grid_index(F.col("x"), width), "cy": grid_index(F.col("y"), band)})
-        .join(pieces, ["cx", "cy"])
-        .where("x between x_min and x_max")
+    return Polygons(boxes, materialize(cut, "polygon-bands"), levels)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame | Polygons) -> DataFrame:
+    """Rows of ``points`` (with ``x``, ``y``) joined to each polygon holding them.
+
+    ``polygons`` are edges ``(name, x1, y1, x2, y2)`` or the result of
+    :func:`cut_polygons`; holes and several rings follow the even-odd rule, and
+    the boundary counts as inside. Points without a position are in none.
+
+    A point meets the boxes around it, by grid cell, and then of each such
+    polygon the one band at its height: all edges there decide the crossing
+    parity. Both are equi-joins, in which the points are the side that may be
+    split where one cell or band holds very many of them. A polygon whose
+    edges nearly all reach over its whole height cannot be cut into bands; its
+    points meet all its edges.
+    """
+    polygons = polygons if isinstance(polygons, Polygons) else cut_polygons(polygons)
+    own = {c: f"__p_{c}" for c in (*polygons.boxes.columns, *polygons.bands.columns)}
+    boxes, bands = (d.withColumnsRenamed(own) for d in (polygons.boxes, polygons.bands))
+    bands = bands.withColumnRenamed("__p_name", "__p_owner")
+    keys = ", ".join(
+        f"struct({level} as __p_level, floor(x / {2.0**level!r}D) as __p_cx, floor(y / {2.0**level!r}D) as __p_cy)"
+        for level in polygons.levels
+    ) or "struct(0 as __p_level, 0L as __p_cx, 0L as __p_cy)"
+    near = (
+        points.where(located("x") & located("y")).selectExpr("*", f"inline(array({keys}))")
+        .join(boxes, ["__p_level", "__p_cx", "__p_cy"])
+        .where("x between __p_x0 and __p_x1 and y between __p_y0 and __p_y1")
+        .withColumn("__p_row", F.floor((F.col("y") - F.col("__p_y0")) / F.col("__p_band_height")))
+        .select(*points.columns, "__p_name", "__p_row")
     )
-    parts = [F.col(c) for c in ("x", "y", "e.x1", "e.y1", "e.x2", "e.y2")]
-    return met.withColumn("inside", _inside_udf()(*parts)).where("inside").select(
-        *points.columns, "name"
+    met = near.join(
+        bands, F.col("__p_name").eqNullSafe(F.col("__p_owner")) & (F.col("__p_row") == F.col("__p_band"))
+    ).where("x between __p_x_min and __p_x_max")
+    parts = [F.col(c) for c in ("x", "y", "__p_e.x1", "__p_e.y1", "__p_e.x2", "__p_e.y2")]
+    return met.withColumn("__p_inside", _inside_udf()(*parts)).where("__p_inside").select(
+        *points.columns, F.col("__p_name").alias("name")
     )

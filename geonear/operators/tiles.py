@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geonear.functions.geometry import bbox_within, distance
+from geonear.functions.geometry import bbox_within, distance, located
 from geonear.functions.ranking import nearest_slots, useful_cells
 from geonear.session import materialize, materialize_measured
 
@@ -47,11 +47,6 @@ TILE_KEY = ["level", "tx", "ty"]
 COARSE_CELLS = 8  # coarsest grid of an uncapped search, per axis
 
 
-def located(name: str) -> Column:
-    """Whether a coordinate is a number: rows with NULL, NaN or infinite ones lie nowhere."""
-    return F.coalesce(F.abs(name) < F.lit(math.inf), F.lit(False))
-
-
 def _cell(v: Column, size: float, level: float) -> Column:
     # Scaling by a power of two is exact, so the levels nest exactly.
     return F.floor(v / F.lit(float(size)) * F.lit(float(SPLIT**level)))

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from geonear.functions.codec import decode_wkb, encode_wkt
 from geonear.operators.grouping import group_colocated
-from geonear.operators.polygons import points_in_polygons
+from geonear.operators.polygons import cut_polygons, points_in_polygons
 from geonear.sources.files import insert_new_keys, read_points_orc, write_points_orc
 
-# Names of the raw property file and of the serving table.
+# Names of the raw property file and of the serving table.
 SERVING_NAMES = {
     "UPRN": "uprn",
     "X_COORDINATE": "easting",
@@ -21,12 +21,6 @@ SERVING_NAMES = {
 }
 
 
-def points_in_district(points: DataFrame, districts: DataFrame, name: str) -> DataFrame:
-    """``points`` inside the district ``name``; ``districts`` holds edges."""
-    chosen = districts.where(F.col("name") == name)
-    return points_in_polygons(points, chosen).drop("name")
-
-
 def prepare(points: DataFrame, postcodes: DataFrame, districts: DataFrame, district: str,
             out: str, x: str = "X_COORDINATE", y: str = "Y_COORDINATE") -> tuple[str, str]:
     """Write the origins and destinations of one district as two ORC tables.
@@ -37,9 +31,9 @@ def prepare(points: DataFrame, postcodes: DataFrame, districts: DataFrame, distr
     """
     origins_path, destinations_path = f"{out}/origins.orc", f"{out}/destinations.orc"
     located = points.withColumns({"x": F.col(x), "y": F.col(y)})
-    inside = points_in_district(located, districts, district)
-    write_points_orc(inside, origins_path)
-    there = points_in_district(postcodes, districts, district)
+    chosen = cut_polygons(districts.where(F.col("name") == district))
+    write_points_orc(points_in_polygons(located, chosen).drop("name"), origins_path)
+    there = points_in_polygons(postcodes, chosen)
     grouped = group_colocated(there.select("postcode", "x", "y"), "postcode")
     write_points_orc(grouped, destinations_path)
     return origins_path, destinations_path

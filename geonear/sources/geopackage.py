@@ -161,36 +161,42 @@ def _ring_udf():
         import numpy as np
         import pyarrow as pa
 
+        vertices, ring_sizes, ring_counts, known = [np.zeros((0, 2))], [], [], []
+
         def polygon(body, at):
-            """Rings of one WKB polygon and the position after it."""
+            """Take in the rings of one WKB polygon; the position after it and their number."""
             order = "<" if body[at] else ">"
             (count,) = struct.unpack_from(order + "I", body, at + 5)
-            at, found = at + 9, []
+            at += 9
             for _ in range(count):
                 (size,) = struct.unpack_from(order + "I", body, at)
-                xy = np.frombuffer(body, order + "f8", 2 * size, at + 4).reshape(-1, 2)
-                found.append([{"x": x, "y": y} for x, y in xy.tolist()])
+                vertices.append(np.frombuffer(body, order + "f8", 2 * size, at + 4).reshape(-1, 2))
+                ring_sizes.append(size)
                 at += 4 + 16 * size
-            return found, at
+            return at, count
 
-        def parts(body):
-            if body is None:
-                return None
-            order = "<" if body[0] else ">"
-            (kind,) = struct.unpack_from(order + "I", body, 1)
+        for body in wkb.to_pylist():
+            kind, held = 0, 0
+            if body is not None:
+                order = "<" if body[0] else ">"
+                (kind,) = struct.unpack_from(order + "I", body, 1)
             if kind == 3:
-                return polygon(body, 0)[0]
-            if kind != 6:
-                return None
-            (count,) = struct.unpack_from(order + "I", body, 5)
-            at, found = 9, []
-            for _ in range(count):
-                more, at = polygon(body, at)
-                found += more
-            return found
-
-        ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        return pa.array([parts(b) for b in wkb.to_pylist()], pa.list_(ring))
+                held = polygon(body, 0)[1]
+            elif kind == 6:
+                (parts,) = struct.unpack_from(order + "I", body, 5)
+                at = 9
+                for _ in range(parts):
+                    at, more = polygon(body, at)
+                    held += more
+            known.append(kind in (3, 6))
+            ring_counts.append(held)
+        xy = np.concatenate(vertices).astype("f8")
+        point = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+        ring = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *ring_sizes]).astype("i4")), point)
+        # A missing start marks a NULL geometry, or one that is no polygon.
+        starts = np.cumsum([0, *ring_counts]).astype("i4").tolist()
+        offsets = [a if ok else None for a, ok in zip(starts, known)] + starts[-1:]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ring)
 
     return F.arrow_udf(rings, "array<array<struct<x: double, y: double>>>").asNondeterministic()
 

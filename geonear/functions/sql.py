@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 # SQL functions are expanded into the query's own expressions: no call is left
 # in the plan, and predicates over them are pushed down like any other.
 _POINT = "STRUCT<x: DOUBLE, y: DOUBLE>"
+_WKT = "^ *POINT *[(] *([-+0-9.eE]+) +([-+0-9.eE]+) *[)] *$"
 _DEFINITIONS = (
     f"st_point(px DOUBLE, py DOUBLE) RETURNS {_POINT} RETURN named_struct('x', px, 'y', py)",
     f"st_x(g {_POINT}) RETURNS DOUBLE RETURN g.x",
@@ -15,12 +16,15 @@ _DEFINITIONS = (
     "RETURN sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y))",
     f"st_dwithin(g {_POINT}, h {_POINT}, r DOUBLE) RETURNS BOOLEAN "
     "RETURN sqrt((g.x - h.x) * (g.x - h.x) + (g.y - h.y) * (g.y - h.y)) <= r",
+    f"st_geomfromtext(t STRING) RETURNS {_POINT} RETURN CASE WHEN t RLIKE '{_WKT}' THEN named_struct("
+    f"'x', try_cast(regexp_extract(t, '{_WKT}', 1) AS DOUBLE), "
+    f"'y', try_cast(regexp_extract(t, '{_WKT}', 2) AS DOUBLE)) END",
     f"st_astext(g {_POINT}) RETURNS STRING RETURN concat('POINT(', g.x, ' ', g.y, ')')",
 )
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """Register ``st_point, st_x, st_y, st_distance, st_dwithin, st_astext`` for
-    this session."""
+    """Register ``st_point, st_x, st_y, st_distance, st_dwithin, st_astext,
+    st_geomfromtext`` for this session. Text that is no point gives NULL."""
     for definition in _DEFINITIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {definition}")

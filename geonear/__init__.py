@@ -25,6 +25,7 @@ from geonear.operators.knn import (
     nearest_lateral,
     nearest_sort_dedupe,
 )
+from geonear.operators.leaves import Leaves, build_leaves, search_leaves
 from geonear.operators.pairs import bbox_join, dwithin_join
 from geonear.operators.polygons import Polygons, cut_polygons, points_in_polygons, ring_edges
 from geonear.operators.tiles import Tiles, build_tiles

@@ -4,7 +4,8 @@ Origins are ``(origin, x, y)``, destinations ``(destination, x, y)``; results
 are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
-Each builds the destination tiles it needs; pass ``tiles`` from
+Lists of neighbours come from a search over leaves of destinations; forms that
+rank pairs, or look into a square, build destination tiles. Pass ``tiles`` from
 :func:`build_tiles` to share them between calls on the same tables.
 """
 
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 
 from geonear.functions.geometry import distance
 from geonear.operators.grouping import first_per_key
+from geonear.operators.leaves import build_leaves, search_leaves
 from geonear.operators.tiles import TILE_KEY, Tiles, build_tiles
 
+HOW = ("inner", "left", "error")
+
 
 def _round(df: DataFrame, digits: int | None) -> DataFrame:
     if digits is None:
@@ -32,15 +36,10 @@ def _tiles(tiles: Tiles | None, destinations: DataFrame | None, origins: DataFra
 
 
 def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataFrame:
-    """``(origin, x, y, nearest)``: the ranked neighbours of each origin as an array.
-
-    One equi-join with the tiles; each origin row meets one tile row.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("how must be 'inner' or 'left'")
+    """``(origin, x, y, nearest)`` by tiles: one equi-join, in which each origin row meets one tile row."""
     seen = origins.select("origin", "x", "y")
     found = tiles.nearest(tiles.locate(seen), ["origin", "x", "y"])
-    if how == "left":
+    if how != "inner":
         # By coordinates, on which alone a list depends: ids may be NULL or repeat.
         spots = seen.select("x", "y").distinct()
         lists = tiles.nearest(tiles.locate(spots), ["x", "y"])
@@ -48,6 +47,30 @@ def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataF
     return found
 
 
+def neighbour_lists(origins: DataFrame, destinations: DataFrame, k: int | None = 1, max_distance: float | None = None,
+                    how: str = "inner", tiles: Tiles | None = None, first: int | None = None) -> DataFrame:
+    """``(origin, x, y, nearest)``: the ranked neighbours of each origin as an array.
+
+    By leaves, or by ``tiles`` where given. Without a neighbour an origin has no
+    row (``how="inner"``), a NULL list (``"left"``), or makes the job fail
+    (``"error"``). The ``first`` of the ``k`` neighbours are kept, if given.
+    """
+    if how not in HOW:
+        raise ValueError(f"how must be one of {', '.join(HOW)}")
+    if tiles is not None:
+        found = nearest_lists(origins, tiles.require(destinations, origins, k, max_distance, False), how)
+        if first:
+            found = found.withColumn("nearest", F.slice("nearest", 1, first))
+    else:
+        found = search_leaves(origins, build_leaves(destinations, k or 1), max_distance, first=first)
+    some = F.coalesce(F.size("nearest") > 0, F.lit(False))
+    if how == "inner":
+        return found if tiles is not None else found.where(some)
+    missing = F.raise_error(F.concat(F.lit("no destination for origin "), F.coalesce(F.col("origin").cast("string"), F.lit("NULL"))))
+    otherwise = missing if how == "error" else F.lit(None)
+    return found.withColumn("nearest", F.when(some, F.col("nearest")).otherwise(otherwise))
+
+
 def _neighbours(lists: DataFrame, round_to: int | None = None) -> DataFrame:
     # Lists are never empty, so "outer" adds no row; it only keeps Catalyst from
     # inferring a filter that would build the list a second time.
@@ -66,9 +89,10 @@ def knn_join(
 ) -> DataFrame:
     """The ``k`` (default 1, or that of the tiles) nearest destinations of every origin.
 
-    One row per neighbour.  ``how="left"`` keeps origins without a match, with NULLs.
+    One row per neighbour.  ``how="left"`` keeps origins without a match, with
+    NULLs; ``how="error"`` fails on the first such origin, in the same pass.
     """
-    return _neighbours(nearest_lists(origins, _tiles(tiles, destinations, origins, k, max_distance), how), round_to)
+    return _neighbours(neighbour_lists(origins, destinations, k, max_distance, how, tiles), round_to)
 
 
 def nearest(
@@ -86,11 +110,7 @@ def nearest(
 def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
                   max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Take ``k`` neighbours, then the first of them by (distance, key)."""
-    tiles = _tiles(tiles, destinations, origins, k, max_distance)
-    seen = tiles.locate(origins.select("origin", "x", "y"))
-    return tiles.nearest(seen, ["origin"], first=1).select("origin", F.inline_outer("nearest")).select(
-        "origin", "destination", "distance"
-    )
+    return _neighbours(neighbour_lists(origins, destinations, k, max_distance, tiles=tiles, first=1))
 
 
 def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
@@ -99,14 +119,14 @@ def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
 
     Rounding makes extra ties, which the key then decides.
     """
-    tiles = _tiles(tiles, destinations, origins, k, None)
     rounded = F.transform(
         "nearest",
         lambda m: F.struct(
             F.round(m["distance"], digits).alias("distance"), m["destination"].alias("destination")
         ),
     )
-    best = nearest_lists(origins, tiles).select("origin", F.array_min(rounded).alias("best"))
+    lists = neighbour_lists(origins, destinations, k, None, tiles=tiles)
+    best = lists.select("origin", F.array_min(rounded).alias("best"))
     return best.select("origin", "best.destination", "best.distance")
 
 
@@ -123,12 +143,13 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
                      max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
     """Every destination at the smallest distance, several rows per origin if tied."""
-    tiles = _tiles(tiles, destinations, origins, 1, max_distance)
-    seen = origins.select("origin", "x", "y")
-    spots = tiles.nearest(tiles.locate(seen), ["origin"], ties=True).select(
-        "origin", F.inline_outer("nearest")
-    )
-    # Tiles keep one key per coordinate; the others at that spot tie as well.
+    if tiles is None:
+        found = search_leaves(origins, build_leaves(destinations), max_distance, ties=True)
+    else:
+        tiles = tiles.require(destinations, origins, 1, max_distance, False)
+        found = tiles.nearest(tiles.locate(origins.select("origin", "x", "y")), ["origin"], ties=True)
+    spots = found.select("origin", F.inline("nearest")).drop("destination")
+    # One key per coordinate is kept there; the others at that spot tie as well.
     keys = destinations.select("destination", F.col("x").alias("bx"), F.col("y").alias("by"))
     return spots.join(keys, ["bx", "by"]).select("origin", "destination", "distance")
 

@@ -1,3 +1,4 @@
+import math
 import os
 import sys
 
@@ -46,7 +47,7 @@ def brute(origins, destinations, k=1, cap=None, square=False):
             if dx is None or dy is None:
                 continue
             ax, ay = ox - dx, oy - dy
-            dist = (ax * ax + ay * ay) ** 0.5
+            dist = math.sqrt(ax * ax + ay * ay)
             if cap is not None and (max(abs(ax), abs(ay)) if square else dist) > cap:
                 continue
             seen.append((dist, d))

@@ -188,3 +188,85 @@ def narrowed(index, x, y, found, k, reach):
     if len(poor):
         reach[poor] = far_bound(index, x[poor], y[poor], need)
     return reach
+
+
+def _interleave(a, b):
+    """Morton code of two numbers below 2 to the 30."""
+    code = np.zeros(len(a), np.int64)
+    for shift, v in ((1, a), (0, b)):
+        v = v.astype(np.int64)
+        for s, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = (v | (v << s)) & mask
+        code |= v << shift
+    return code
+
+
+def tile_interval(level, tx, ty, finest, bits):
+    """Coarse cell and first Morton code of tiles, in units of the finest level (``bits`` per level and axis)."""
+    up = bits * (finest - level)
+    fx, fy = tx << up, ty << up
+    mask = (1 << bits * finest) - 1
+    return fx >> bits * finest, fy >> bits * finest, _interleave(fx & mask, fy & mask)
+
+
+def interval_index(level, tx, ty, finest, bits):
+    """Disjoint tiles of all levels, ordered along the curve of their coarse cell."""
+    cx, cy, lo = tile_interval(level, tx, ty, finest, bits)
+    by = np.lexsort((lo, cy, cx))
+    cx, cy, lo, level = cx[by], cy[by], lo[by], level[by]
+    new = np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])] if len(cx) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    column = np.flatnonzero(np.r_[True, cx[first][1:] != cx[first][:-1]]) if len(first) else first
+    return {"cx": cx[first][column], "column": np.r_[column, len(first)], "cy": cy[first],
+            "cell": np.r_[first, len(cx)], "lo": lo, "level": level, "finest": finest, "bits": bits}
+
+
+def tile_levels(index, x, y, size):
+    """The level of the tile each point lies in, or -1: the last interval that begins at or before it."""
+    finest, bits = index["finest"], index["bits"]
+    scale = float(1 << bits * finest)
+    cx, cy, code = tile_interval(np.int64(finest), *(np.floor(v / size * scale).astype(np.int64) for v in (x, y)), finest, bits)
+    found = np.full(len(x), -1, np.int64)
+    c = np.searchsorted(index["cx"], cx)
+    at = np.flatnonzero((c < len(index["cx"])) & (index["cx"][np.minimum(c, len(index["cx"]) - 1)] == cx))
+    lo, hi = index["column"][c[at]], index["column"][c[at] + 1]
+    r = lo + _segment_search(index["cy"], lo, hi, cy[at], False)
+    met = (r < hi) & (index["cy"][np.minimum(r, len(index["cy"]) - 1)] == cy[at])
+    at, r = at[met], r[met]
+    lo, hi = index["cell"][r], index["cell"][r + 1]
+    t = lo + _segment_search(index["lo"], lo, hi, code[at], True) - 1
+    inside = t >= lo
+    at, t = at[inside], t[inside]
+    level = index["level"][t]
+    # Tiles may leave gaps: those without origins aren't kept.
+    inside = code[at] - index["lo"][t] < np.int64(1) << 2 * bits * (finest - level)
+    found[at[inside]] = level[inside]
+    return found
+
+
+def run_starts(run, cx, cy, lo):
+    """First places of runs along the curves, in order."""
+    by = np.lexsort((lo, cy, cx))
+    return {"run": run[by], "places": _places(cx[by], cy[by], lo[by])}
+
+
+def _places(cx, cy, lo):
+    out = np.empty(len(lo), [("cx", np.int64), ("cy", np.int64), ("lo", np.int64)])
+    out["cx"], out["cy"], out["lo"] = cx, cy, lo
+    return out
+
+
+def last_before(starts, at):
+    """The run that begins last at or before each place; the first run for places before all."""
+    cx, cy, lo = at
+    wanted, places = _places(cx, cy, lo), starts["places"]
+    low, high = np.zeros(len(lo), np.int64), np.full(len(lo), len(places))
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        there = places[np.minimum(mid, len(places) - 1)]
+        before = (there["cx"] < wanted["cx"]) | ((there["cx"] == wanted["cx"]) & (
+            (there["cy"] < wanted["cy"]) | ((there["cy"] == wanted["cy"]) & (there["lo"] <= wanted["lo"]))))
+        right = open_ & before
+        low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+    return starts["run"][np.maximum(low - 1, 0)]

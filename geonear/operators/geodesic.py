@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geonear.functions.geodesy import geodesic_distance, reproject_points
-from geonear.functions.geometry import distance, located
+from geonear.functions.geometry import located
 from geonear.operators.grouping import first_per_key
-from geonear.operators.knn import nearest_lists
-from geonear.operators.pairs import near_pairs
-from geonear.operators.tiles import Tiles, build_tiles
-from geonear.session import materialize
+from geonear.operators.knn import neighbour_lists
+from geonear.session import materialize, materialize_measured
 
 #: Distances on the grid and on the sphere differ by less than this share in
 #: the grid's area: scale of the projection below 0.1 %, radii of curvature
 #: against the mean radius below 0.5 %.
 MARGIN = 0.01
-LISTED = 8  # neighbours on the grid that are looked at first
+LISTED = 8  # places on the grid that are looked at first; as many times more in each further round
 
 
 def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                     round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
+                     round_to: int | None = 2) -> DataFrame:
     """Nearest destination at most ``max_distance`` away on the sphere.
 
     Ranks on the great circle, then on the key; the distance that comes out is
@@ -30,29 +30,30 @@ def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance:
 
     The nearest on the sphere is among those that are at most twice ``MARGIN``
     farther on the grid than the nearest there. These stand in the list of the
-    ``LISTED`` nearest, unless its last entry is that near as well; such
-    origins, and only they, look at pairs instead. ``tiles`` must have been
-    built for ``k=LISTED`` and the cap widened by ``MARGIN``.
+    ``LISTED`` nearest places, unless its last entry is that near as well; such
+    origins, and only they, look at a longer list in the next round. Places have
+    one key each, so keys that share a place don't fill a list.
     """
     cap = float(max_distance) * (1 + MARGIN)
     slack = (1 + MARGIN) / (1 - MARGIN)
-    tiles = (build_tiles(destinations, origins, LISTED, cap) if tiles is None
-             else tiles.require(destinations, origins, LISTED, cap, False))
-    limit = F.col("nearest")[0]["distance"] * slack
-    lists = materialize(
-        nearest_lists(origins, tiles).withColumn("limit", limit).withColumn(
-            "open", (F.size("nearest") == LISTED) & (F.element_at("nearest", -1)["distance"] <= F.col("limit"))),
-        "geodesic-lists")
-    own = ["origin", F.col("x").alias("ax"), F.col("y").alias("ay")]
-    listed = lists.where("not open").select(
-        *own, F.inline(F.filter("nearest", lambda m: m["distance"] <= F.col("limit"))),
-    ).select("origin", "ax", "ay", "destination", "bx", "by")
-    spots = destinations.where(located("x") & located("y")).groupBy(
-        F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.min("destination").alias("destination"))
-    xy = [F.col(c) for c in ("ax", "ay", "bx", "by")]
-    paired = near_pairs(lists.where("open").select(*own, "limit"), spots, cap).where(
-        distance(*xy) <= F.col("limit")).select("origin", "ax", "ay", "destination", "bx", "by")
-    pairs = listed.unionByName(paired)
+    places, seen = materialize_measured(
+        destinations.where(located("x") & located("y")).groupBy("x", "y").agg(F.min("destination").alias("destination")),
+        "geodesic-places", n=F.count("*"))
+    left, k, rounds = origins.select("origin", "x", "y"), LISTED, []
+    while True:
+        limit = F.col("nearest")[0]["distance"] * slack
+        lists, found = materialize_measured(
+            neighbour_lists(left, places, k, cap).withColumn("limit", limit).withColumn(
+                "open", (F.size("nearest") == k) & (F.element_at("nearest", -1)["distance"] <= F.col("limit"))),
+            "geodesic-lists", open=F.count_if("open"))
+        last = k >= seen["n"]
+        rounds.append((lists if last else lists.where("not open")).select(
+            "origin", F.col("x").alias("ax"), F.col("y").alias("ay"),
+            F.inline(F.filter("nearest", lambda m: m["distance"] <= F.col("limit")))))
+        if last or not found["open"]:
+            break
+        left, k = lists.where("open").select("origin", "x", "y"), k * LISTED
+    pairs = reduce(DataFrame.unionByName, rounds)
     for x, y, lat, lon in (("ax", "ay", "a_lat", "a_lon"), ("bx", "by", "b_lat", "b_lon")):
         pairs = reproject_points(pairs, lat, lon, x, y)
     # Stored: a filter on what follows would be pushed through all those steps, and repeat them.

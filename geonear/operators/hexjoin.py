@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from geonear.functions.geometry import distance, located
 from geonear.functions.hexgrid import RES9_EDGE, disk_reach, hex_cell, hex_steps
 from geonear.operators.grouping import first_per_key
-from geonear.operators.knn import nearest_lists
+from geonear.operators.knn import neighbour_lists
 from geonear.operators.pairs import near_pairs
-from geonear.operators.tiles import Tiles, build_tiles
+from geonear.operators.tiles import Tiles
 from geonear.session import materialize
 
 
@@ -27,9 +27,8 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
     farther than the disk reaches there is none. Pairs are looked at for the
     origins in between only, by cells as wide as the reach: one row per origin.
     """
-    tiles = (build_tiles(destinations, origins, 1, max_distance) if tiles is None
-             else tiles.require(destinations, origins, 1, max_distance, False))
-    best = nearest_lists(origins, tiles).select("origin", "x", "y", F.inline_outer("nearest"))
+    lists = neighbour_lists(origins, destinations, 1, max_distance, tiles=tiles)
+    best = lists.select("origin", "x", "y", F.inline_outer("nearest"))
     if exact:
         found = best
     else:

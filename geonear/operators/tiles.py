@@ -6,6 +6,12 @@ point of the tile.  A KNN join is then one equi-join of origins with tiles, one
 row per origin, plus a look at that list: no pair is ever shuffled, and no
 grouping by origin is needed afterwards.
 
+Tiles of all levels are disjoint intervals of the Morton curve in their coarse
+cell.  An origin finds the level of its tile in the ordered intervals, which
+every executor has while they are few; of more tiles it has the first of every
+run, and the origin meets its run by an equi-join.  Either way one row leaves
+per origin, whatever the number of levels.
+
 Tiles are made by refining cells top-down, all cells of a level at once:
 
 * start with coarse tiles; the candidates of a tile are coarse *cells* with
@@ -39,12 +45,16 @@ from pyspark.sql import functions as F
 
 from geonear.functions.geometry import bbox_within, distance, located
 from geonear.functions.ranking import nearest_slots, useful_cells
+from geonear.functions.search import interval_index, last_before, run_starts, tile_interval, tile_levels
 from geonear.session import materialize, materialize_measured
 
 SPLIT = 4  # one round turns a tile into SPLIT x SPLIT tiles, by halving twice
 MAX_LEVEL = 15  # 4**15 steps below the coarsest tile: 5 micrometres for 5 km
 TILE_KEY = ["level", "tx", "ty"]
 COARSE_CELLS = 8  # coarsest grid of an uncapped search, per axis
+#: Intervals that every executor gets (24 bytes each); of more tiles, the first of each run.
+MAX_INTERVALS = 1 << 20
+_BITS = SPLIT.bit_length() - 1
 
 
 def _cell(v: Column, size: float, level: float) -> Column:
@@ -68,6 +78,7 @@ class Tiles:
     square: bool
     destinations: DataFrame | None = None
     origins: DataFrame | None = None
+    found: tuple | None = None  # the intervals, once looked at
 
     def require(self, destinations: DataFrame | None, origins: DataFrame | None, k: int | None,
                 max_distance: float | None, square: bool) -> Tiles:
@@ -91,20 +102,43 @@ class Tiles:
         return float(SPLIT**level)
 
     def locate(self, origins: DataFrame) -> DataFrame:
-        """Origins with the key ``level, tx, ty`` of each tile they may lie in.
-
-        A point lies in exactly one finished tile; as its level is not known
-        before the join, one key per level in use is given.
-        """
-        keys = [
-            f"struct({level} as level, floor(x / {self.size!r}D * {self.scale(level)!r}D) as tx, "
-            f"floor(y / {self.size!r}D * {self.scale(level)!r}D) as ty)"
-            for level in self.levels
-        ]
+        """Origins with the key ``level, tx, ty`` of the tile they lie in: one row each, or none."""
         origins = origins.where(located("x") & located("y"))
-        if len(keys) == 1:
-            return origins.selectExpr("*", f"{keys[0]} as __t").select("*", "__t.*").drop("__t")
-        return origins.selectExpr("*", f"inline(array({', '.join(keys)}))")
+        if len(self.levels) == 1:
+            at = (f"{self.levels[0]} as level", *(
+                f"floor({v} / {self.size!r}D * {self.scale(self.levels[0])!r}D) as t{v}" for v in "xy"))
+            return origins.selectExpr("*", *at)
+        found, run = self._intervals()
+        if run is None:
+            level = _level_udf(found, self.size)(F.col("x").cast("double"), F.col("y").cast("double"))
+        else:
+            # A point lies in the last tile of its run that begins before it.
+            finest = self.levels[-1]
+            place = _place_udf(found, self.size, finest)(F.col("x").cast("double"), F.col("y").cast("double"))
+            origins = origins.withColumn("__p", place).withColumn("run", F.col("__p.run")).join(run, "run")
+            own = F.struct("__p.cx", "__p.cy", "__p.lo")
+            last = F.try_element_at(F.filter("tiles", lambda t: F.struct(t["cx"], t["cy"], t["lo"]) <= own), F.lit(-1))
+            width = F.expr(f"shiftleft(1L, {2 * _BITS} * ({finest} - last.level))")
+            origins = origins.withColumn("last", last).where(
+                (F.col("last.cx") == F.col("__p.cx")) & (F.col("last.cy") == F.col("__p.cy"))
+                & (F.col("__p.lo") - F.col("last.lo") < width))
+            level = F.col("last.level")
+        kept = [c for c in origins.columns if c not in ("__p", "run", "tiles", "last")]
+        scale = F.pow(F.lit(float(SPLIT)), F.col("level"))
+        return origins.withColumn("level", level).where("level >= 0").select(*kept, "level", *[
+            F.floor(F.col(v) / F.lit(self.size) * scale).alias(f"t{v}") for v in ("x", "y")])
+
+    def _intervals(self) -> tuple[dict, DataFrame | None]:
+        """The tiles along the curve; with more than ``MAX_INTERVALS``, the first of each run, and the runs."""
+        if self.found is None:
+            finest, n = self.levels[-1], self.table.count()
+            keys = self.table.select(F.col("level").cast("long").alias("level"), "tx", "ty")
+            if n <= MAX_INTERVALS:
+                at = keys.toArrow()
+                self.found = interval_index(*(at.column(c).to_numpy() for c in at.schema.names), finest, _BITS), None
+            else:
+                self.found = _runs(keys, finest, -(-n // MAX_INTERVALS))
+        return self.found
 
     def candidates(self) -> DataFrame:
         """One row per tile and candidate: ``level, tx, ty, destination, bx, by``."""
@@ -143,6 +177,48 @@ class Tiles:
         return found.selectExpr(*keep, f"transform({slots}, s -> {value}) as nearest")
 
 
+def _level_udf(index: dict, size: float):
+    def level(x, y):
+        import pyarrow as pa
+
+        return pa.array(tile_levels(index, *(v.to_numpy(zero_copy_only=False) for v in (x, y)), size).astype("i4"))
+
+    return F.arrow_udf(level, "int").asNondeterministic()
+
+
+def _place_udf(starts: dict, size: float, finest: int):
+    """UDF ``(x, y) -> struct<run, cx, cy, lo>``: place on the curve, and the run that begins last before it."""
+    def place(x, y):
+        import numpy as np
+        import pyarrow as pa
+
+        scale = float(1 << _BITS * finest)
+        fine = (np.floor(v.to_numpy(zero_copy_only=False) / size * scale).astype(np.int64) for v in (x, y))
+        at = tile_interval(np.int64(finest), *fine, finest, _BITS)
+        run = last_before(starts, at)
+        return pa.StructArray.from_arrays([pa.array(v) for v in (run, *at)], names=["run", "cx", "cy", "lo"])
+
+    return F.arrow_udf(place, "struct<run: long, cx: long, cy: long, lo: long>").asNondeterministic()
+
+
+def _runs(keys: DataFrame, finest: int, length: int) -> tuple[dict, DataFrame]:
+    """Runs of ``length`` tiles along the curve: the first place of each, and ``run, tiles``."""
+    def place(level, tx, ty):
+        import pyarrow as pa
+
+        parts = tile_interval(*(v.to_numpy() for v in (level, tx, ty)), finest, _BITS)
+        return pa.StructArray.from_arrays([pa.array(v) for v in parts], names=["cx", "cy", "lo"])
+
+    placed = keys.withColumn("p", F.arrow_udf(place, "struct<cx: long, cy: long, lo: long>")("level", "tx", "ty"))
+    ranged = placed.select("p.*", "level").repartitionByRange("cx", "cy", "lo").withColumn("part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("cx", "cy", "lo"))
+    run = F.shiftleft(F.col("part").cast("long"), 32) + F.floor((nth - 1) / length)
+    table = materialize(ranged.withColumn("run", run).groupBy("run").agg(
+        F.sort_array(F.collect_list(F.struct("cx", "cy", "lo", "level"))).alias("tiles")), "tile-runs")
+    first = table.select("run", F.col("tiles")[0].alias("t")).select("run", "t.cx", "t.cy", "t.lo").toArrow()
+    return run_starts(*(first.column(c).to_numpy() for c in first.schema.names)), table
+
+
 def _reduce_to_k(destinations: DataFrame, k: int) -> DataFrame:
     """One row per coordinate with its ``k`` smallest keys.
 

@@ -51,7 +51,7 @@ def home_leaves(index, x, y):
     return lo + np.clip(_segment_search(index["y0"], lo, hi, y, True) - 1, 0, None)
 
 
-def _spread(counts):
+def spread(counts):
     """Row numbers and running numbers for ``counts`` items per row."""
     row = np.repeat(np.arange(len(counts)), counts)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -63,7 +63,7 @@ def leaves_within(index, x, y, reach):
     s1 = np.searchsorted(index["sx0"], x + reach, "right")
     counts = np.maximum(s1 - s0, 0)
     for a, b in _runs(counts, PAIRS):
-        row, k = _spread(counts[a:b])
+        row, k = spread(counts[a:b])
         row += a
         slab = s0[row] + k
         lo, hi = index["first"][slab], index["ends"][slab]
@@ -71,7 +71,7 @@ def leaves_within(index, x, y, reach):
         i1 = _segment_search(index["y0"], lo, hi, y[row] + reach[row], True)
         inner = np.maximum(i1 - i0, 0)
         for c, d in _runs(inner, PAIRS):
-            at, k = _spread(inner[c:d])
+            at, k = spread(inner[c:d])
             at += c
             r, leaf = row[at], lo[at] + i0[at] + k
             gx = np.maximum(np.maximum(index["x0"][leaf] - x[r], x[r] - index["x1"][leaf]), 0)
@@ -121,7 +121,7 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach):
     per_row = np.add.reduceat(counts, first) if len(first) else counts
     for a, b in _runs(per_row, PAIRS):
         lo, hi = first[a], last[b - 1] + 1
-        pair, i = _spread(counts[lo:hi])
+        pair, i = spread(counts[lo:hi])
         slot = starts[leaf[lo:hi]][pair] + i
         r = row[lo:hi][pair]
         dx, dy = x[r] - px[slot], y[r] - py[slot]

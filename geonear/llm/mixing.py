@@ -189,15 +189,15 @@ def _cut(placed: DataFrame, window_rows: int) -> DataFrame:
         slices = inside.groupBy(_KEY, _prefix(depth).alias(_AT)).agg(
             F.sum("size").alias(_WORDS), F.count("*").alias("n"), F.max(_REST).alias(_REST), base.alias("base"))
         begun = slices.withColumn(_BEFORE, F.col("base") + F.coalesce(F.sum(_WORDS).over(along), F.lit(0)))
-        cut, seen = materialize_measured(begun.where(
-            (F.col(_BEFORE) <= F.col(_REST)) & (F.col(_BEFORE) + F.col(_WORDS) > F.col(_REST))
-        ).select(_KEY, F.col(_AT).alias(_CUT), _BEFORE, "n"), "mix-cut", n=F.max("n"))
+        here = (F.col(_REST) > 0) & (F.col(_BEFORE) <= F.col(_REST)) & (F.col(_BEFORE) + F.col(_WORDS) > F.col(_REST))
+        cut, seen = materialize_measured(
+            begun.where(here).select(_KEY, F.col(_AT).alias(_CUT), _BEFORE, "n"), "mix-cut", n=F.max("n"))
         if (seen["n"] or 0) <= window_rows or depth == _DIGITS * len(_ORDER):
             break
     met = placed.withColumn(_AT, _prefix(depth)).join(cut.drop("n"), _KEY, "left")
-    # A source without a cut has no words beyond those that are left to share.
+    # A source has no cut if no words are left to share, or more than it holds.
     sure = met.where(F.col(_CUT).isNull() | (F.col(_AT) != F.col(_CUT))).withColumn(
-        "more", F.col(_CUT).isNull() | (F.col(_AT) < F.col(_CUT)))
+        "more", F.when(F.col(_CUT).isNull(), F.col(_REST) > 0).otherwise(F.col(_AT) < F.col(_CUT)))
     ranked = Window.partitionBy(_KEY).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col(_BEFORE) + F.coalesce(F.sum("size").over(ranked), F.lit(0))
     near = met.where(F.col(_AT) == F.col(_CUT)).withColumn(

@@ -233,6 +233,35 @@ def udf_sql_functions(spark, sf_dir):
     )
 
 
+def udf_hex_lateral(spark, sf_dir):
+    """The hexagon-limited search as SQL text; the disk is a table function beside the smaller table."""
+    g.register_sql_functions(spark)
+    origins, destinations = _both(spark, sf_dir)
+    return spark.sql(
+        """
+        WITH a AS (SELECT origin, st_point(x, y) AS geom, hex_cell(x, y, {edge}) AS cell FROM {origins}),
+        c AS (SELECT destination, st_point(x, y) AS geom, hex_cell(x, y, {edge}) AS cell FROM {destinations}),
+        b AS (SELECT c.destination, c.geom, d.q, d.r FROM c, LATERAL hex_disk(c.cell, 5) d),
+        knn AS (
+            SELECT a.origin, b.destination, round(st_distance(a.geom, b.geom), 2) AS distance,
+                   row_number() OVER (PARTITION BY a.origin
+                       ORDER BY st_distance(a.geom, b.geom), b.destination) AS rn
+            FROM a JOIN b ON a.cell.q = b.q AND a.cell.r = b.r
+            WHERE st_dwithin(a.geom, b.geom, {cap}))
+        SELECT * EXCEPT (rn) FROM knn WHERE rn = 1
+        """,
+        origins=origins, destinations=destinations, edge=RES9_EDGE, cap=R)
+
+
+def udf_wkb_srid(spark, sf_dir):
+    g.register_sql_functions(spark)
+    return spark.sql(
+        """
+        SELECT origin, st_srid_of(st_set_srid(st_plain(p), 27700)) AS srid, st_x(st_plain(p)) AS x, p.y AS y, length(w) AS bytes
+        FROM (SELECT origin, w, st_pointfromwkb(w) AS p FROM (SELECT origin, st_aswkb(st_point(x, y)) AS w FROM {origins}))
+        """, origins=fx.origins(spark, sf_dir))
+
+
 # --- sources and sinks -------------------------------------------------------------
 
 
@@ -263,6 +292,28 @@ def src_geopackage(spark, sf_dir):
     return g.decode_wkb(layer, "wkb").select("postcode", "srs_id", "x", "y")
 
 
+def src_orc_clustered(spark, sf_dir):
+    """Points of one box from files written along a curve."""
+    path = scratch_path(spark, "orc")
+    g.write_points_orc(fx.origins(spark, sf_dir), path, clustered=True)
+    return g.read_points_orc(spark, path).where("x between 430000 and 432000 and y between 190000 and 193000").select(
+        "origin", "x", "y")
+
+
+def src_geopackage_filter(spark, sf_dir):
+    """Rows of a layer by attribute; the comparison is answered inside the files."""
+    folder = fx.write_geopackages(fx.raw_destinations(spark, sf_dir), "codepoint")
+    layer = g.read_geopackage(spark, folder, "codepoint", where=[("postcode", ">=", "Customer#000000100")])
+    return g.decode_wkb(layer, "wkb").select("postcode", "x", "y")
+
+
+def sink_ordered_result(spark, sf_dir):
+    """A result written in order over all files, read back with each row's position."""
+    path = scratch_path(spark, "result")
+    g.write_result_csv(knn_pyramid(spark, sf_dir), path, ordered=True)
+    return g.read_ordered_csv(spark, path)
+
+
 def src_copy_by_name(spark, sf_dir):
     path = scratch_path(spark, "copy")
     fx.origins(spark, sf_dir).selectExpr("y as Y", "cast(origin as int) as ORIGIN", "x as X",
@@ -381,8 +432,9 @@ _ALL = (
     knn_first_per_origin, knn_geodesic, knn_hex, knn_join_k10, knn_join_k100_top1, knn_join_k10_top1,
     knn_join_k5, knn_k5_rounded, knn_lateral, knn_left_unmatched, knn_nearest_first, knn_pyramid,
     knn_unbounded, knn_window, load_job, nearest_all_ties, prep_job, sink_insert_new_keys,
-    sink_result_csv, sink_table_ctas, src_copy_by_name, src_csv_header, src_csv_pipe,
-    src_geopackage, src_orc_roundtrip, udf_sql_functions,
+    sink_ordered_result, sink_result_csv, sink_table_ctas, src_copy_by_name, src_csv_header, src_csv_pipe,
+    src_geopackage, src_geopackage_filter, src_orc_clustered, src_orc_roundtrip, udf_hex_lateral, udf_sql_functions,
+    udf_wkb_srid,
 )
 
 
@@ -640,7 +692,14 @@ def oracle_sql() -> dict[str, str]:
             'POINT(' || x || ' ' || y || ')' as wkt, x, y from destinations"""),
         "src_geopackage": fx.sql(
             "select destination as postcode, 27700 as srs_id, x, y from raw_destinations"),
+        "src_geopackage_filter": fx.sql("select destination as postcode, x, y from raw_destinations where destination >= 'Customer#000000100'"),
+        "src_orc_clustered": fx.sql(
+            point_rows + " where x between 430000 and 432000 and y between 190000 and 193000"),
         "src_orc_roundtrip": fx.sql(point_rows),
+        "sink_ordered_result": fx.sql(
+            f"select row_number() over (order by origin) as position, origin, destination, distance from ({rounded})"),
+        "udf_hex_lateral": fx.sql("select * from hex_knn", *hexed),
+        "udf_wkb_srid": fx.sql("select origin, 27700 as srid, x, y, 21 as bytes from origins"),
         "udf_sql_functions": fx.sql(rounded),
     }
     return own if corpus is None else own | corpus.ORACLE_SQL

@@ -32,9 +32,11 @@ from geonear.operators.tiles import Tiles, build_tiles
 from geonear.plans.prepare import load_serving_table, prepare
 from geonear.sources.files import (
     append_by_name,
+    curve_code,
     export_points_psv,
     insert_new_keys,
     read_points_csv,
+    read_ordered_csv,
     read_points_jdbc,
     read_points_orc,
     read_points_psv,

@@ -30,7 +30,7 @@ def decode_wkt(df: DataFrame, col: str = "wkt", x: str = "x", y: str = "y") -> D
     return df.withColumns(parts)
 
 
-def _wkb_writer():
+def wkb_writer():
     # Nested, so the function travels to the workers by value.
     def write(x, y):
         import numpy as np
@@ -50,7 +50,7 @@ def _wkb_writer():
     return F.arrow_udf(write, "binary")
 
 
-def _wkb_reader():
+def wkb_reader():
     def read(wkb):
         import numpy as np
         import pyarrow as pa
@@ -94,7 +94,7 @@ def encode_wkb(
     df: DataFrame, out: str = "wkb", x: str = "x", y: str = "y", as_hex: bool = False
 ) -> DataFrame:
     """Add the little-endian WKB of a point (or its hex text); NULL stays NULL."""
-    made = _wkb_writer()(F.col(x).cast("double"), F.col(y).cast("double"))
+    made = wkb_writer()(F.col(x).cast("double"), F.col(y).cast("double"))
     return df.withColumn(out, F.hex(made) if as_hex else made)
 
 
@@ -114,7 +114,7 @@ def decode_wkb(
     if df.schema[col].dataType.typeName() == "string":
         raw = F.unhex(raw)
     kept = [c for c in df.columns if c not in (x, y, srid)]
-    parsed = df.withColumn("__point", _wkb_reader()(raw))
+    parsed = df.withColumn("__point", wkb_reader()(raw))
     made = [F.col("__point.x").alias(x), F.col("__point.y").alias(y)]
     if srid:
         made.append(F.col("__point.srid").alias(srid))

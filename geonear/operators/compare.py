@@ -23,14 +23,16 @@ def diff_inner(left: DataFrame, right: DataFrame) -> DataFrame:
 def check(result: DataFrame, reference: DataFrame) -> DataFrame:
     """Mismatching origins: another destination, or missing on either side.
 
-    Distances are shown but not compared.
+    Distances are shown but not compared. NULL is an origin like any other.
     """
-    a = reference.select("origin", F.col("destination").alias("destination_x"),
+    a = reference.select(F.col("origin").alias("origin_x"), F.col("destination").alias("destination_x"),
                          F.col("distance").alias("distance_x"))
-    b = result.select("origin", F.col("destination").alias("destination_y"),
+    b = result.select(F.col("origin").alias("origin_y"), F.col("destination").alias("destination_y"),
                       F.col("distance").alias("distance_y"))
     same = F.coalesce(F.col("destination_x") == F.col("destination_y"), F.lit(False))
-    return a.join(b, "origin", "full_outer").where(~same)
+    met = a.join(b, F.col("origin_x").eqNullSafe(F.col("origin_y")), "full_outer").where(~same)
+    shown = ("destination_x", "distance_x", "destination_y", "distance_y")
+    return met.select(F.coalesce("origin_x", "origin_y").alias("origin"), *shown)
 
 
 def compare_methods(results: dict[str, DataFrame], reference: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,18 +41,27 @@ def export_points_psv(df: DataFrame, path: str, x: str = "x", y: str = "y") -> N
 
 
 def write_result_csv(df: DataFrame, path: str, decimals: int | None = None,
-                     single_file: bool = False) -> None:
+                     single_file: bool = False, ordered: bool = False) -> None:
     """``origin,destination,distance`` with header; joined destinations get quoted.
 
+    ``ordered`` sorts by origin, distance and destination over all files: the
+    files are ranges of origins, their numbers follow the order, and so do the
+    rows in each.
+
     ``decimals=6`` writes fixed-point distances, ``None`` the shortest form that
     reads back equal.  ``single_file`` sends the result through one task; use it
     for small results only.
     """
     out = df.select("origin", "destination", "distance")
+    if decimals is not None and ordered:
+        raise ValueError("fixed-point text has another order than the numbers")
     if decimals is not None:
         out = out.withColumn("distance", F.format_string(f"%.{decimals}f", "distance"))
+    by = [F.asc_nulls_last(c) for c in ("origin", "distance", "destination")]
     if single_file:
         out = out.coalesce(1)
+    if ordered:
+        out = (out if single_file else out.repartitionByRange(*by)).sortWithinPartitions(*by)
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -60,6 +69,24 @@ def read_result_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).option("header", True).csv(path)
 
 
+def read_ordered_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A result written with ``ordered=True``, with each row's ``position`` in it, from 1.
+
+    Rows are numbered inside each split of a file; the numbers of rows in the
+    splits before, one per split, do the rest.
+    """
+    read = read_result_csv(spark, path).select(
+        "*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"))
+    split = ["__file", "__block"]
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = read.groupBy(*split).agg(F.count("*").alias("n")).select(
+        *split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy("__id"))
+    return read.withColumn("__nth", inside).join(starts, split).select(
+        (F.col("__before") + F.col("__nth")).alias("position"), *RESULT_SCHEMA.names)
+
+
 # --- ORC -------------------------------------------------------------------
 
 
@@ -71,9 +98,33 @@ def read_points_orc(spark: SparkSession, path: str, glob: str | None = None) ->
     return reader.orc(path)
 
 
-def write_points_orc(df: DataFrame, path: str, x: str = "x", y: str = "y") -> None:
-    """ORC with the point as WKB in ``geom_wkb``; replaces what is there."""
-    encode_wkb(df, "geom_wkb", x, y).write.mode("overwrite").orc(path)
+def curve_code(x: Column, y: Column, cell: float = 1.0) -> Column:
+    """Morton code of the grid cell of side ``cell`` holding a point: nearby points have nearby codes."""
+    code = F.lit(0).cast("long")
+    for shift, v in ((1, x), (0, y)):
+        # 31 bits an axis, counted from far below zero; what lies beyond counts as the last cell.
+        far = float(1 << 30)
+        v = F.floor(F.greatest(F.lit(-far), F.least(v / F.lit(float(cell)), F.lit(far - 1)))).cast("long") + (1 << 30)
+        for s, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, s)).bitwiseAND(F.lit(mask))
+        code = code.bitwiseOR(F.shiftleft(v, shift))
+    return code
+
+
+def write_points_orc(df: DataFrame, path: str, x: str = "x", y: str = "y", clustered: bool = False,
+                     cell: float = 1.0) -> None:
+    """ORC with the point as WKB in ``geom_wkb``; replaces what is there.
+
+    ``clustered`` writes the points along a space-filling curve over cells of
+    side ``cell``: a file, and a row group in it, then covers a small area, so
+    its minima and maxima let a reader skip it for a box on ``x`` and ``y``.
+    """
+    out = encode_wkb(df, "geom_wkb", x, y)
+    if clustered:
+        out = out.withColumn("__curve", curve_code(F.col(x), F.col(y), cell))
+        out = out.repartitionByRange("__curve").sortWithinPartitions("__curve").drop("__curve")
+    out.write.mode("overwrite").orc(path)
 
 
 # --- tables ----------------------------------------------------------------

@@ -7,6 +7,8 @@ that every executor sees under the same path.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,24 +49,48 @@ def _source_class():
 
     class GeoPackageReader(DataSourceReader):
         def __init__(self, schema, options):
+            import json
+
             self.schema = schema
             self.table = options["tableName"]
             self.files = file_list(options["path"])
             self.rows = int(options.get("rowsPerPartition", 500_000))
+            box = options.get("box")
+            self.box = [float(v) for v in box.split(",")] if box else None
+            self.where, self.values = "", []
+            for column, test, value in json.loads(options.get("where", "[]")):
+                field = next((c for c in schema.fields[:-2] if c.name == column), None)
+                if field is None or test not in ("=", "<>", "<", "<=", ">", ">=", "in"):
+                    raise ValueError(f"no comparison {column} {test}")
+                # As bytes, as Spark compares; the file may name another order for a column.
+                name = '"' + column.replace('"', '""') + '"' + " collate binary" * (field.dataType.typeName() == "string")
+                values = value if test == "in" else [value]
+                marks = f"({', '.join('?' * len(values))})" if test == "in" else "?"
+                self.where += f" and {name} {test} {marks}"
+                self.values += values
 
         def partitions(self):
+            import os
             import sqlite3
 
             parts = []
             for path in self.files:
                 with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    # Ranges of rows that exist: ids may leave gaps of any size.
-                    ranges = db.execute(
-                        f'select min(id), max(id) from (select rowid as id, '
-                        f'(row_number() over (order by rowid) - 1) / ? as part from "{self.table}") '
-                        'group by part', (self.rows,)
-                    ).fetchall()
-                parts += [Rows(path, first, last) for first, last in ranges]
+                    low, high = db.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
+                    if low is None:
+                        continue
+                    # Ids may leave gaps of any size, so their span says little: no more
+                    # slices than the file has megabytes, and none without rows.
+                    most = os.path.getsize(path) // (1 << 20) + 1
+                    n = max(1, min(-(-(high - low + 1) // self.rows), max(most, 8)))
+                    width = -(-(high - low + 1) // n)
+                    for first in range(low, high + 1, width):
+                        last = min(first + width - 1, high)
+                        found = db.execute(
+                            f'select rowid from "{self.table}" where rowid between ? and ? order by rowid limit 1',
+                            (first, last)).fetchone()
+                        if found:
+                            parts.append(Rows(path, found[0], last))
             return parts or [Rows(None, 0, -1)]
 
         def read(self, partition):
@@ -87,9 +113,16 @@ def _source_class():
             # Bytes of the envelope by its code in the header's flags.
             envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
             with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
+                where, values = self.where, list(self.values)
+                index = f"rtree_{self.table}_{geometry}"
+                known = db.execute("select 1 from sqlite_master where name = ?", (index,)).fetchone()
+                if self.box and known:
+                    where += (f' and rowid in (select id from "{index}" where maxx >= ? and maxy >= ? '
+                              "and minx <= ? and miny <= ?)")
+                    values += self.box
                 cursor = db.execute(
-                    f'select {names} from "{self.table}" where rowid between ? and ?',
-                    (partition.first, partition.last),
+                    f'select {names} from "{self.table}" where rowid between ? and ?{where}',
+                    (partition.first, partition.last, *values),
                 )
                 while rows := cursor.fetchmany(20_000):
                     columns = [list(c) for c in zip(*rows)]
@@ -144,13 +177,27 @@ def register_geopackage(spark: SparkSession) -> None:
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str,
-                    rows_per_partition: int = 500_000) -> DataFrame:
+                    rows_per_partition: int = 500_000,
+                    box: tuple[float, float, float, float] | None = None,
+                    where: list[tuple] | None = None) -> DataFrame:
     """Row id, attributes, ``srs_id`` and ``wkb`` of a layer.
 
-    ``path`` is a file, a folder of ``.gpkg`` files or a pattern.
+    ``path`` is a file, a folder of ``.gpkg`` files or a pattern. ``where`` lists
+    comparisons ``(column, test, value)`` that all hold for the rows read, with a
+    test of ``= <> < <= > >= in``; NULL meets none. They are answered inside the
+    files, by their indexes where there are any. With ``box`` (least x, least y,
+    greatest x, greatest y) rows whose geometry lies outside may be left out:
+    files with an R-tree of the layer do so.
+
+    Filters that Spark itself pushes into Python sources aren't taken: two
+    different filters of one DataFrame then share the last one (Spark 4.1).
     """
     register_geopackage(spark)
     reader = spark.read.format("geopackage").option("tableName", layer)
+    if where:
+        reader = reader.option("where", json.dumps([list(w) for w in where]))
+    if box:
+        reader = reader.option("box", ",".join(repr(float(v)) for v in box))
     return reader.option("rowsPerPartition", rows_per_partition).load(path)
 
 

@@ -1,6 +1,9 @@
 import sqlite3
 import struct
 
+import pytest
+from pyspark.sql import functions as F
+
 import geonear as g
 from geonear.sources.files import by_name, new_keys
 
@@ -125,3 +128,90 @@ def test_prepare_and_load(spark, tmp_path):
         (1, 51.0, "POINT(5.0 5.0)"), (3, 52.0, "POINT(10.0 3.0)")]
     codes = g.load_serving_table(spark, destinations, str(tmp_path / "c"), "postcode", POSTCODE_SCHEMA)
     assert [(r.postcode, r.geom.x) for r in codes.collect()] == [("A,B", 1.0)]
+
+
+def test_geopackage_filters_are_answered_in_the_file(spark, tmp_path):
+    path = str(tmp_path / "f.gpkg")
+    wkb = struct.pack("<BIdd", 1, 1, 1.0, 2.0)
+    geopackage(path, "pts", [(f"n{i:03}" if i % 5 else None, wkb, 0, 1) for i in range(200)])
+    with sqlite3.connect(path) as db:
+        # The format's own index over the layer, as a plain table here.
+        db.execute("create table rtree_pts_geom (id integer, minx real, maxx real, miny real, maxy real)")
+        db.executemany("insert into rtree_pts_geom values (?, ?, ?, 0, 0)", [(i, i, i) for i in range(1, 201)])
+
+    def left_the_reader(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        rows = df.collect()
+        leaf = plan.collectLeaves().apply(0)
+        return len(rows), leaf.metrics().get("numOutputRows").get().value()
+
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        read = lambda *where: g.read_geopackage(spark, path, "pts", where=list(where)).select("fid", "name", "area")
+        assert left_the_reader(read()) == (200, 200)
+        assert left_the_reader(read(("name", "=", "n007"))) == (1, 1)
+        assert left_the_reader(read(("fid", ">", 190), ("name", "<>", ""), ("area", "<", 2))) == (8, 8)
+        assert left_the_reader(read(("name", "in", ["n001", "n002", "zz"]))) == (2, 2)
+        both = read(("name", "=", "n007")).unionByName(read(("name", "=", "n008")))
+        assert sorted(r.name for r in both.collect()) == ["n007", "n008"]
+        with pytest.raises(Exception, match="no comparison"):
+            read(("name; drop", "=", 1)).collect()
+        boxed = g.read_geopackage(spark, path, "pts", box=(10, -1, 19, 1))
+        assert left_the_reader(boxed) == (10, 10)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_ids_with_huge_gaps_make_few_partitions(spark, tmp_path):
+    path = str(tmp_path / "g.gpkg")
+    geopackage(path, "pts", [("a", None, 0, 1), ("b", None, 0, 1)])
+    with sqlite3.connect(path) as db:
+        db.execute("insert into pts (fid, name) values (?, 'c')", (1 << 60,))
+    df = g.read_geopackage(spark, path, "pts", rows_per_partition=1)
+    assert sorted(r.name for r in df.collect()) == ["a", "b", "c"] and df.rdd.getNumPartitions() <= 8
+
+
+def test_clustered_orc_reads_less_for_a_box(spark, tmp_path):
+    points = spark.range(200_000).selectExpr(
+        "id", "cast(pmod(hash(id, 1), 40000) as double) as x", "cast(pmod(hash(id, 2), 40000) as double) as y").repartition(4)
+    read = {}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        for clustered in (False, True):
+            path = str(tmp_path / f"{clustered}.orc")
+            g.write_points_orc(points, path, clustered=clustered)
+            df = g.read_points_orc(spark, path).where("x between 1000 and 2000 and y between 1000 and 2000").select("id")
+            plan = df._jdf.queryExecution().executedPlan()
+            ids = sorted(r.id for r in df.collect())
+            leaf = plan.collectLeaves().apply(0)
+            read[clustered] = ids, leaf.metrics().get("numOutputRows").get().value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert read[True][0] == read[False][0] and read[False][1] == 200_000
+    assert read[True][1] <= 60_000
+
+
+def test_curve_codes_of_any_point(spark):
+    df = spark.createDataFrame([(-5.5, 3.0), (1e300, -1e300), (0.0, 0.0), (None, 1.0), (float("nan"), 1.0)], "x double, y double")
+    codes = [r[0] for r in df.select(g.curve_code(F.col("x"), F.col("y"))).collect()]
+    assert all(c >= 0 for c in codes[:3]) and len(set(codes[:3])) == 3
+
+
+def test_ordered_result(spark, tmp_path):
+    rows = [(i * 7919 % 1000, f"d{i % 3},{i}", i / 4) for i in range(1000)] + [(None, "x", 1.0), (5, None, None)]
+    df = spark.createDataFrame(rows, "origin long, destination string, distance double").repartition(5)
+    path = str(tmp_path / "o.csv")
+    g.write_result_csv(df, path, ordered=True)
+    back = sorted(tuple(r) for r in g.read_ordered_csv(spark, path).collect())
+    assert [r[0] for r in back] == list(range(1, 1003))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2] is None, r[2] or 0, r[1] or "")
+    assert [r[1:] for r in back] == sorted(rows, key=key)
+    with pytest.raises(ValueError):
+        g.write_result_csv(df, path, decimals=2, ordered=True)
+
+
+def test_null_origins_in_comparisons(spark):
+    a = spark.createDataFrame([(1, "a", 1.0), (None, "b", 1.0)], "origin long, destination string, distance double")
+    assert g.check(a, a).count() == 0
+    assert [r.agrees for r in g.compare_methods({"same": a}, a).collect()] == [True]
+    assert g.check(a.where("origin = 1"), a).count() == 1

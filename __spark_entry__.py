@@ -195,6 +195,7 @@ def geom_geodesic(spark, sf_dir):
         "origin",
         F.round(g.geodesic_distance(*degrees), 2).alias("sphere"),
         F.round(g.geodesic_distance(*degrees, spheroid=True), 2).alias("spheroid"),
+        F.round(g.geodesic_inverse(*degrees), 2).alias("geodesic"),
     )
 
 
@@ -343,6 +344,16 @@ def sink_insert_new_keys(spark, sf_dir):
     return spark.read.orc(path)
 
 
+def sink_insert_bucketed(spark, sf_dir):
+    """Two loads into a table bucketed by its key: the second adds unknown keys only."""
+    name, orders = f"keyed_{uuid.uuid4().hex}", _orders(spark, sf_dir)
+    g.create_keyed_table(spark, name, orders.schema, "o_custkey", 8, scratch_path(spark, "keyed"))
+    for batch in (orders.where("o_orderstatus = 'F'"), orders):
+        order = ["o_totalprice", "o_orderkey"] if batch is not orders else ["o_orderkey"]
+        g.insert_into_keyed_table(spark, name, batch, "o_custkey", order, 8)
+    return spark.table(name)
+
+
 # --- jobs ----------------------------------------------------------------------------
 
 
@@ -432,7 +443,7 @@ _ALL = (
     knn_first_per_origin, knn_geodesic, knn_hex, knn_join_k10, knn_join_k100_top1, knn_join_k10_top1,
     knn_join_k5, knn_k5_rounded, knn_lateral, knn_left_unmatched, knn_nearest_first, knn_pyramid,
     knn_unbounded, knn_window, load_job, nearest_all_ties, prep_job, sink_insert_new_keys,
-    sink_ordered_result, sink_result_csv, sink_table_ctas, src_copy_by_name, src_csv_header, src_csv_pipe,
+    sink_insert_bucketed, sink_ordered_result, sink_result_csv, sink_table_ctas, src_copy_by_name, src_csv_header, src_csv_pipe,
     src_geopackage, src_geopackage_filter, src_orc_clustered, src_orc_roundtrip, udf_hex_lateral, udf_sql_functions,
     udf_wkb_srid,
 )
@@ -474,7 +485,31 @@ e as (select c_custkey,
     radians(cast(420000 + 10 * (((c_custkey // 3) * 6151) % 4001) as double) / 1e5 - 6e0 + 0e0) as p
     from customer),
 {_geodesic_steps("select origin, a, o, b, p from d join e on o_custkey = c_custkey")}
-select origin, round({SPHERE}, 2) as sphere, round({SPHEROID}, 2) as spheroid from r"""
+, {_inverse_steps("r")}
+select origin, round({SPHERE}, 2) as sphere, round({SPHEROID}, 2) as spheroid, round(length, 2) as geodesic from inverse"""
+
+
+def _inverse_steps(source: str, rounds: int = 9) -> str:
+    """CTEs from ``source`` with ``a, o, b, p`` in radians to ``inverse`` with ``length``: a fixed number of rounds."""
+    f = "(1 / 298.257223563e0)"
+    steps = [f"""i0 as (select *, atan((1 - {f}) * tan(a)) as u1, atan((1 - {f}) * tan(b)) as u2, p - o as lam
+        from {source})"""]
+    for i in range(rounds):
+        last = ", cs as cs1, ss as ss1, sg as sg1, ca as ca1, cm as cm1" if i == rounds - 1 else ""
+        steps.append(f"""j{i} as (select *, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs,
+            sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) as ss from i{i}),
+        k{i} as (select *, atan2(ss, cs) as sg, case when ss > 0 then cos(u1) * cos(u2) * sin(lam) / ss else 0e0 end as sa from j{i}),
+        l{i} as (select *, 1 - sa * sa as ca, case when 1 - sa * sa > 1e-15 then cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa)
+            else 0e0 end as cm from k{i}),
+        m{i} as (select *, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) as kk from l{i}),
+        i{i + 1} as (select * exclude (lam, cs, ss, sg, sa, ca, cm, kk), p - o + (1 - kk) * {f} * sa
+            * (sg + kk * ss * (cm + kk * cs * (2 * cm * cm - 1))) as lam{last} from m{i})""")
+    steps.append(f"""uu as (select *, ca1 * (1 / pow(1 - {f}, 2) - 1) as u from i{rounds}),
+        xy as (select *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) as xx,
+            u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) as yy from uu),
+        inverse as (select *, 6378137e0 * (1 - {f}) * xx * (sg1 - yy * ss1 * (cm1 + yy / 4 * (cs1 * (2 * cm1 * cm1 - 1)
+            - yy / 6 * cm1 * (4 * ss1 * ss1 - 3) * (4 * cm1 * cm1 - 3)))) as length from xy)""")
+    return ",\n".join(steps)
 
 
 def _sql_nearest_geodesic() -> tuple[str, ...]:
@@ -677,6 +712,11 @@ def oracle_sql() -> dict[str, str]:
             from ({fx.sql_inside('raw_destinations', 'destination')}) where name = 'Alpha'
             group by x, y""",
             fx.sql_edges(), property_rows),
+        "sink_insert_bucketed": f"""with target as ({first_f})
+            select * from target union all
+            (select o_custkey, o_orderkey, o_totalprice, o_orderstatus from orders
+             where o_custkey not in (select o_custkey from target)
+             qualify row_number() over (partition by o_custkey order by o_orderkey) = 1)""",
         "sink_insert_new_keys": f"""with target as ({first_f})
             select * from target union all
             select o_custkey, o_orderkey, o_totalprice, o_orderstatus from orders

@@ -3,7 +3,7 @@
 # ruff: noqa: F401
 
 from geonear.functions.codec import decode_wkb, decode_wkt, encode_wkb, encode_wkt
-from geonear.functions.geodesy import geodesic_distance, reproject_points
+from geonear.functions.geodesy import geodesic_distance, geodesic_inverse, reproject_points
 from geonear.functions.geometry import bbox_within, distance, distance_sq, dwithin, point, with_srid
 from geonear.functions.hexgrid import hex_cell, hex_disk
 from geonear.functions.sql import register_sql_functions
@@ -32,9 +32,12 @@ from geonear.operators.tiles import Tiles, build_tiles
 from geonear.plans.prepare import load_serving_table, prepare
 from geonear.sources.files import (
     append_by_name,
+    create_keyed_table,
     curve_code,
     export_points_psv,
+    insert_into_keyed_table,
     insert_new_keys,
+    keys_to_insert,
     read_points_csv,
     read_ordered_csv,
     read_points_jdbc,

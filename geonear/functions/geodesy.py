@@ -51,6 +51,93 @@ def geodesic_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
     return F.when(s == 0, F.lit(0.0)).otherwise(2 * w * WGS84_A * flat)
 
 
+def geodesic_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
+                     tolerance: float = 2e-15, rounds: int = 100) -> Column:
+    """Metres of the geodesic on WGS84 between two points in degrees, to a fraction of a millimetre.
+
+    Vincenty's inverse solution, iterated for a whole batch over the rows that
+    aren't settled yet. It doesn't settle for nearly antipodal points: for these
+    the direction of departure is halved down until the geodesic meets the
+    longitude asked for, which grows with it. NULL gives NULL, NaN and
+    infinities NaN.
+    """
+    a, f = WGS84_A, WGS84_F
+
+    def opposite(u1, u2, dl):
+        import numpy as np
+
+        # By symmetry: the first point in the south, and no nearer to the equator than the second.
+        swap = np.abs(u1) < np.abs(u2)
+        b1, b2 = np.where(swap, u2, u1), np.where(swap, u1, u2)
+        b1, b2 = np.where(b1 > 0, -b1, b1), np.where(b1 > 0, -b2, b2)
+        b1 = np.minimum(b1, -1e-12)  # on the equator, the limit from the south
+        low, high = np.zeros(len(b1)), np.full(len(b1), np.pi)
+        for _ in range(60):
+            out = (low + high) / 2
+            sa, x1 = np.sin(out) * np.cos(b1), np.cos(out) * np.cos(b1)
+            x2 = np.sqrt(np.maximum(x1 * x1 + np.cos(b2) ** 2 - np.cos(b1) ** 2, 0))
+            s1, s2 = np.arctan2(np.sin(b1), x1), np.arctan2(np.sin(b2), x2)
+            turn = np.arctan2(sa * np.sin(b2), x2) - np.arctan2(sa * np.sin(b1), x1)
+            sigma, ca, cm = s2 - s1, 1 - sa * sa, np.cos(s1 + s2)
+            k = f / 16 * ca * (4 + f * (4 - 3 * ca))
+            reached = turn - (1 - k) * f * sa * (
+                sigma + k * np.sin(sigma) * (cm + k * np.cos(sigma) * (2 * cm * cm - 1)))
+            low, high = np.where(reached < np.abs(dl), out, low), np.where(reached < np.abs(dl), high, out)
+        return length(ca, sigma, np.sin(sigma), np.cos(sigma), cm)
+
+    def length(ca, sigma, ss, cs, cm):
+        u = ca * (1 / (1 - f) ** 2 - 1)
+        x = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        y = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        turn = y * ss * (cm + y / 4 * (cs * (2 * cm * cm - 1) - y / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        return a * (1 - f) * x * (sigma - turn)
+
+    def inverse(lat1, lon1, lat2, lon2):
+        import numpy as np
+        import pyarrow as pa
+
+        missing = np.zeros(len(lat1), bool)
+        degrees = []
+        for v in (lat1, lon1, lat2, lon2):
+            missing |= v.is_null().to_numpy(zero_copy_only=False)
+            degrees.append(np.radians(v.fill_null(np.nan).to_numpy(zero_copy_only=False).astype("f8")))
+        p1, l1, p2, l2 = degrees
+        out = np.full(len(p1), np.nan)
+        good = np.isfinite(p1 + l1 + p2 + l2)
+        same = good & (p1 == p2) & (l1 == l2)
+        out[same] = 0.0
+        left = np.flatnonzero(good & ~same)
+        u1, u2 = np.arctan((1 - f) * np.tan(p1)), np.arctan((1 - f) * np.tan(p2))
+        # The shorter way around.
+        dl = np.remainder(l2 - l1 + np.pi, 2 * np.pi) - np.pi
+        lam = dl.copy()
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                if not len(left):
+                    break
+                su1, cu1, su2, cu2 = np.sin(u1[left]), np.cos(u1[left]), np.sin(u2[left]), np.cos(u2[left])
+                sl, cl = np.sin(lam[left]), np.cos(lam[left])
+                ss = np.hypot(cu2 * sl, cu1 * su2 - su1 * cu2 * cl)
+                cs = su1 * su2 + cu1 * cu2 * cl
+                sigma = np.arctan2(ss, cs)
+                sa = np.where(ss > 0, cu1 * cu2 * sl / ss, 0.0)
+                ca = 1 - sa * sa
+                cm = np.where(ca > 1e-15, cs - 2 * su1 * su2 / ca, 0.0)
+                k = f / 16 * ca * (4 + f * (4 - 3 * ca))
+                new = dl[left] + (1 - k) * f * sa * (sigma + k * ss * (cm + k * cs * (2 * cm * cm - 1)))
+                settled = np.abs(new - lam[left]) <= tolerance
+                out[left[settled]] = length(ca, sigma, ss, cs, cm)[settled]
+                lam[left] = new
+                # A longitude beyond half a turn never comes back.
+                left = left[~settled & (np.abs(new) <= np.pi)]
+            left = np.flatnonzero(good & np.isnan(out))
+            out[left] = opposite(u1[left], u2[left], dl[left])
+        return pa.array(out, mask=missing)
+
+    udf = F.arrow_udf(inverse, "double")
+    return udf(*[c.cast("double") for c in (lat1, lon1, lat2, lon2)])
+
+
 def reproject_points(df: DataFrame, lat: str = "lat", lon: str = "lon", x: str = "x",
                      y: str = "y") -> DataFrame:
     """Add WGS84 ``lat``/``lon`` (EPSG:4326) to British grid ``x``/``y`` (EPSG:27700).

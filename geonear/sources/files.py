@@ -189,3 +189,34 @@ def insert_new_keys(spark: SparkSession, path: str, batch: DataFrame, key: str,
     existing = spark.read.orc(path)
     rows = by_name(new_keys(existing, batch, key, order), existing.schema)
     rows.write.mode("append").orc(path)
+
+
+def create_keyed_table(spark: SparkSession, name: str, schema: T.StructType, key: str, buckets: int,
+                       path: str | None = None) -> None:
+    """An empty catalog table in ORC, bucketed and sorted by its key; an existing one stays.
+
+    Choose as many buckets as the largest load needs tasks: a bucket is the
+    smallest part that meets new keys.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING orc CLUSTERED BY (`{key}`) "
+              f"SORTED BY (`{key}`) INTO {buckets} BUCKETS{place}")
+
+
+def keys_to_insert(spark: SparkSession, name: str, batch: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
+    """The rows of :func:`new_keys` for a keyed table, one partition per bucket.
+
+    The batch is shuffled into the table's buckets; the table itself is read
+    bucket by bucket and not shuffled, however large it is.
+    """
+    target = spark.table(name)
+    typed = by_name(batch, target.schema) if set(order) <= set(target.columns) else batch
+    typed = typed.withColumn(key, F.col(key).cast(target.schema[key].dataType)).repartition(buckets, key)
+    return by_name(new_keys(target.hint("shuffle_merge"), typed, key, order), target.schema)
+
+
+def insert_into_keyed_table(spark: SparkSession, name: str, batch: DataFrame, key: str, order: list[str], buckets: int) -> None:
+    """Append ``batch`` to a table of :func:`create_keyed_table`; existing keys win."""
+    rows = keys_to_insert(spark, name, batch, key, order, buckets)
+    rows.write.format("orc").bucketBy(buckets, key).sortBy(key).mode("append").saveAsTable(name)

@@ -215,3 +215,22 @@ def test_null_origins_in_comparisons(spark):
     assert g.check(a, a).count() == 0
     assert [r.agrees for r in g.compare_methods({"same": a}, a).collect()] == [True]
     assert g.check(a.where("origin = 1"), a).count() == 1
+
+
+def test_bucketed_target_is_not_shuffled(spark, tmp_path):
+    name = "keyed_test"
+    spark.sql(f"drop table if exists {name}")
+    rows = spark.range(1000).selectExpr("id as k", "id * 2 as v")
+    try:
+        g.create_keyed_table(spark, name, rows.schema, "k", 4, str(tmp_path / "keyed"))
+        g.insert_into_keyed_table(spark, name, rows.where("k < 600"), "k", ["v"], 4)
+        batch = rows.selectExpr("k", "v + 1 as v").unionByName(rows.selectExpr("k", "v + 2 as v"))
+        plan = g.keys_to_insert(spark, name, batch, "k", ["v"], 4)._jdf.queryExecution().executedPlan().toString()
+        # The one exchange is the batch's; the table is read in its buckets.
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "BroadcastExchange" not in plan
+        g.insert_into_keyed_table(spark, name, batch, "k", ["v"], 4)
+        assert sorted(map(tuple, spark.table(name).collect())) == [(k, 2 * k if k < 600 else 2 * k + 1) for k in range(1000)]
+        with pytest.raises(Exception, match="k is NULL"):
+            g.insert_into_keyed_table(spark, name, rows.selectExpr("cast(null as bigint) as k", "v"), "k", ["v"], 4)
+    finally:
+        spark.sql(f"drop table if exists {name}")

@@ -399,9 +399,7 @@ def load_job(spark, sf_dir):
 
 def _hex_and_reference(spark, sf_dir):
     both = _both(spark, sf_dir)
-    tiles = g.build_tiles(both[1], both[0], 1, R)
-    return (g.nearest_in_hex_disk(*both, R, tiles=tiles),
-            g.nearest_distinct_on(*both, R, tiles=tiles))
+    return g.nearest_in_hex_disk(*both, R), g.nearest_distinct_on(*both, R)
 
 
 def compare_inner(spark, sf_dir):

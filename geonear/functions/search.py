@@ -158,8 +158,12 @@ def first_k(row, slot, d, order, k):
     return row[keep], slot[keep], d[keep]
 
 
-def search_all(index, starts, sizes, px, py, order, x, y, k, cap):
-    """``(row, slot, distance)`` over all leaves: first the one a point lies in, then those near enough to matter."""
+def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True):
+    """``(row, slot, distance)`` over all leaves: first the one a point lies in, then those near enough to matter.
+
+    Unless ``merged``, what the leaf of a point and the others hold isn't cut to
+    the first ``k`` of both.
+    """
     rows = np.arange(len(x))
     reach = np.full(len(x), np.inf if cap is None else cap)
     home = home_leaves(index, x, y)
@@ -171,6 +175,10 @@ def search_all(index, starts, sizes, px, py, order, x, y, k, cap):
         row, leaf = row[other], leaf[other]
         by = np.argsort(row, kind="stable")
         parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach))
+    if not merged:
+        row, slot, d = (np.concatenate(c) for c in zip(*parts))
+        by = np.argsort(row, kind="stable")
+        return row[by], slot[by], d[by]
     return first_k(*(np.concatenate(c) for c in zip(*parts)), order, k) if len(parts) > 1 else found
 
 

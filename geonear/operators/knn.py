@@ -4,8 +4,8 @@ Origins are ``(origin, x, y)``, destinations ``(destination, x, y)``; results
 are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
-Lists of neighbours come from a search over leaves of destinations; forms that
-rank pairs, or look into a square, build destination tiles. Pass ``tiles`` from
+Neighbours come from a search over leaves of destinations; the lateral form, and
+the one that looks into a square, build destination tiles. Pass ``tiles`` from
 :func:`build_tiles` to share them between calls on the same tables.
 """
 
@@ -162,12 +162,18 @@ def nearest_first_of_ties(origins: DataFrame, destinations: DataFrame,
     return first_per_key(tied, ["origin"], ["destination"])
 
 
-def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
+def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None,
+                    tiles: Tiles | None = None) -> DataFrame:
     """Pairs ``(origin, destination, distance)`` within the cap that can be nearest.
 
-    The number of pairs per origin is bounded by the tile's candidate list,
-    however many destinations lie inside the cap.
+    The nearest of an origin's own leaf, and of the other leaves that begin no
+    farther away; with ``tiles``, all of its tile's list. Either way their number
+    is bounded, however many destinations lie inside the cap.
     """
+    if tiles is None:
+        found = search_leaves(origins, build_leaves(destinations), max_distance, merged=False)
+        return found.select("origin", F.inline("nearest")).select("origin", "destination", "distance")
+    tiles = tiles.require(destinations, origins, 1, max_distance, False)
     met = tiles.locate(origins.select("origin", "x", "y")).join(tiles.candidates(), TILE_KEY)
     ax, ay, bx, by = (F.col(c) for c in ("x", "y", "bx", "by"))
     return met.where(tiles.within_cap(ax, ay, bx, by)).select(
@@ -178,7 +184,7 @@ def candidate_pairs(origins: DataFrame, tiles: Tiles) -> DataFrame:
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
                       round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, max_distance))
+    pairs = candidate_pairs(origins, destinations, max_distance, tiles)
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
@@ -187,7 +193,7 @@ def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance:
 def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, max_distance))
+    pairs = candidate_pairs(origins, destinations, max_distance, tiles)
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
@@ -208,7 +214,7 @@ def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
 
     Only pairs that can win are looked at.
     """
-    pairs = candidate_pairs(origins, _tiles(tiles, destinations, origins, 1, None))
+    pairs = candidate_pairs(origins, destinations, None, tiles)
     rank = F.struct("distance", "destination")
     return pairs.groupBy("origin").agg(
         F.min_by("destination", rank).alias("destination"), F.min("distance").alias("distance")
@@ -220,11 +226,21 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     """Nearest through a correlated ``LATERAL (… ORDER BY … LIMIT 1)`` subquery.
 
     The outer columns enter the subquery as a one-row relation that is joined
-    to the candidates by tile.  Catalyst decorrelates that into an equi-join
-    with the distinct outer coordinates and a per-group limit; written as plain
-    ``WHERE c.tx = a.tx`` it would pull the equalities up and loop over all pairs.
+    to the candidates of the same place (with ``tiles``, of the same tile).
+    Catalyst decorrelates that into an equi-join with the distinct outer
+    coordinates and a per-group limit; written as plain ``WHERE c.x = a.x`` it
+    would pull the equalities up and loop over all pairs.
     """
-    tiles = _tiles(tiles, destinations, origins, 1, max_distance)
+    seen = origins.select("origin", "x", "y")
+    if tiles is None:
+        places = seen.select("x", "y").distinct().withColumn("origin", F.lit(0))
+        found = search_leaves(places, build_leaves(destinations), max_distance, merged=False)
+        candidates = found.select(F.struct("x", "y").alias("at"), F.inline("nearest")).select("at", "destination", "bx", "by")
+        outer = seen.selectExpr("origin", "x as ax", "y as ay", "struct(x, y) as at")
+    else:
+        tiles = tiles.require(destinations, origins, 1, max_distance, False)
+        candidates = tiles.candidates().selectExpr("struct(level, tx, ty) as at", "destination", "bx", "by")
+        outer = tiles.locate(seen).selectExpr("origin", "x as ax", "y as ay", "struct(level, tx, ty) as at")
     best = origins.sparkSession.sql(
         """
         SELECT a.origin, b.destination, b.distance
@@ -232,7 +248,7 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
             SELECT c.destination,
                    sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) AS distance
             FROM (SELECT a.ax AS x, a.ay AS y, a.at) o
-            JOIN {candidates} c ON struct(c.level, c.tx, c.ty) = o.at
+            JOIN {candidates} c ON c.at = o.at
             WHERE sqrt((o.x - c.bx) * (o.x - c.bx) + (o.y - c.by) * (o.y - c.by)) <= {cap}
             ORDER BY distance, c.destination
             LIMIT 1
@@ -240,9 +256,6 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
         """,
         # New column names: shared ones would clash where this result meets
         # another one of the same origins.
-        outer=tiles.locate(origins.select("origin", "x", "y")).selectExpr(
-            "origin", "x as ax", "y as ay", "struct(level, tx, ty) as at"
-        ),
-        candidates=tiles.candidates(), cap=float(max_distance),
+        outer=outer, candidates=candidates, cap=float(max_distance),
     )
     return _round(best, round_to)

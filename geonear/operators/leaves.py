@@ -152,13 +152,17 @@ def _listed():
 
 
 def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None = None, ties: bool = False,
-                  first: int | None = None) -> DataFrame:
+                  first: int | None = None, merged: bool = True) -> DataFrame:
     """``origin, x, y, nearest``: the ranked neighbours of each origin as an array, empty lists included.
 
     ``nearest`` is ``array<struct<distance, destination, bx, by>>`` with up to
     ``k`` entries within ``max_distance``, of which the ``first`` are kept, if
     given. With ``ties`` it holds all coordinates at the smallest distance (with
     the smallest key of each). Origins without a position have an empty list.
+
+    With ``merged=False`` the lists are of candidates, among which are the ones
+    asked for: those of an origin's own leaf and of the others in reach aren't
+    put together, and an origin may have several rows.
     """
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
@@ -169,11 +173,12 @@ def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None
     if not len(leaves.ids):
         return seen.withColumn("nearest", F.array().cast(_near_type(leaves.key_type)))
     if leaves.whole is not None:
-        return _search_in_place(seen, leaves, k, cap, first)
-    return _search_by_leaf(seen, leaves, k, cap, first)
+        return _search_in_place(seen, leaves, k, cap, first, merged)
+    return _search_by_leaf(seen, leaves, k, cap, first, merged)
 
 
-def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None) -> DataFrame:
+def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
+                     merged: bool) -> DataFrame:
     spark = seen.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if int(str(seen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
@@ -191,7 +196,7 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype("f8") for c in ("x", "y"))
             at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap)
+            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged)
             if first and len(row):
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 row, slot, d = row[place < first], slot[place < first], d[place < first]
@@ -202,7 +207,8 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
     return seen.mapInArrow(search, schema)
 
 
-def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None) -> DataFrame:
+def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
+                    merged: bool) -> DataFrame:
     index, ids, lists = leaves.index, leaves.ids, _listed()
     near_type = _near_type(leaves.key_type)
     spot = [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
@@ -268,11 +274,13 @@ def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
     further = meet(open_.select("x", "y", "reach", F.explode("others").alias("leaf")), False)
     # The order (distance, destination) is that of the struct. An origin looks at few leaves,
     # so these are few short lists.
-    lists_ = open_.select("x", "y", "nearest").unionByName(further).groupBy("x", "y").agg(
-        F.array_sort(F.flatten(F.collect_list("nearest"))).alias("nearest"))
+    found = open_.select("x", "y", "nearest").unionByName(further)
+    if not merged:
+        return seen.join(settled.unionByName(found), ["x", "y"]).select("origin", "x", "y", "nearest")
+    together = found.groupBy("x", "y").agg(F.array_sort(F.flatten(F.collect_list("nearest"))).alias("nearest"))
     first_ones = F.slice("nearest", 1, kept) if kept else F.filter(
         "nearest", lambda m: m["distance"] == F.col("nearest")[0]["distance"])
-    unsettled = lists_.withColumn("nearest", first_ones)
+    unsettled = together.withColumn("nearest", first_ones)
     answers = materialize(settled.unionByName(unsettled), "nearest")
     empty = F.array().cast(near_type)
     return seen.join(answers, ["x", "y"], "left").select("origin", "x", "y", F.coalesce("nearest", empty).alias("nearest"))

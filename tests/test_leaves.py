@@ -73,6 +73,10 @@ def test_the_forms_agree_with_tiles(spark, make, way):
     tiles = g.build_tiles(b, a, 5)
     assert rows(g.knn_join(a, b, 5)) == rows(g.knn_join(a, b, 5, tiles=tiles))
     assert rows(g.knn_join_top1(a, b, 5)) == rows(g.knn_join_top1(a, b, 5, tiles=tiles)) == rows(g.nearest(a, b))
+    capped, free = g.build_tiles(b, a, 1, 120.0), g.build_tiles(b, a)
+    for form in (g.nearest_by_window, g.nearest_distinct_on, g.nearest_sort_dedupe):
+        assert rows(form(a, b, 120.0)) == rows(form(a, b, 120.0, tiles=capped))
+    assert rows(g.nearest_all_vs_all(a, b)) == rows(g.nearest_all_vs_all(a, b, tiles=free)) == rows(g.nearest(a, b))
     assert rows(g.knn_rounded_first(a, b, 5, 0)) == rows(g.knn_rounded_first(a, b, 5, 0, tiles=tiles))
 
 

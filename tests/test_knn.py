@@ -5,7 +5,7 @@ import pytest
 from conftest import brute, rows
 
 import geonear as g
-from geonear.functions.ranking import _k_smallest_bound
+from geonear.functions.ranking import k_smallest_bound
 
 
 def points(rng, n, kind, shape):
@@ -179,6 +179,6 @@ def test_bound_of_the_k_smallest():
     d = rng.integers(0, 50, starts[-1]).astype(float)  # many ties
     d[rng.random(len(d)) < 0.1] = np.inf
     for k in (2, 5, 100):
-        bound = _k_smallest_bound(d, starts[:-1], sizes, k)
+        bound = k_smallest_bound(d, starts[:-1], sizes, k)
         for i, n in enumerate(sizes):
             assert bound[i] == (np.sort(d[starts[i]:starts[i + 1]])[k - 1] if n > k else np.inf)

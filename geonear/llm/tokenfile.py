@@ -162,10 +162,15 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
     return found, {}
 
 
+@lru_cache(maxsize=1)
+def _added_tokens(path: str) -> list[str]:
+    """Strings that the library looks for in a whole text before it cuts pre-tokens."""
+    return [t.content for t in _tokenizer(path)[0].get_added_tokens_decoder().values()]
+
+
 @lru_cache(maxsize=1)
 def _token_bytes(path: str) -> np.ndarray:
     """Bytes that each id stands for: a byte-level vocabulary writes every byte as one character."""
@@ -213,9 +218,17 @@ def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
     """The library's ids of each text, as 32-bit numbers, without special tokens.
 
     A byte-level tokenizer encodes each pre-token by itself, so the library is
-    asked once per distinct pre-token.
+    asked once per distinct pre-token. A text with the string of an added token
+    is given to it as a whole.
     """
-    cache = _tokenizer(tokenizer_path)[1]
+    tokenizer, cache = _tokenizer(tokenizer_path)
+    added = _added_tokens(tokenizer_path)
+    whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+    if whole:
+        texts = list(texts)
+        asked = {i: texts[i] for i in whole}
+        for i in whole:
+            texts[i] = ""
     out: list[bytes] = []
     for a, b in runs(map(len, texts), CHUNK):
         slices, first, _ = byte_slices(texts[a:b])
@@ -230,6 +243,8 @@ def encode_texts(texts: list[str], tokenizer_path: str) -> list[bytes]:
                 values[i] = cache[slices[i]]
         bounds = first.tolist()
         out += [b"".join(values[i:j]) for i, j in zip(bounds, bounds[1:])]
+    for i in whole:
+        out[i] = np.array(tokenizer.encode(asked[i], add_special_tokens=False).ids, "<u4").tobytes()
     return out
 
 

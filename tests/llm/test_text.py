@@ -274,8 +274,9 @@ def test_token_file_equals_the_library(spark, tmp_path):
 
     path = tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = [(i * 7 % 40, t) for i, t in enumerate([*TEXTS, None, *fuzz(20)])] + [(None, "none"), (3, "again"), (3, "again")]
+    marked = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext", " <|endoftext|>\n" * 50]
+    assert library.encode(marked[0], add_special_tokens=False).ids == [50256]
+    rows = [(i * 7 % 40, t) for i, t in enumerate([*TEXTS, None, *fuzz(20), *marked])] + [(None, "none"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")
     tokenfile.write_token_file(docs, str(tmp_path / "t"), path, block_ids=300)
     got = sorted(tokenfile.token_documents(tokenfile.read_token_file(spark, str(tmp_path / "t"))).collect(),

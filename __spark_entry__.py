@@ -19,10 +19,12 @@ from geonear.functions.hexgrid import RES9_EDGE  # noqa: E402
 from geonear.plans.prepare import POSTCODE_SCHEMA, PROPERTY_SCHEMA  # noqa: E402
 from geonear.session import scratch_path  # noqa: E402
 
-try:  # the corpus operators may be left out of an installation
+# The corpus operators may be left out of an installation; a fault in them is an error.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if all(os.path.exists(os.path.join(_HERE, *p)) for p in (("corpus_pipeline.py",), ("geonear", "llm", "queries.py"))):
     import corpus_pipeline  # noqa: E402
     from geonear.llm import queries as corpus  # noqa: E402
-except ImportError:
+else:
     corpus = None
 
 R = 5000.0  # the distance cap of the workload, inclusive

@@ -19,6 +19,7 @@ import tiktoken
 from geonear.llm.codepoints import LETTER, N_CODES, NUMBER, SPACE, codes_of
 
 BLOCK = 256  # characters composed one after another; the blocks run side by side
+TAIL = 8  # characters at a block's end that are tried first
 
 # Symbols. A symbol plus FIRST is the same at the start of a text.
 _WORD, _DIGITS, _MARKS, _INNER, _LAST, _BEFORE, _SHORT, _LONG = range(8)
@@ -70,19 +71,24 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
     return to.reshape(-1), cut.reshape(-1)
 
 
+@lru_cache(maxsize=1)
+def _symbol_table() -> np.ndarray:
+    """The symbol of every code point, white space taken as inside a run."""
+    of_class = np.full(4, _MARKS, np.uint8)
+    of_class[LETTER], of_class[NUMBER], of_class[SPACE] = _WORD, _DIGITS, _INNER
+    return of_class[library_classes()]
+
+
 def _symbols(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = len(codes)
-    kind = library_classes()[codes]
+    symbol = _symbol_table()[codes]
     last = np.zeros(n, bool)  # of its text
     last[np.concatenate([starts[1:], [n]]) - 1] = True
-    space = kind == SPACE
-    followed = np.empty(n, bool)  # by white space, or by nothing
-    followed[:-1] = space[1:]
-    followed[last] = True
-    symbol = np.full(n, _MARKS, np.uint8)
-    symbol[kind == LETTER] = _WORD
-    symbol[kind == NUMBER] = _DIGITS
-    symbol[space] = np.where(followed[space], _INNER, np.where(codes[space] == 32, _BEFORE, _LAST))
+    space = symbol == _INNER
+    alone = space & ~last  # neither white space nor the text's end follows
+    alone[:-1] &= ~space[1:]
+    alone = np.flatnonzero(alone)
+    symbol[alone] = np.where(codes[alone] == 32, _BEFORE, _LAST)
     at = np.flatnonzero(codes == 39)
     if len(at):
         ahead = lambda k: np.where(at + k < n, codes[np.minimum(at + k, n - 1)], 0)
@@ -98,6 +104,15 @@ def _symbols(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return symbol
 
 
+def _composed(steps: np.ndarray) -> np.ndarray:
+    """The map of the states that a run of symbols gives, for each column of ``steps``."""
+    to = _machine()[0]
+    maps = np.tile(np.arange(8), (steps.shape[1], 1))
+    for step in steps:
+        maps = to[step[:, None] + maps]
+    return maps
+
+
 def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """First character of every slice of texts laid end to end.
 
@@ -108,13 +123,15 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     to, cut = _machine()
     rows = -(-n // BLOCK)
-    symbol = np.full(rows * BLOCK, _MARKS, np.int64)
+    symbol = np.full(rows * BLOCK, _MARKS, np.uint8)
     symbol[:n] = _symbols(codes, starts)
-    symbol = np.ascontiguousarray(symbol.reshape(rows, BLOCK).T) * 8
-    # One map of the states per block, all blocks at once.
-    maps = np.tile(np.arange(8), (rows, 1))
-    for step in symbol:
-        maps = to[step[:, None] + maps]
+    symbol = np.ascontiguousarray(symbol.reshape(rows, BLOCK).T) * np.uint8(8)
+    # One map of the states per block, all blocks at once. Where a block's last
+    # symbols lead every state to the same one, those before them don't matter.
+    maps = _composed(symbol[-TAIL:])
+    open_ = np.flatnonzero((maps != maps[:, :1]).any(axis=1))
+    if len(open_):
+        maps[open_] = _composed(symbol[:, open_])
     # Inclusive scan over the blocks: after it, maps[i] is blocks 0..i composed.
     reach = 1
     while reach < rows:
@@ -129,23 +146,33 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found.T.reshape(-1)[:n])
 
 
-def byte_slices(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All slices in order as UTF-8, where each text's begin, and each slice's first byte in its text.
+def slice_bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as UTF-8 laid end to end, and where slices begin in it, with the end.
 
-    Slices of text ``i`` are ``slices[first[i]:first[i + 1]]``.
+    Then the first slice of each text, with the end: those of text ``i`` are
+    ``first[i]`` to ``first[i + 1]``. Last, the first byte of each text.
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     joined = "".join(texts)
-    codes = codes_of(joined)
     full = sizes > 0
-    cuts = boundaries(codes, (ends - sizes)[full])
-    width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
-    place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+    cuts = boundaries(codes_of(joined), (ends - sizes)[full])
     data = joined.encode("utf-8", "surrogatepass")
-    begin = place[cuts]
-    at = begin.tolist()
-    slices = [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
+    begin, text_begin = cuts, ends - sizes
+    if len(data) > len(joined):
+        # A character begins at every byte that doesn't go on with another.
+        place = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+        begin, text_begin = place[begin], place[text_begin]
     first = np.searchsorted(cuts, np.concatenate([[0], ends]))
-    offset = begin - np.repeat(place[ends - sizes], np.diff(first))
-    return slices, first, offset
+    return data, np.append(begin, len(data)), first, text_begin
+
+
+def byte_slices(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All slices in order as UTF-8, where each text's begin, and each slice's first byte in its text.
+
+    Slices of text ``i`` are ``slices[first[i]:first[i + 1]]``.
+    """
+    data, begin, first, text_begin = slice_bounds(texts)
+    at = begin.tolist()
+    slices = [data[a:b] for a, b in zip(at, at[1:])]
+    return slices, first, begin[:-1] - np.repeat(text_begin, np.diff(first))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from geonear.llm import bytebpe, charcrf, htmltext, langid, pii, tokenfile
+from geonear.llm import bytebpe, charcrf, htmltext, langid, pii, pretokens, tokenfile
 from geonear.llm.pretokens import byte_slices, library_classes
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -243,6 +243,16 @@ def test_bpe_frames_round_trip(spark, coder):
     assert bytebpe.bpe_encode(docs.limit(0), tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+@pytest.mark.parametrize("block, tail", [(16, 1), (16, 2), (4, 1), (256, 8)])
+def test_slices_don_t_depend_on_blocks(monkeypatch, block, tail):
+    texts = TEXTS + fuzz(800) + ["x" * k + "'ll've're 's" for k in range(40)]
+    want = byte_slices(texts)
+    monkeypatch.setattr(pretokens, "BLOCK", block)
+    monkeypatch.setattr(pretokens, "TAIL", tail)
+    got = byte_slices(texts)
+    assert got[0] == want[0] and (got[1] == want[1]).all() and (got[2] == want[2]).all()
+
+
 def test_classes_cover_white_space():
     table = library_classes()
     assert table[0x20] == table[0x85] == 3 and table[0x1C] == 0 and table[ord("é")] == 1 and table[0xBD] == 2
@@ -269,6 +279,27 @@ def test_repair_is_exact_and_random_access():
         assert (block.slice(a, b) == ids[a:b]).all()
 
 
+def test_repair_goes_on_until_no_pair_repeats():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 200, rng.integers(1, 9)) for _ in range(300)]
+    ids = np.concatenate([words[i] for i in rng.zipf(1.4, 6000) % 300]).astype("<u4")
+    ends = np.sort(rng.integers(0, len(ids), 50)).tolist() + [len(ids)]
+    for most, least in ((8192, 16), (3, 5), (8192, 2)):  # three pairs a round need many rounds
+        symbols, new_ends, rules, lengths = tokenfile.repair(ids, np.array(ends), 200, None, most, least)
+        inner = np.setdiff1d(np.arange(len(symbols) - 1), new_ends - 1)
+        _, counts = np.unique(symbols[inner] << 32 | symbols[inner + 1], return_counts=True)
+        assert counts.max() < least
+        assert (rules < 200 + np.arange(len(rules))[:, None]).all()
+        row = dict(first_rule=200, width=4, symbol_ends=b"", id_ends=b"",
+                   **{k: v.astype("<u4").tobytes() for k, v in (("rules", rules), ("lengths", lengths), ("symbols", symbols))})
+        assert (tokenfile.Block(row).ids() == ids).all()
+    # A run of one id, alone and in documents of one id.
+    symbols, *_ = tokenfile.repair(np.full(100_000, 7), np.array([100_000]), 200)
+    assert len(symbols) < 100
+    symbols, new_ends, rules, _ = tokenfile.repair(np.full(100, 7), np.arange(1, 101), 200)
+    assert len(symbols) == 100 and not len(rules) and new_ends.tolist() == list(range(1, 101))
+
+
 def test_token_file_equals_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -4,6 +4,7 @@ import base64
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -162,6 +163,9 @@ PAGES = [
     ("<article><p>Kept <span class='ad'>gone</p><p>b</p></article>", "Kept\nb"),
     ("<article><p>a <button>x<div>y</div></button></p></article>", "a"),
     ("<article><p>" + "<i>" * 3000 + "deep" + "</p><p>y</p></article>", "deep\ny"),
+    ("<p title='a hidden gem'>text</p><p hidden>no</p><p data-hidden='x'>too</p>", "text\ntoo"),
+    ("<article><h2 class='section-header'>H</h2><p data-id=menu>x</p><div class='social-history'>y</div></article>", "H\nx\ny"),
+    ("<article><p>a</p></ ><p>b <a title='x>y'>c</a></p><p class=\"open>d</p></article>", "a\nb c\nd"),
 ]
 
 
@@ -187,6 +191,76 @@ def test_templates_are_removed_per_host(spark):
     assert htmltext.extract_text(pages.limit(0)).count() == 0
 
 
+def test_long_pages_take_linear_time():
+    for part in ("<i></b>", '<a "', "<div>", "<div></p>", "< <", "<li>"):
+        took = []
+        for n in (5_000, 40_000):
+            begin = time.process_time()
+            htmltext._Page(part * n + "x>", digests=True)
+            took.append(time.process_time() - begin)
+        assert took[1] < 24 * max(took[0], 0.01), part
+
+
+def rotating_pages():
+    """Pages without an article, of two hosts, whose boxes have no telling name and one of ten texts."""
+    texts = [f"Offer number {k} of the week" for k in range(10)]
+    return [(i, f"http://{'ab'[i % 2]}.example/{i}",
+             f"<body><div class='x7'><b>{texts[i * 7 % 10]}</b></div><div class='t'><p>Story {i} {'word ' * 30}{i}</p>"
+             f"<div class='lead'>Lead {i}</div></div></body>") for i in range(120)]
+
+
+def test_counting_finds_rotating_boxes(spark):
+    rows = rotating_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} {'word ' * 30}{i}\nLead {i}" for i, *_ in rows}
+    for lists in (True, False):
+        assert dict(htmltext.extract_text(pages, lists=lists).select("page_id", "text").collect()) == want
+    counted_off = htmltext.extract_text(pages, min_pages=10**6).where("text like '%Offer%'")
+    assert counted_off.count() == len(rows)  # no list knows these boxes
+    # A story that several hosts carry stays: its place holds most of the text.
+    shared = [(1000 + i, f"http://c{i % 8}.example/{i}", f"<div class='t'><p>{'same ' * 40}{i // 8}</p></div><p>{i}</p>")
+              for i in range(80)]
+    got = htmltext.extract_text(spark.createDataFrame(rows + shared, pages.schema))
+    assert got.where("page_id >= 1000 and text like 'same %'").count() == len(shared)
+
+
+def test_counts_equal_plain_ones(spark):
+    rows = rotating_pages() + [(500 + i, "http://a.example/s", f"<div id=s><p>Subscribe</p></div><ul><li>{i % 3}</ul><p>{i}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(sorted(v) for v in r) for r in htmltext.template_elements(pages).select("numbers", "shaped", "content").collect()]
+    parsed = [(u.split("/")[2], h, htmltext._Page(h, digests=True)) for _, u, h in rows]
+    pages_of, share = {}, {}
+    for host, _, page in parsed:
+        pages_of.setdefault((host,), set()).add(page.text())
+        place_chars = {}
+        for _, subtree, shape, place, chars, _ in page.subtrees:
+            place_chars[place] = place_chars.get(place, 0) + chars
+            for key in ((host, "x", subtree), (host, "s", shape), ("any", subtree)):
+                pages_of.setdefault(key, set()).add(page.text())
+        for place, chars in place_chars.items():
+            share.setdefault((host, place), {})[page.text()] = chars / page.open[0].chars
+    want = {}
+    for host, html, page in parsed:
+        total = len(pages_of[(host,)])
+        often = lambda k: len(pages_of[k]) >= 5 and len(pages_of[k]) > 0.3 * total
+        exact = [n for n, a, b, c, _, _ in page.subtrees if often((host, "x", a))]
+        shaped = [n for n, a, b, c, _, _ in page.subtrees if often((host, "s", b)) and len(pages_of["any", a]) >= 5]
+        content = [n for n, a, b, c, _, _ in page.subtrees
+                   if len(share[host, c]) >= 5 and sum(share[host, c].values()) > 0.5 * total]
+        if exact or shaped:
+            want[host, html] = (sorted(exact), sorted(shaped), sorted(content))
+    assert sorted(got) == sorted(want.values()) and any(e for e, *_ in got) and any(s for _, s, _ in got)
+
+
+@real
+def test_counting_alone_gives_the_text_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    text = lambda **k: htmltext.extract_text(pages, **k).select("page_id", "text")
+    alone, off, both = text(lists=False), text(lists=False, min_pages=10**6), text()
+    same = lambda a: a.withColumnRenamed("text", "t").join(both, "page_id").where("t = text").count()
+    assert same(alone) >= 0.95 * pages.count() and same(off) < 0.05 * pages.count()
+
+
 # --- token ids ------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,13 @@
 """Language ID, PII, HTML and BPE against plain versions and held-out rows."""
 
 import base64
+import collections
+import math
 import os
 import random
 import re
 import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -52,6 +55,40 @@ def test_ngrams_never_cross_texts():
     assert offsets[1] == offsets[2] and letters.tolist() == [3, 0, 1, 3]
 
 
+def plain_naive_bayes(labelled, texts):
+    """Language and posterior of each text, with n-grams as strings in dictionaries."""
+
+    def grams(text):
+        words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text or "").lower().split()
+        padded = "  " + "".join(w + " " for w in words)
+        return [padded[i - n + 1:i + 1] for i in range(2, len(padded)) for n in (1, 2, 3)]
+
+    counts, rows = {}, collections.Counter(lang for _, lang in labelled if lang is not None)
+    for text, lang in labelled:
+        if lang is not None:
+            counts.setdefault(lang, collections.Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        own = grams(text)
+        logs = {lang: math.log(rows[lang] / sum(rows.values())) + sum(
+            math.log((seen[g] + langid.SMOOTHING) / (seen.total() + langid.SMOOTHING * langid.BUCKETS)) for g in own)
+            for lang, seen in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())) if own else ("und", 0.0))
+    return out
+
+
+def test_language_equals_a_plain_naive_bayes(spark):
+    labelled = [("The cat, and the DOG", "en"), ("a dog", "en"), ("der Hund und", "de"), ("Ña él\tper", "es"), (None, "de"),
+                ("12", "es"), ("the the", None), ("a dog", "en")]
+    asked = ["the", "und der", "él", "cat und dog the", "  D  ", "7 %", None, "", "Ñ", "o" * 300, "the cat\n" * 40]
+    model = langid.fit_languages(spark.createDataFrame(labelled, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.with_language(docs, model).collect()}
+    for i, (lang, score) in enumerate(plain_naive_bayes(labelled, asked)):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, asked[i]
+
+
 # --- personal data ------------------------------------------------------------------------
 
 #: The base patterns as they are stated.

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixtures as fx  # noqa: E402
 import geonear as g  # noqa: E402
 from geonear.functions.geometry import srid_of  # noqa: E402
-from geonear.functions.hexgrid import RES9_EDGE  # noqa: E402
+from geonear.functions.hexgrid import RES9_EDGE, disk_reach  # noqa: E402
 from geonear.plans.prepare import POSTCODE_SCHEMA, PROPERTY_SCHEMA  # noqa: E402
 from geonear.session import scratch_path  # noqa: E402
 
@@ -237,23 +237,36 @@ def udf_sql_functions(spark, sf_dir):
 
 
 def udf_hex_lateral(spark, sf_dir):
-    """The hexagon-limited search as SQL text; the disk is a table function beside the smaller table."""
+    """The hexagon-limited search as SQL text; the disk is a table function beside the cells that need it.
+
+    A nearest destination that lies in the disk is the answer. Pairs by cells are for the origins
+    whose nearest is outside their disk, but not beyond its reach.
+    """
     g.register_sql_functions(spark)
     origins, destinations = _both(spark, sf_dir)
+    lists = g.neighbour_lists(origins, destinations, 1, R)
+    nearest = g.materialize(lists.select("origin", "x", "y", F.inline_outer("nearest")), "hex-lateral")
     return spark.sql(
         """
-        WITH a AS (SELECT origin, st_point(x, y) AS geom, hex_cell(x, y, {edge}) AS cell FROM {origins}),
+        WITH n AS (SELECT origin, destination, st_point(x, y) AS geom, st_point(bx, by) AS near,
+                          hex_cell(x, y, {edge}) AS cell, hex_cell(bx, by, {edge}) AS near_cell FROM {nearest}),
+        a AS (SELECT origin, geom, cell FROM n
+              WHERE hex_steps(cell, near_cell) > 5 AND st_distance(geom, near) <= {reach}),
         c AS (SELECT destination, st_point(x, y) AS geom, hex_cell(x, y, {edge}) AS cell FROM {destinations}),
-        b AS (SELECT c.destination, c.geom, d.q, d.r FROM c, LATERAL hex_disk(c.cell, 5) d),
+        d AS (SELECT w.cell, k.q, k.r FROM (SELECT DISTINCT cell FROM a) w, LATERAL hex_disk(w.cell, 5) k),
+        b AS (SELECT d.cell, c.destination, c.geom FROM d JOIN c ON c.cell.q = d.q AND c.cell.r = d.r),
+        pairs AS (
+            SELECT origin, destination, st_distance(geom, near) AS exact FROM n WHERE hex_steps(cell, near_cell) <= 5
+            UNION ALL
+            SELECT a.origin, b.destination, st_distance(a.geom, b.geom) FROM a JOIN b ON a.cell = b.cell
+            WHERE st_dwithin(a.geom, b.geom, {cap})),
         knn AS (
-            SELECT a.origin, b.destination, round(st_distance(a.geom, b.geom), 2) AS distance,
-                   row_number() OVER (PARTITION BY a.origin
-                       ORDER BY st_distance(a.geom, b.geom), b.destination) AS rn
-            FROM a JOIN b ON a.cell.q = b.q AND a.cell.r = b.r
-            WHERE st_dwithin(a.geom, b.geom, {cap}))
+            SELECT origin, destination, round(exact, 2) AS distance,
+                   row_number() OVER (PARTITION BY origin ORDER BY exact, destination) AS rn
+            FROM pairs)
         SELECT * EXCEPT (rn) FROM knn WHERE rn = 1
         """,
-        origins=origins, destinations=destinations, edge=RES9_EDGE, cap=R)
+        nearest=nearest, destinations=destinations, edge=RES9_EDGE, reach=disk_reach(RES9_EDGE, 5), cap=R)
 
 
 def udf_wkb_srid(spark, sf_dir):

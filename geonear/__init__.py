@@ -24,12 +24,14 @@ from geonear.operators.knn import (
     nearest_in_square,
     nearest_lateral,
     nearest_sort_dedupe,
+    neighbour_lists,
 )
 from geonear.operators.leaves import Leaves, build_leaves, search_leaves
 from geonear.operators.pairs import bbox_join, dwithin_join
 from geonear.operators.polygons import Polygons, cut_polygons, points_in_polygons, ring_edges
 from geonear.operators.tiles import Tiles, build_tiles
 from geonear.plans.prepare import load_serving_table, prepare
+from geonear.session import materialize
 from geonear.sources.files import (
     append_by_name,
     create_keyed_table,

@@ -219,20 +219,19 @@ def geom_wkb_roundtrip(spark, sf_dir):
 def udf_sql_functions(spark, sf_dir):
     g.register_sql_functions(spark)
     origins, destinations = _both(spark, sf_dir)
-    tiles = g.build_tiles(destinations, origins, 1, R)
     return spark.sql(
         """
-        WITH a AS (SELECT *, st_point(x, y) AS geom FROM {located}),
+        WITH a AS (SELECT *, st_point(x, y) AS geom FROM {origins}),
         b AS (SELECT *, st_point(bx, by) AS geom FROM {candidates}),
         knn AS (
             SELECT a.origin, b.destination, round(st_distance(a.geom, b.geom), 2) AS distance,
                    row_number() OVER (PARTITION BY a.origin
                        ORDER BY st_distance(a.geom, b.geom), b.destination) AS rn
-            FROM a JOIN b ON a.level = b.level AND a.tx = b.tx AND a.ty = b.ty
+            FROM a JOIN b ON a.x = b.x AND a.y = b.y
             WHERE st_dwithin(a.geom, b.geom, {cap}))
         SELECT * EXCEPT (rn) FROM knn WHERE rn = 1
         """,
-        located=tiles.locate(origins), candidates=tiles.candidates(), cap=R,
+        origins=origins, candidates=g.candidate_places(origins, destinations, R), cap=R,
     )
 
 

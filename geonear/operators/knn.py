@@ -181,6 +181,13 @@ def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: f
     )
 
 
+def candidate_places(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None) -> DataFrame:
+    """``(x, y, destination, bx, by)``: what :func:`candidate_pairs` has, once for each distinct place of origins."""
+    places = origins.select("x", "y").distinct().withColumn("origin", F.lit(0))
+    found = search_leaves(places, build_leaves(destinations), max_distance, merged=False)
+    return found.select("x", "y", F.inline("nearest")).select("x", "y", "destination", "bx", "by")
+
+
 def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
                       round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
@@ -233,9 +240,8 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     """
     seen = origins.select("origin", "x", "y")
     if tiles is None:
-        places = seen.select("x", "y").distinct().withColumn("origin", F.lit(0))
-        found = search_leaves(places, build_leaves(destinations), max_distance, merged=False)
-        candidates = found.select(F.struct("x", "y").alias("at"), F.inline("nearest")).select("at", "destination", "bx", "by")
+        candidates = candidate_places(origins, destinations, max_distance).select(
+            F.struct("x", "y").alias("at"), "destination", "bx", "by")
         outer = seen.selectExpr("origin", "x as ax", "y as ay", "struct(x, y) as at")
     else:
         tiles = tiles.require(destinations, origins, 1, max_distance, False)

@@ -40,3 +40,10 @@ def test_hex_lateral_meets_cells_only_where_the_nearest_is_outside_the_disk(spar
     assert rows(found) == rows(contract.knn_hex(spark, dense))
     found.collect()
     assert metric(found, "Join", "numOutputRows")[0] <= 2000
+
+
+def test_sql_functions_rank_few_pairs_an_origin(spark, dense):
+    found = contract.udf_sql_functions(spark, dense)
+    assert rows(found) == rows(contract.knn_pyramid(spark, dense))
+    found.collect()
+    assert metric(found, "Join", "numOutputRows")[0] <= 8000

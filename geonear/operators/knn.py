@@ -142,16 +142,21 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 
 def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
                      max_distance: float | None = None, tiles: Tiles | None = None) -> DataFrame:
-    """Every destination at the smallest distance, several rows per origin if tied."""
+    """Every destination at the smallest distance, several rows per origin if tied.
+
+    Places are searched without their keys, which meet the origins at the end.
+    They do so by a sorted join: rows of one place then leave together, and a
+    file holds their (maybe long) key once and not for every origin.
+    """
     if tiles is None:
-        found = search_leaves(origins, build_leaves(destinations), max_distance, ties=True)
+        places = destinations.select(F.lit(0).alias("destination"), "x", "y")
+        found = search_leaves(origins, build_leaves(places), max_distance, ties=True)
     else:
         tiles = tiles.require(destinations, origins, 1, max_distance, False)
         found = tiles.nearest(tiles.locate(origins.select("origin", "x", "y")), ["origin"], ties=True)
-    spots = found.select("origin", F.inline("nearest")).drop("destination")
-    # One key per coordinate is kept there; the others at that spot tie as well.
+    spots = found.select("origin", F.inline("nearest")).select("origin", "distance", "bx", "by")
     keys = destinations.select("destination", F.col("x").alias("bx"), F.col("y").alias("by"))
-    return spots.join(keys, ["bx", "by"]).select("origin", "destination", "distance")
+    return spots.join(keys.hint("merge"), ["bx", "by"]).select("origin", "destination", "distance")
 
 
 def nearest_first_of_ties(origins: DataFrame, destinations: DataFrame,

@@ -47,3 +47,20 @@ def test_sql_functions_rank_few_pairs_an_origin(spark, dense):
     assert rows(found) == rows(contract.knn_pyramid(spark, dense))
     found.collect()
     assert metric(found, "Join", "numOutputRows")[0] <= 8000
+
+
+@pytest.fixture()
+def few_places(make):
+    """400 origins that are nearest to four places, whose keys are long."""
+    rng = random.Random(3)
+    a = [(i, float(rng.randrange(4) * 100), float(rng.randrange(3))) for i in range(400)]
+    b = [(f"{j}" * 10_000, j * 100.0, 1.0) for j in range(4)]
+    return a, b, make(a, "origin").repartition(5), make(b, "destination")
+
+
+def test_ties_leave_together_by_place(few_places):
+    a, b, origins, destinations = few_places
+    found = g.nearest_all_ties(origins, destinations, 50.0)
+    assert rows(found) == brute(a, b)
+    keys = [r.destination[0] for r in found.collect()]
+    assert sum(x != y for x, y in zip(keys, keys[1:])) <= 3

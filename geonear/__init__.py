@@ -9,7 +9,7 @@ from geonear.functions.hexgrid import hex_cell, hex_disk
 from geonear.functions.sql import register_sql_functions
 from geonear.operators.compare import check, compare_methods, diff_inner
 from geonear.operators.geodesic import nearest_geodesic
-from geonear.operators.grouping import first_per_key, group_colocated, last_per_key
+from geonear.operators.grouping import first_per_key, group_colocated, last_per_key, number_keys
 from geonear.operators.hexjoin import nearest_in_hex_disk
 from geonear.operators.knn import (
     candidate_places,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geonear.functions.geometry import distance
-from geonear.operators.grouping import first_per_key
+from geonear.operators.grouping import first_per_key, number_keys
 from geonear.operators.leaves import build_leaves, search_leaves
 from geonear.operators.tiles import TILE_KEY, Tiles, build_tiles
 
@@ -162,9 +162,19 @@ def nearest_all_ties(origins: DataFrame, destinations: DataFrame,
 def nearest_first_of_ties(origins: DataFrame, destinations: DataFrame,
                           max_distance: float | None = None,
                           tiles: Tiles | None = None) -> DataFrame:
-    """All ties first, then the smallest key of each origin."""
-    tied = nearest_all_ties(origins, destinations, max_distance, tiles)
-    return first_per_key(tied, ["origin"], ["destination"])
+    """All ties first, then the smallest key of each origin.
+
+    Keys are numbered, so that ties are gathered and compared without them; the
+    key of the first joins its origins at the end, as in :func:`nearest_all_ties`.
+    """
+    if tiles is not None:
+        return first_per_key(nearest_all_ties(origins, destinations, max_distance, tiles), ["origin"], ["destination"])
+    numbered, names = number_keys(destinations.select("destination", "x", "y"))
+    found = search_leaves(origins, build_leaves(numbered), max_distance, ties=True)
+    # One number per place stands for all of it: the smallest.
+    tied = found.select("origin", F.inline("nearest")).select("origin", "destination", "distance")
+    best = first_per_key(tied, ["origin"], ["destination"]).withColumnRenamed("destination", "number")
+    return best.join(names.hint("merge"), "number").select("origin", "destination", "distance")
 
 
 def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None,

@@ -64,3 +64,18 @@ def test_ties_leave_together_by_place(few_places):
     assert rows(found) == brute(a, b)
     keys = [r.destination[0] for r in found.collect()]
     assert sum(x != y for x, y in zip(keys, keys[1:])) <= 3
+
+
+def test_first_of_ties_is_found_without_moving_keys(few_places):
+    a, b, origins, destinations = few_places
+    found = g.nearest_first_of_ties(origins, destinations, 50.0)
+    assert rows(found) == brute(a, b)
+    found.collect()
+    assert metric(found, "Exchange", "dataSize")[1] < 1_000_000
+
+
+def test_first_of_ties_with_repeated_origins_and_keys(make):
+    a = [(1, 0.0, 0.0), (1, 10.0, 0.0), (None, 0.0, 0.0), (2, 5.0, 0.0), (3, 99.0, 0.0)]
+    b = [("b", 0.0, 0.0), ("c", 0.0, 0.0), ("a", 10.0, 0.0), ("b", 10.0, 0.0)]
+    found = g.nearest_first_of_ties(make(a, "origin"), make(b, "destination"), 20.0)
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 0.0), (None, "b", 0.0), (2, "a", 5.0)}

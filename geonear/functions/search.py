@@ -106,13 +106,14 @@ def far_bound(index, x, y, k):
     return bound
 
 
-def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach):
+def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None):
     """``(row, slot, distance)`` of the nearest points of the given leaves for each row.
 
     ``row`` ascends. A row's points are those of its leaves, ``starts`` and
     ``sizes`` giving their slots in ``px, py``. The ``k`` first by distance,
     then ``order``; with ``k`` 0 all at the smallest distance. Only distances up
-    to ``reach`` of the row count.
+    to ``reach`` of the row count, and with ``square`` only points within the
+    square of that half-width.
     """
     out = []
     counts = sizes[leaf]
@@ -129,6 +130,8 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach):
         held = per_row[a:b]
         begin = np.cumsum(held) - held
         near = d <= reach[r]
+        if square is not None:
+            near &= (np.abs(dx) <= square) & (np.abs(dy) <= square)
         if k > 1:
             bound = k_smallest_bound(np.where(near, d, np.inf), begin, held, k)
         else:
@@ -158,23 +161,23 @@ def first_k(row, slot, d, order, k):
     return row[keep], slot[keep], d[keep]
 
 
-def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True):
+def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, square=None):
     """``(row, slot, distance)`` over all leaves: first the one a point lies in, then those near enough to matter.
 
     Unless ``merged``, what the leaf of a point and the others hold isn't cut to
-    the first ``k`` of both.
+    the first ``k`` of both. ``square`` is as in :func:`nearest_in`; ``cap`` reaches its corners then.
     """
     rows = np.arange(len(x))
     reach = np.full(len(x), np.inf if cap is None else cap)
     home = home_leaves(index, x, y)
-    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach)
+    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach, square)
     reach = narrowed(index, x, y, found, k, reach)
     parts = [found]
     for row, leaf in leaves_within(index, x, y, reach):
         other = leaf != home[row]
         row, leaf = row[other], leaf[other]
         by = np.argsort(row, kind="stable")
-        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach))
+        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square))
     if not merged:
         row, slot, d = (np.concatenate(c) for c in zip(*parts))
         by = np.argsort(row, kind="stable")

@@ -4,9 +4,8 @@ Origins are ``(origin, x, y)``, destinations ``(destination, x, y)``; results
 are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
-Neighbours come from a search over leaves of destinations; the lateral form, and
-the one that looks into a square, build destination tiles. Pass ``tiles`` from
-:func:`build_tiles` to share them between calls on the same tables.
+Neighbours come from a search over leaves of destinations, or, with ``tiles`` from
+:func:`build_tiles`, which calls on the same tables can share, by those.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from geonear.functions.geometry import distance
 from geonear.operators.grouping import first_per_key, number_keys
 from geonear.operators.leaves import build_leaves, search_leaves
-from geonear.operators.tiles import TILE_KEY, Tiles, build_tiles
+from geonear.operators.tiles import TILE_KEY, Tiles
 
 HOW = ("inner", "left", "error")
 
@@ -28,13 +27,6 @@ def _round(df: DataFrame, digits: int | None) -> DataFrame:
     return df.withColumn("distance", F.round("distance", digits))
 
 
-def _tiles(tiles: Tiles | None, destinations: DataFrame | None, origins: DataFrame, k: int | None,
-           max_distance: float | None, square: bool = False) -> Tiles:
-    if tiles is None:
-        return build_tiles(destinations, origins, k or 1, max_distance, square)
-    return tiles.require(destinations, origins, k, max_distance, square)
-
-
 def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataFrame:
     """``(origin, x, y, nearest)`` by tiles: one equi-join, in which each origin row meets one tile row."""
     seen = origins.select("origin", "x", "y")
@@ -136,8 +128,10 @@ def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance:
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
-    tiles = _tiles(tiles, destinations, origins, 1, max_distance, square=True)
-    return _neighbours(nearest_lists(origins, tiles))
+    if tiles is None:
+        found = search_leaves(origins, build_leaves(destinations), max_distance, square=True)
+        return _neighbours(found.where(F.size("nearest") > 0))
+    return _neighbours(nearest_lists(origins, tiles.require(destinations, origins, 1, max_distance, True)))
 
 
 def nearest_all_ties(origins: DataFrame, destinations: DataFrame,

@@ -51,6 +51,8 @@ MAX_LEAVES = 1 << 20
 GROUP_ROWS = 50_000
 #: Bytes of origins below which a table may come in fewer partitions than there are cores.
 SMALL_BYTES = 256 << 20
+#: From the middle of a square to its corners, by its half-width; a little more, as distances are rounded.
+CORNER = 2**0.5 * (1 + 1e-9)
 
 
 @dataclass
@@ -152,7 +154,7 @@ def _listed():
 
 
 def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None = None, ties: bool = False,
-                  first: int | None = None, merged: bool = True) -> DataFrame:
+                  first: int | None = None, merged: bool = True, square: bool = False) -> DataFrame:
     """``origin, x, y, nearest``: the ranked neighbours of each origin as an array, empty lists included.
 
     ``nearest`` is ``array<struct<distance, destination, bx, by>>`` with up to
@@ -162,23 +164,29 @@ def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None
 
     With ``merged=False`` the lists are of candidates, among which are the ones
     asked for: those of an origin's own leaf and of the others in reach aren't
-    put together, and an origin may have several rows.
+    put together, and an origin may have several rows. With ``square`` the cap is
+    the half-width of a square.
     """
     if max_distance is not None and max_distance <= 0:
         raise ValueError("max_distance must be positive")
+    if square and max_distance is None:
+        raise ValueError("a square needs a cap")
     if ties and leaves.k != 1:
         raise ValueError("ties are looked for among leaves of k=1")
     seen = origins.select("origin", "x", "y")
     k, cap = (0 if ties else leaves.k), (None if max_distance is None else float(max_distance))
+    half = cap if square else None
+    if square:
+        cap *= CORNER
     if not len(leaves.ids):
         return seen.withColumn("nearest", F.array().cast(_near_type(leaves.key_type)))
     if leaves.whole is not None:
-        return _search_in_place(seen, leaves, k, cap, first, merged)
-    return _search_by_leaf(seen, leaves, k, cap, first, merged)
+        return _search_in_place(seen, leaves, k, cap, first, merged, half)
+    return _search_by_leaf(seen, leaves, k, cap, first, merged, half)
 
 
 def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
-                     merged: bool) -> DataFrame:
+                     merged: bool, half: float | None) -> DataFrame:
     spark = seen.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if int(str(seen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
@@ -196,7 +204,7 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype("f8") for c in ("x", "y"))
             at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged)
+            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged, half)
             if first and len(row):
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 row, slot, d = row[place < first], slot[place < first], d[place < first]
@@ -208,7 +216,7 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
 
 
 def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
-                    merged: bool) -> DataFrame:
+                    merged: bool, half: float | None) -> DataFrame:
     index, ids, lists = leaves.index, leaves.ids, _listed()
     near_type = _near_type(leaves.key_type)
     spot = [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
@@ -227,7 +235,7 @@ def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         px, py = px.to_numpy(), py.to_numpy()
         rows, zero = np.arange(len(x)), np.zeros(len(x), np.int64)
         found = nearest_in(x, y, rows, zero, np.zeros(1, np.int64), np.array([len(px)]), px, py,
-                           np.arange(len(px)), k, reach)
+                           np.arange(len(px)), k, reach, half)
         near = lists(len(x), *found, keys, px, py)
         if not home:
             return pa.table([left.column("x"), left.column("y"), near], names=["x", "y", "nearest"])

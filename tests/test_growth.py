@@ -79,3 +79,15 @@ def test_first_of_ties_with_repeated_origins_and_keys(make):
     b = [("b", 0.0, 0.0), ("c", 0.0, 0.0), ("a", 10.0, 0.0), ("b", 10.0, 0.0)]
     found = g.nearest_first_of_ties(make(a, "origin"), make(b, "destination"), 20.0)
     assert {tuple(r) for r in found.collect()} == {(1, "a", 0.0), (None, "b", 0.0), (2, "a", 5.0)}
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_square_is_searched_over_leaves(make, monkeypatch, keys):
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", keys)
+    rng = random.Random(9)
+    a = [(i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(200)] + [(900, 500.0, 0.0)]
+    b = [(f"P{i:03}", float(rng.randrange(60)), float(rng.randrange(60))) for i in range(90)] + [("Q", 495.0, 5.0)]
+    found = g.nearest_in_square(make(a, "origin"), make(b, "destination"), 5.0)
+    assert rows(found) == brute(a, b, cap=5.0, square=True)
+    if keys:
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

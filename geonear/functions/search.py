@@ -106,14 +106,15 @@ def far_bound(index, x, y, k):
     return bound
 
 
-def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None):
+def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None, ordered=True):
     """``(row, slot, distance)`` of the nearest points of the given leaves for each row.
 
     ``row`` ascends. A row's points are those of its leaves, ``starts`` and
     ``sizes`` giving their slots in ``px, py``. The ``k`` first by distance,
     then ``order``; with ``k`` 0 all at the smallest distance. Only distances up
     to ``reach`` of the row count, and with ``square`` only points within the
-    square of that half-width.
+    square of that half-width. Unless ``ordered``, a row's points come as they
+    stand, with all that tie for the last place.
     """
     out = []
     counts = sizes[leaf]
@@ -140,7 +141,8 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=N
             if filled.any():
                 bound[filled] = np.minimum.reduceat(np.where(near, d, np.inf), begin[filled])
         hit = np.flatnonzero(near & (d <= np.repeat(bound, held)))
-        out.append(first_k(r[hit], slot[hit], d[hit], order, k))
+        near = r[hit], slot[hit], d[hit]
+        out.append(first_k(*near, order, k) if ordered else near)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*out))
@@ -161,27 +163,50 @@ def first_k(row, slot, d, order, k):
     return row[keep], slot[keep], d[keep]
 
 
-def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, square=None):
+def nearest_of(row, slot, d, k):
+    """The ``k`` smallest distances of each row, with all that tie for the last place, in the order of rows."""
+    by = np.argsort(row, kind="stable")
+    row, slot, d = row[by], slot[by], d[by]
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[begin, len(row)])
+    keep = d <= np.repeat(k_smallest_bound(d, begin, sizes, k), sizes)
+    return row[keep], slot[keep], d[keep]
+
+
+def leading(found, first):
+    """The ``first`` of each row of an ordered ``(row, slot, distance)``."""
+    keep = np.arange(len(found[0])) - np.searchsorted(found[0], found[0]) < first
+    return tuple(v[keep] for v in found)
+
+
+def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, square=None, first=None):
     """``(row, slot, distance)`` over all leaves: first the one a point lies in, then those near enough to matter.
 
     Unless ``merged``, what the leaf of a point and the others hold isn't cut to
     the first ``k`` of both. ``square`` is as in :func:`nearest_in`; ``cap`` reaches its corners then.
+    Of the ``k``, only the ``first`` are put in order and returned, if given.
     """
+    some = bool(first) and merged and first < k
     rows = np.arange(len(x))
     reach = np.full(len(x), np.inf if cap is None else cap)
     home = home_leaves(index, x, y)
-    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach, square)
+    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach, square, not some)
     reach = narrowed(index, x, y, found, k, reach)
     parts = [found]
     for row, leaf in leaves_within(index, x, y, reach):
         other = leaf != home[row]
         row, leaf = row[other], leaf[other]
         by = np.argsort(row, kind="stable")
-        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square))
+        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square, not some))
     if not merged:
         row, slot, d = (np.concatenate(c) for c in zip(*parts))
         by = np.argsort(row, kind="stable")
         return row[by], slot[by], d[by]
+    if some:
+        found = tuple(np.concatenate(c) for c in zip(*parts))
+        for most in (k, first):
+            found = nearest_of(*found, most)
+        return first_k(*found, order, first)
     return first_k(*(np.concatenate(c) for c in zip(*parts)), order, k) if len(parts) > 1 else found
 
 
@@ -192,8 +217,11 @@ def narrowed(index, x, y, found, k, reach):
     count = np.bincount(row, minlength=len(x))
     full = count >= need
     reach = reach.copy()
-    ends = np.cumsum(count)
-    reach[full] = np.minimum(reach[full], d[ends[full] - 1])
+    held = np.flatnonzero(count)
+    last = np.full(len(x), np.inf)
+    if len(held):
+        last[held] = np.maximum.reduceat(d, (np.cumsum(count) - count)[held])
+    reach[full] = np.minimum(reach[full], last[full])
     # Only the last leaf of a slab can be too small; with a cap, that is the bound.
     poor = np.flatnonzero(~full & np.isinf(reach))
     if len(poor):

@@ -34,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from geonear.functions.geometry import located
 from geonear.functions.search import (
     home_leaves,
+    leading,
     leaf_index,
     leaves_within,
     narrowed,
@@ -204,10 +205,9 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype("f8") for c in ("x", "y"))
             at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged, half)
-            if first and len(row):
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, slot, d = row[place < first], slot[place < first], d[place < first]
+            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged, half, first)
+            if first:
+                row, slot, d = leading((row, slot, d), first)
             yield pa.record_batch([*batch.columns, lists(len(x), at[row], slot, d, flat, px, py)],
                                   names=["origin", "x", "y", "nearest"])
 
@@ -236,7 +236,8 @@ def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         rows, zero = np.arange(len(x)), np.zeros(len(x), np.int64)
         found = nearest_in(x, y, rows, zero, np.zeros(1, np.int64), np.array([len(px)]), px, py,
                            np.arange(len(px)), k, reach, half)
-        near = lists(len(x), *found, keys, px, py)
+        # The first of all are among the first of each leaf: no more of them needs to be stored.
+        near = lists(len(x), *(leading(found, first) if first else found), keys, px, py)
         if not home:
             return pa.table([left.column("x"), left.column("y"), near], names=["x", "y", "nearest"])
         reach = narrowed(index, x, y, found, k, reach)

@@ -91,3 +91,29 @@ def test_square_is_searched_over_leaves(make, monkeypatch, keys):
     assert rows(found) == brute(a, b, cap=5.0, square=True)
     if keys:
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_first_of_many_neighbours_agrees_and_only_it_is_put_in_order(make, monkeypatch, keys):
+    from geonear.functions import search
+    from geonear.operators.leaves import build_leaves
+
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", keys)
+    rng = random.Random(8)
+    a = [(i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(150)]
+    b = [(f"P{i:03}", float(rng.randrange(60)), float(rng.randrange(60))) for i in range(400)]
+    origins, destinations = make(a, "origin"), make(b, "destination")
+    for cap in (None, 3.0):
+        assert rows(g.knn_join_top1(origins, destinations, 20, cap)) == brute(a, b, cap=cap)
+    if not keys:
+        return
+    leaves, sizes = build_leaves(destinations, 20, 40), []
+    flat = leaves.whole.column("xs").combine_chunks()
+    held = [len(v) for v in flat.to_pylist()]
+    px, py = (leaves.whole.column(c).combine_chunks().flatten().to_numpy() for c in ("xs", "ys"))
+    kept = search.first_k
+    monkeypatch.setattr(search, "first_k", lambda *x: sizes.append(len(x[0])) or kept(*x))
+    x, y = (search.np.array([r[i] for r in a]) for i in (1, 2))
+    starts = search.np.cumsum([0, *held[:-1]])
+    search.search_all(leaves.index, starts, search.np.array(held), px, py, search.np.arange(400), x, y, 20, None, first=1)
+    assert sum(sizes) <= 3 * len(a)

@@ -12,6 +12,7 @@ from geonear.operators.geodesic import nearest_geodesic
 from geonear.operators.grouping import first_per_key, group_colocated, last_per_key, number_keys
 from geonear.operators.hexjoin import nearest_in_hex_disk
 from geonear.operators.knn import (
+    candidate_pairs,
     candidate_places,
     knn_join,
     knn_join_top1,

@@ -5,7 +5,8 @@ are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
 Neighbours come from a search over leaves of destinations, or, with ``tiles`` from
-:func:`build_tiles`, which calls on the same tables can share, by those.
+:func:`build_tiles`, which calls on the same tables can share, by those. Forms that
+rank pairs can share ``pairs`` from :func:`candidate_pairs` instead.
 """
 
 from __future__ import annotations
@@ -197,40 +198,40 @@ def candidate_places(origins: DataFrame, destinations: DataFrame, max_distance:
     return found.select("x", "y", F.inline("nearest")).select("x", "y", "destination", "bx", "by")
 
 
-def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                      round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
+def nearest_by_window(origins: DataFrame, destinations: DataFrame, max_distance: float, round_to: int | None = 2,
+                      tiles: Tiles | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Nearest through ``row_number() = 1`` over the candidate pairs."""
-    pairs = candidate_pairs(origins, destinations, max_distance, tiles)
+    pairs = candidate_pairs(origins, destinations, max_distance, tiles) if pairs is None else pairs
     order = Window.partitionBy("origin").orderBy("distance", "destination")
     best = pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
     return _round(best.select("origin", "destination", "distance"), round_to)
 
 
-def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                        round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
+def nearest_distinct_on(origins: DataFrame, destinations: DataFrame, max_distance: float, round_to: int | None = 2,
+                        tiles: Tiles | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Nearest as "one row per origin in this order", by an ordered minimum."""
-    pairs = candidate_pairs(origins, destinations, max_distance, tiles)
+    pairs = candidate_pairs(origins, destinations, max_distance, tiles) if pairs is None else pairs
     best = first_per_key(pairs, ["origin"], ["distance", "destination"])
     return _round(best.select("origin", "destination", "distance"), round_to)
 
 
 def nearest_sort_dedupe(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                        tiles: Tiles | None = None) -> DataFrame:
+                        tiles: Tiles | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """First row per origin of the sorted pairs, unrounded.
 
     Spark does not promise that ``dropDuplicates`` keeps the first sorted row,
     so the order is part of the aggregate and no global sort is run.
     """
-    return nearest_distinct_on(origins, destinations, max_distance, None, tiles)
+    return nearest_distinct_on(origins, destinations, max_distance, None, tiles, pairs)
 
 
 def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
-                       tiles: Tiles | None = None) -> DataFrame:
+                       tiles: Tiles | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Arg-min over all destinations, no cap: the answer of an all-pairs scan.
 
     Only pairs that can win are looked at.
     """
-    pairs = candidate_pairs(origins, destinations, None, tiles)
+    pairs = candidate_pairs(origins, destinations, None, tiles) if pairs is None else pairs
     rank = F.struct("distance", "destination")
     return pairs.groupBy("origin").agg(
         F.min_by("destination", rank).alias("destination"), F.min("distance").alias("distance")

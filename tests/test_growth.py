@@ -117,3 +117,18 @@ def test_first_of_many_neighbours_agrees_and_only_it_is_put_in_order(make, monke
     starts = search.np.cumsum([0, *held[:-1]])
     search.search_all(leaves.index, starts, search.np.array(held), px, py, search.np.arange(400), x, y, 20, None, first=1)
     assert sum(sizes) <= 3 * len(a)
+
+
+def test_keys_are_numbered_in_their_order_and_pairs_can_be_shared(make):
+    rng = random.Random(5)
+    a = [(i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(100)]
+    b = [(f"P{rng.randrange(40)}", float(rng.randrange(60)), float(rng.randrange(60))) for _ in range(90)]
+    origins, destinations = make(a, "origin"), make(b, "destination")
+    numbered, names = g.number_keys(destinations)
+    key = {r.number: r.destination for r in names.collect()}
+    assert [key[n] for n in sorted(key)] == sorted({p for p, _, _ in b})
+    assert sorted((key[r.destination], r.x, r.y) for r in numbered.collect()) == sorted(b)
+    pairs = g.candidate_pairs(origins, numbered, 20.0)
+    for form in (g.nearest_by_window, g.nearest_distinct_on, g.nearest_sort_dedupe):
+        found = form(origins, numbered, 20.0, pairs=pairs)
+        assert [(o, key[n]) for o, n, _ in rows(found)] == [r[:2] for r in brute(a, b, cap=20.0)]

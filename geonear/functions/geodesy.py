@@ -1,6 +1,7 @@
 """Geodesic distances and the change from national grid to latitude/longitude.
 
-All formulas are published closed forms, written as column arithmetic.
+All formulas are published closed forms, written as column arithmetic or, where that
+is too much code for one method, as arithmetic on Arrow batches.
 """
 
 from __future__ import annotations
@@ -144,68 +145,67 @@ def reproject_points(df: DataFrame, lat: str = "lat", lon: str = "lon", x: str =
 
     Inverse transverse Mercator on the Airy ellipsoid, then the seven-parameter
     datum shift; without a correction grid this is good to about five metres.
+    NULL in either gives NULL in both, NaN and infinities NaN.
+
+    Computed for whole batches: as column arithmetic the steps fill a method of more
+    than 8000 bytes of code, which the JVM doesn't compile. Declared non-deterministic
+    only to stop Catalyst from copying the call into filters on its result.
     """
     e2 = 1 - (AIRY_B / AIRY_A) ** 2
     n = (AIRY_A - AIRY_B) / (AIRY_A + AIRY_B)
     bf = AIRY_B * GRID_SCALE
+    w2 = WGS84_F * (2 - WGS84_F)
+    scale = 1 + SCALE_PPM * 1e-6
+    rx, ry, rz = (math.radians(v / 3600) for v in TURNS)
 
-    def arc(phi: Column) -> Column:
-        d, s = phi - GRID_LAT0, phi + GRID_LAT0
-        return bf * (
-            (1 + n + 1.25 * n**2 + 1.25 * n**3) * d
-            - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(d) * F.cos(s)
-            + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * d) * F.cos(2 * s)
-            - (35 / 24 * n**3) * F.sin(3 * d) * F.cos(3 * s)
-        )
+    def degrees(east, north):
+        import numpy as np
+        import pyarrow as pa
 
-    def step(name: str, value: Column):
-        # One projection per step keeps the expression tree from doubling.
-        nonlocal work
-        work = work.withColumn(name, value)
-
-    c = F.col
-    work = df
-    step("_p", (c(y) - GRID_N0) / (AIRY_A * GRID_SCALE) + GRID_LAT0)
-    for _ in range(4):  # converges to well under a millimetre
-        step("_p", c("_p") + (c(y) - GRID_N0 - arc(c("_p"))) / (AIRY_A * GRID_SCALE))
-    step("_s2", F.sin(c("_p")) * F.sin(c("_p")))
-    step("_nu", AIRY_A * GRID_SCALE / F.sqrt(1 - e2 * c("_s2")))
-    step("_rho", c("_nu") * (1 - e2) / (1 - e2 * c("_s2")))
-    step("_t", F.tan(c("_p")))
-    step("_eta", c("_nu") / c("_rho") - 1)
-    step("_d", c(x) - GRID_E0)
-    t2 = c("_t") * c("_t")
-    t4, t6 = t2 * t2, t2 * t2 * t2
-    nu, d, eta = c("_nu"), c("_d"), c("_eta")
-    d2 = d * d
-    vii = c("_t") / (2 * c("_rho") * nu)
-    viii = c("_t") / (24 * c("_rho") * nu * nu * nu) * (5 + 3 * t2 + eta - 9 * t2 * eta)
-    ix = c("_t") / (720 * c("_rho") * nu * nu * nu * nu * nu) * (61 + 90 * t2 + 45 * t4)
-    sec = 1 / F.cos(c("_p"))
-    x1 = sec / nu
-    xi = sec / (6 * nu * nu * nu) * (nu / c("_rho") + 2 * t2)
-    xii = sec / (120 * nu * nu * nu * nu * nu) * (5 + 28 * t2 + 24 * t4)
-    xiia = sec / (5040 * nu * nu * nu * nu * nu * nu * nu) * (61 + 662 * t2 + 1320 * t4 + 720 * t6)
-    step("_lat", c("_p") - vii * d2 + viii * d2 * d2 - ix * d2 * d2 * d2)
-    step("_lon", GRID_LON0 + x1 * d - xi * d2 * d + xii * d2 * d2 * d - xiia * d2 * d2 * d2 * d)
-
-    # Geographic to cartesian, shift, and back.
-    step("_v", AIRY_A / F.sqrt(1 - e2 * F.sin(c("_lat")) * F.sin(c("_lat"))))
-    step("_cx", c("_v") * F.cos(c("_lat")) * F.cos(c("_lon")))
-    step("_cy", c("_v") * F.cos(c("_lat")) * F.sin(c("_lon")))
-    step("_cz", (1 - e2) * c("_v") * F.sin(c("_lat")))
-    m = 1 + SCALE_PPM * 1e-6
-    rx, ry, rz = (math.radians(v / 3600) for v in TURNS)
-    px, py, pz = c("_cx"), c("_cy"), c("_cz")
-    step("_wx", SHIFT[0] + m * px - rz * py + ry * pz)
-    step("_wy", SHIFT[1] + rz * px + m * py - rx * pz)
-    step("_wz", SHIFT[2] - ry * px + rx * py + m * pz)
-    w2 = WGS84_F * (2 - WGS84_F)
-    step("_h", F.sqrt(c("_wx") * c("_wx") + c("_wy") * c("_wy")))
-    step("_q", F.atan2(c("_wz"), c("_h") * (1 - w2)))
-    for _ in range(4):
-        s = F.sin(c("_q"))
-        step("_q", F.atan2(c("_wz") + w2 * WGS84_A / F.sqrt(1 - w2 * s * s) * s, c("_h")))
-    step(lat, F.degrees(c("_q")))
-    step(lon, F.degrees(F.atan2(c("_wy"), c("_wx"))))
-    return work.select(*df.columns, lat, lon)
+        missing = east.is_null().to_numpy(zero_copy_only=False) | north.is_null().to_numpy(zero_copy_only=False)
+        east, north = (v.fill_null(np.nan).to_numpy(zero_copy_only=False) for v in (east, north))
+        with np.errstate(all="ignore"):
+            p = (north - GRID_N0) / (AIRY_A * GRID_SCALE) + GRID_LAT0
+            for _ in range(4):  # converges to well under a millimetre
+                d, s = p - GRID_LAT0, p + GRID_LAT0
+                arc = bf * (
+                    (1 + n + 1.25 * n**2 + 1.25 * n**3) * d
+                    - (3 * n + 3 * n**2 + 2.625 * n**3) * np.sin(d) * np.cos(s)
+                    + (1.875 * n**2 + 1.875 * n**3) * np.sin(2 * d) * np.cos(2 * s)
+                    - (35 / 24 * n**3) * np.sin(3 * d) * np.cos(3 * s)
+                )
+                p = p + (north - GRID_N0 - arc) / (AIRY_A * GRID_SCALE)
+            s2 = np.sin(p) * np.sin(p)
+            nu = AIRY_A * GRID_SCALE / np.sqrt(1 - e2 * s2)
+            rho = nu * (1 - e2) / (1 - e2 * s2)
+            t, eta, d = np.tan(p), nu / rho - 1, east - GRID_E0
+            t2, d2 = t * t, d * d
+            t4, t6 = t2 * t2, t2 * t2 * t2
+            vii = t / (2 * rho * nu)
+            viii = t / (24 * rho * nu * nu * nu) * (5 + 3 * t2 + eta - 9 * t2 * eta)
+            ix = t / (720 * rho * nu * nu * nu * nu * nu) * (61 + 90 * t2 + 45 * t4)
+            sec = 1 / np.cos(p)
+            x1 = sec / nu
+            xi = sec / (6 * nu * nu * nu) * (nu / rho + 2 * t2)
+            xii = sec / (120 * nu * nu * nu * nu * nu) * (5 + 28 * t2 + 24 * t4)
+            xiia = sec / (5040 * nu * nu * nu * nu * nu * nu * nu) * (61 + 662 * t2 + 1320 * t4 + 720 * t6)
+            phi = p - vii * d2 + viii * d2 * d2 - ix * d2 * d2 * d2
+            lam = GRID_LON0 + x1 * d - xi * d2 * d + xii * d2 * d2 * d - xiia * d2 * d2 * d2 * d
+
+            # Geographic to cartesian, shift, and back.
+            v = AIRY_A / np.sqrt(1 - e2 * np.sin(phi) * np.sin(phi))
+            px, py, pz = v * np.cos(phi) * np.cos(lam), v * np.cos(phi) * np.sin(lam), (1 - e2) * v * np.sin(phi)
+            wx = SHIFT[0] + scale * px - rz * py + ry * pz
+            wy = SHIFT[1] + rz * px + scale * py - rx * pz
+            wz = SHIFT[2] - ry * px + rx * py + scale * pz
+            h = np.sqrt(wx * wx + wy * wy)
+            q = np.arctan2(wz, h * (1 - w2))
+            for _ in range(4):
+                s = np.sin(q)
+                q = np.arctan2(wz + w2 * WGS84_A / np.sqrt(1 - w2 * s * s) * s, h)
+            found = [pa.array(np.degrees(v), mask=missing) for v in (q, np.arctan2(wy, wx))]
+        return pa.StructArray.from_arrays(found, names=["lat", "lon"])
+
+    udf = F.arrow_udf(degrees, "struct<lat: double, lon: double>").asNondeterministic()
+    work = df.withColumn("_globe", udf(F.col(x).cast("double"), F.col(y).cast("double")))
+    return work.select(*df.columns, F.col("_globe.lat").alias(lat), F.col("_globe.lon").alias(lon))

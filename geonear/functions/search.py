@@ -106,13 +106,13 @@ def far_bound(index, x, y, k):
     return bound
 
 
-def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None, ordered=True):
+def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None, ordered=True, slack=1.0):
     """``(row, slot, distance)`` of the nearest points of the given leaves for each row.
 
     ``row`` ascends. A row's points are those of its leaves, ``starts`` and
     ``sizes`` giving their slots in ``px, py``. The ``k`` first by distance,
-    then ``order``; with ``k`` 0 all at the smallest distance. Only distances up
-    to ``reach`` of the row count, and with ``square`` only points within the
+    then ``order``; with ``k`` 0 all up to ``slack`` times the smallest distance.
+    Only distances up to ``reach`` of the row count, and with ``square`` only points within the
     square of that half-width. Unless ``ordered``, a row's points come as they
     stand, with all that tie for the last place.
     """
@@ -139,17 +139,17 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=N
             bound = np.full(len(held), -1.0)
             filled = held > 0
             if filled.any():
-                bound[filled] = np.minimum.reduceat(np.where(near, d, np.inf), begin[filled])
+                bound[filled] = np.minimum.reduceat(np.where(near, d, np.inf), begin[filled]) * (1.0 if k else slack)
         hit = np.flatnonzero(near & (d <= np.repeat(bound, held)))
         near = r[hit], slot[hit], d[hit]
-        out.append(first_k(*near, order, k) if ordered else near)
+        out.append(first_k(*near, order, k, slack) if ordered else near)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def first_k(row, slot, d, order, k):
-    """The first ``k`` of each row by (distance, order); with ``k`` 0 all at its smallest distance."""
+def first_k(row, slot, d, order, k, slack=1.0):
+    """The first ``k`` of each row by (distance, order); with ``k`` 0 all up to ``slack`` times its smallest distance."""
     by = np.lexsort((order[slot], d, row))
     row, slot, d = row[by], slot[by], d[by]
     if not len(row):
@@ -159,7 +159,7 @@ def first_k(row, slot, d, order, k):
     if k:
         keep = np.arange(len(row)) - np.repeat(begin, sizes) < k
     else:
-        keep = d == np.repeat(d[begin], sizes)
+        keep = d <= np.repeat(d[begin] * slack, sizes)
     return row[keep], slot[keep], d[keep]
 
 
@@ -179,25 +179,26 @@ def leading(found, first):
     return tuple(v[keep] for v in found)
 
 
-def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, square=None, first=None):
+def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, square=None, first=None, slack=1.0):
     """``(row, slot, distance)`` over all leaves: first the one a point lies in, then those near enough to matter.
 
     Unless ``merged``, what the leaf of a point and the others hold isn't cut to
     the first ``k`` of both. ``square`` is as in :func:`nearest_in`; ``cap`` reaches its corners then.
-    Of the ``k``, only the ``first`` are put in order and returned, if given.
+    Of the ``k``, only the ``first`` are put in order and returned, if given. With ``k`` 0, all up
+    to ``slack`` times the smallest distance.
     """
     some = bool(first) and merged and first < k
     rows = np.arange(len(x))
     reach = np.full(len(x), np.inf if cap is None else cap)
     home = home_leaves(index, x, y)
-    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach, square, not some)
-    reach = narrowed(index, x, y, found, k, reach)
+    found = nearest_in(x, y, rows, home, starts, sizes, px, py, order, k, reach, square, not some, slack)
+    reach = narrowed(index, x, y, found, k, reach, slack)
     parts = [found]
     for row, leaf in leaves_within(index, x, y, reach):
         other = leaf != home[row]
         row, leaf = row[other], leaf[other]
         by = np.argsort(row, kind="stable")
-        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square, not some))
+        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square, not some, slack))
     if not merged:
         row, slot, d = (np.concatenate(c) for c in zip(*parts))
         by = np.argsort(row, kind="stable")
@@ -207,10 +208,10 @@ def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, s
         for most in (k, first):
             found = nearest_of(*found, most)
         return first_k(*found, order, first)
-    return first_k(*(np.concatenate(c) for c in zip(*parts)), order, k) if len(parts) > 1 else found
+    return first_k(*(np.concatenate(c) for c in zip(*parts)), order, k, slack) if len(parts) > 1 else found
 
 
-def narrowed(index, x, y, found, k, reach):
+def narrowed(index, x, y, found, k, reach, slack=1.0):
     """How far a better answer can be, given what the first leaf of each row held."""
     row, _, d = found
     need = max(k, 1)
@@ -220,7 +221,8 @@ def narrowed(index, x, y, found, k, reach):
     held = np.flatnonzero(count)
     last = np.full(len(x), np.inf)
     if len(held):
-        last[held] = np.maximum.reduceat(d, (np.cumsum(count) - count)[held])
+        begin = (np.cumsum(count) - count)[held]
+        last[held] = np.maximum.reduceat(d, begin) if k else np.minimum.reduceat(d, begin) * slack
     reach[full] = np.minimum(reach[full], last[full])
     # Only the last leaf of a slab can be too small; with a cap, that is the bound.
     poor = np.flatnonzero(~full & np.isinf(reach))

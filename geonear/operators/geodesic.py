@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geonear.functions.geodesy import geodesic_distance, reproject_points
-from geonear.functions.geometry import located
 from geonear.operators.grouping import first_per_key
-from geonear.operators.knn import neighbour_lists
-from geonear.session import materialize, materialize_measured
+from geonear.operators.leaves import build_leaves, search_leaves
 
 #: Distances on the grid and on the sphere differ by less than this share in
 #: the grid's area: scale of the projection below 0.1 %, radii of curvature
 #: against the mean radius below 0.5 %.
 MARGIN = 0.01
-LISTED = 8  # places on the grid that are looked at first; as many times more in each further round
 
 
 def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance: float,
@@ -29,38 +24,19 @@ def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance:
     repeat an ``origin`` count as one, at the nearest of their places.
 
     The nearest on the sphere is among those that are at most twice ``MARGIN``
-    farther on the grid than the nearest there. These stand in the list of the
-    ``LISTED`` nearest places, unless its last entry is that near as well; such
-    origins, and only they, look at a longer list in the next round. Places have
-    one key each, so keys that share a place don't fill a list.
+    farther on the grid than the nearest there, and these places alone are looked
+    for, however many; a place has its smallest key.
     """
     cap = float(max_distance) * (1 + MARGIN)
     slack = (1 + MARGIN) / (1 - MARGIN)
-    places, seen = materialize_measured(
-        destinations.where(located("x") & located("y")).groupBy("x", "y").agg(F.min("destination").alias("destination")),
-        "geodesic-places", n=F.count("*"))
-    left, k, rounds = origins.select("origin", "x", "y"), LISTED, []
-    while True:
-        limit = F.col("nearest")[0]["distance"] * slack
-        lists, found = materialize_measured(
-            neighbour_lists(left, places, k, cap).withColumn("limit", limit).withColumn(
-                "open", (F.size("nearest") == k) & (F.element_at("nearest", -1)["distance"] <= F.col("limit"))),
-            "geodesic-lists", open=F.count_if("open"))
-        last = k >= seen["n"]
-        rounds.append((lists if last else lists.where("not open")).select(
-            "origin", F.col("x").alias("ax"), F.col("y").alias("ay"),
-            F.inline(F.filter("nearest", lambda m: m["distance"] <= F.col("limit")))))
-        if last or not found["open"]:
-            break
-        left, k = lists.where("open").select("origin", "x", "y"), k * LISTED
-    pairs = reduce(DataFrame.unionByName, rounds)
+    found = search_leaves(origins, build_leaves(destinations), cap, ties=True, slack=slack)
+    pairs = found.select("origin", F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline("nearest"))
     for x, y, lat, lon in (("ax", "ay", "a_lat", "a_lon"), ("bx", "by", "b_lat", "b_lon")):
         pairs = reproject_points(pairs, lat, lon, x, y)
-    # Stored: a filter on what follows would be pushed through all those steps, and repeat them.
-    pairs = materialize(pairs.select("origin", "destination", "a_lat", "a_lon", "b_lat", "b_lon"), "geodesic-pairs")
-    ends: list[Column] = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    near = pairs.withColumns({"sphere": geodesic_distance(*ends), "distance": geodesic_distance(*ends, spheroid=True)})
-    best = first_per_key(near.where(F.col("sphere") <= float(max_distance)).select(
-        "origin", "sphere", "destination", "distance"), ["origin"], ["sphere", "destination"])
-    best = best.select("origin", "destination", "distance")
+    ends = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    # The spheroid and the cap come after the choice: before it they'd make one method of
+    # more code than the JVM compiles, and a filter would compute the sphere once more.
+    near = pairs.select("origin", "destination", *ends, geodesic_distance(*map(F.col, ends)).alias("sphere"))
+    best = first_per_key(near, ["origin"], ["sphere", "destination"]).where(F.col("sphere") <= float(max_distance))
+    best = best.select("origin", "destination", geodesic_distance(*map(F.col, ends), spheroid=True).alias("distance"))
     return best if round_to is None else best.withColumn("distance", F.round("distance", round_to))

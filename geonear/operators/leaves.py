@@ -155,13 +155,14 @@ def _listed():
 
 
 def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None = None, ties: bool = False,
-                  first: int | None = None, merged: bool = True, square: bool = False) -> DataFrame:
+                  first: int | None = None, merged: bool = True, square: bool = False,
+                  slack: float = 1.0) -> DataFrame:
     """``origin, x, y, nearest``: the ranked neighbours of each origin as an array, empty lists included.
 
     ``nearest`` is ``array<struct<distance, destination, bx, by>>`` with up to
     ``k`` entries within ``max_distance``, of which the ``first`` are kept, if
-    given. With ``ties`` it holds all coordinates at the smallest distance (with
-    the smallest key of each). Origins without a position have an empty list.
+    given. With ``ties`` it holds all coordinates at the smallest distance, or up to
+    ``slack`` times as far (with the smallest key of each). Origins without a position have an empty list.
 
     With ``merged=False`` the lists are of candidates, among which are the ones
     asked for: those of an origin's own leaf and of the others in reach aren't
@@ -174,6 +175,8 @@ def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None
         raise ValueError("a square needs a cap")
     if ties and leaves.k != 1:
         raise ValueError("ties are looked for among leaves of k=1")
+    if slack < 1 or (slack > 1 and not ties):
+        raise ValueError("slack is at least 1, and for ties only")
     seen = origins.select("origin", "x", "y")
     k, cap = (0 if ties else leaves.k), (None if max_distance is None else float(max_distance))
     half = cap if square else None
@@ -182,12 +185,12 @@ def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None
     if not len(leaves.ids):
         return seen.withColumn("nearest", F.array().cast(_near_type(leaves.key_type)))
     if leaves.whole is not None:
-        return _search_in_place(seen, leaves, k, cap, first, merged, half)
-    return _search_by_leaf(seen, leaves, k, cap, first, merged, half)
+        return _search_in_place(seen, leaves, k, cap, first, merged, half, slack)
+    return _search_by_leaf(seen, leaves, k, cap, first, merged, half, slack)
 
 
 def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
-                     merged: bool, half: float | None) -> DataFrame:
+                     merged: bool, half: float | None, slack: float) -> DataFrame:
     spark = seen.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if int(str(seen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
@@ -205,7 +208,8 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         for batch in batches:
             x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype("f8") for c in ("x", "y"))
             at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
-            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged, half, first)
+            row, slot, d = search_all(index, starts, sizes, px, py, order, x[at], y[at], k, cap, merged, half, first,
+                                      slack)
             if first:
                 row, slot, d = leading((row, slot, d), first)
             yield pa.record_batch([*batch.columns, lists(len(x), at[row], slot, d, flat, px, py)],
@@ -216,7 +220,7 @@ def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
 
 
 def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
-                    merged: bool, half: float | None) -> DataFrame:
+                    merged: bool, half: float | None, slack: float) -> DataFrame:
     index, ids, lists = leaves.index, leaves.ids, _listed()
     near_type = _near_type(leaves.key_type)
     spot = [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]
@@ -235,12 +239,12 @@ def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         px, py = px.to_numpy(), py.to_numpy()
         rows, zero = np.arange(len(x)), np.zeros(len(x), np.int64)
         found = nearest_in(x, y, rows, zero, np.zeros(1, np.int64), np.array([len(px)]), px, py,
-                           np.arange(len(px)), k, reach, half)
+                           np.arange(len(px)), k, reach, half, slack=slack)
         # The first of all are among the first of each leaf: no more of them needs to be stored.
         near = lists(len(x), *(leading(found, first) if first else found), keys, px, py)
         if not home:
             return pa.table([left.column("x"), left.column("y"), near], names=["x", "y", "nearest"])
-        reach = narrowed(index, x, y, found, k, reach)
+        reach = narrowed(index, x, y, found, k, reach, slack)
         others = [np.stack(part) for part in leaves_within(index, x, y, reach)]
         row, leaf = np.concatenate([np.zeros((2, 0), np.int64), *others], axis=1)
         leaf = ids[leaf]
@@ -288,7 +292,7 @@ def _search_by_leaf(seen: DataFrame, leaves: Leaves, k: int, cap: float | None,
         return seen.join(settled.unionByName(found), ["x", "y"]).select("origin", "x", "y", "nearest")
     together = found.groupBy("x", "y").agg(F.array_sort(F.flatten(F.collect_list("nearest"))).alias("nearest"))
     first_ones = F.slice("nearest", 1, kept) if kept else F.filter(
-        "nearest", lambda m: m["distance"] == F.col("nearest")[0]["distance"])
+        "nearest", lambda m: m["distance"] <= F.col("nearest")[0]["distance"] * slack)
     unsettled = together.withColumn("nearest", first_ones)
     answers = materialize(settled.unionByName(unsettled), "nearest")
     empty = F.array().cast(near_type)

@@ -1,5 +1,6 @@
 """Work and bytes that must not grow faster than the tables."""
 
+import math
 import random
 
 import pytest
@@ -132,3 +133,64 @@ def test_keys_are_numbered_in_their_order_and_pairs_can_be_shared(make):
     for form in (g.nearest_by_window, g.nearest_distinct_on, g.nearest_sort_dedupe):
         found = form(origins, numbered, 20.0, pairs=pairs)
         assert [(o, key[n]) for o, n, _ in rows(found)] == [r[:2] for r in brute(a, b, cap=20.0)]
+
+
+def code_size(df):
+    """Bytes of the largest method that Spark generates for a plan; the JVM compiles none above 8000."""
+    made = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_ties_with_slack_are_all_up_to_so_much_farther(make, monkeypatch, keys):
+    from geonear.operators.leaves import build_leaves, search_leaves
+
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", keys)
+    rng = random.Random(4)
+    a = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(150)] + [(900, 500.0, 0.0)]
+    b = [(f"P{i:03}", float(rng.randrange(60)), float(rng.randrange(60))) for i in range(400)]
+    leaves = build_leaves(make(b, "destination"), 1, 16)
+    found = search_leaves(make(a, "origin"), leaves, 50.0, ties=True, slack=1.3)
+    want = {}
+    for o, p, d in brute(a, sorted({(x, y): (p, x, y) for p, x, y in sorted(b, reverse=True)}.values()), 400, 50.0):
+        want.setdefault(o, []).append((d, p))
+    want = {o: sorted(x for x in near if x[0] <= min(near)[0] * 1.3) for o, near in want.items()}
+    assert {r.origin: [(m.distance, m.destination) for m in r.nearest] for r in found.collect()} == {900: [], **want}
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_nearest_on_the_sphere_stores_no_lists_and_is_compiled(spark, make, monkeypatch, keys):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", keys)
+    stored = []
+    monkeypatch.setattr("geonear.session.scratch_path", lambda s, label, path=g.session.scratch_path: (
+        stored.append(label) or path(s, label)))
+    rng = random.Random(6)
+    at = lambda: (420000.0 + 10 * rng.randrange(40), 180000.0 + 10 * rng.randrange(40))
+    a = [(i, *at()) for i in range(120)] + [(7, *at()), (800, 500000.0, 180000.0), (801, None, 1.0)]
+    b = [(f"P{i:03}", *at()) for i in range(150)]
+    origins, destinations = make(a, "origin"), make(b, "destination")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the code is known before the plan runs
+    try:
+        found = g.nearest_geodesic(origins, destinations, 100.0, None)
+        size = code_size(found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert size <= 8000 and not [x for x in stored if "geodesic" in x]
+    ends = ["la", "lo", "lat", "lon"]
+    pairs = g.reproject_points(origins, "la", "lo").drop("x", "y").crossJoin(g.reproject_points(destinations)).select(
+        "origin", "destination", g.geodesic_distance(*ends).alias("s"), g.geodesic_distance(*ends, spheroid=True).alias("t"))
+    want = {}
+    for r in pairs.where(F.col("s") <= 100.0).collect():
+        want[r.origin] = min(want.get(r.origin, (9e9,)), (r.s, r.destination, r.t))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((o, d, t) for o, (_, d, t) in want.items())
+
+
+def test_reprojection_is_compiled(make):
+    odd = [(1, 4e5, 2e5), (2, None, 2e5), (3, 4e5, None), (4, math.nan, 2e5), (5, 4e5, math.inf)]
+    moved = g.reproject_points(make(odd, "origin").repartition(2))
+    found = {r.origin: (r.lat, r.lon) for r in moved.collect()}
+    assert found[1] == pytest.approx((51.69874577039168, -2.001399305794228), abs=1e-12)
+    assert found[2] == found[3] == (None, None) and all(math.isnan(v) for v in (*found[4], *found[5][:1]))
+    assert code_size(moved) <= 8000

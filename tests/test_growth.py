@@ -194,3 +194,21 @@ def test_reprojection_is_compiled(make):
     assert found[1] == pytest.approx((51.69874577039168, -2.001399305794228), abs=1e-12)
     assert found[2] == found[3] == (None, None) and all(math.isnan(v) for v in (*found[4], *found[5][:1]))
     assert code_size(moved) <= 8000
+
+
+@pytest.mark.parametrize("block_rows", [4, 20_000])
+def test_tasks_that_write_pairs_have_few_keys(make, monkeypatch, block_rows):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("geonear.operators.pairs.TASK_KEYS", 100)
+    rng = random.Random(2)
+    a = [(i, rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(300)]
+    b = [(f"P{i:03}", rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(400)]
+    origins, destinations = make(a, "origin"), make(b, "destination")
+    for join, square in ((g.dwithin_join, False), (g.bbox_join, True)):
+        found = join(origins, destinations, 20.0, block_rows)
+        assert rows(found) == brute(a, b, 400, 20.0, square)
+        most = found.groupBy(F.spark_partition_id()).agg(F.countDistinct("destination").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 200
+    nobody = join(origins, destinations.where("false"), 20.0, block_rows)
+    assert nobody.count() == 0

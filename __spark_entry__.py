@@ -426,26 +426,26 @@ def compare_outer(spark, sf_dir):
 
 
 def compare_methods_report(spark, sf_dir):
-    """Methods that rank pairs share them; answers are compared by the numbers of their keys, not the keys."""
+    """Methods that rank pairs share them, methods of k=1 the leaves; answers are compared by numbers of keys."""
     origins, destinations = _both(spark, sf_dir)
     destinations = g.materialize(g.number_keys(destinations)[0], "numbered")
-    both = origins, destinations
-    capped = g.materialize(g.candidate_pairs(*both, R), "capped-pairs")
-    free = g.materialize(g.candidate_pairs(*both), "free-pairs")
+    both, leaves = (origins, destinations), g.build_leaves(destinations)
+    capped = g.materialize(g.candidate_pairs(*both, R, leaves=leaves), "capped-pairs")
+    free = g.materialize(g.candidate_pairs(*both, leaves=leaves), "free-pairs")
     results = {
         "knn_window": g.nearest_by_window(*both, R, pairs=capped),
-        "knn_lateral": g.nearest_lateral(*both, R),
+        "knn_lateral": g.nearest_lateral(*both, R, leaves=leaves),
         "knn_first_per_origin": g.nearest_sort_dedupe(*both, R, pairs=capped),
-        "knn_pyramid": g.nearest(*both, R),
-        "knn_bbox": g.nearest_in_square(*both, R),
-        "knn_hex": g.nearest_in_hex_disk(*both, R),
-        "knn_unbounded": g.nearest(*both),
+        "knn_pyramid": g.nearest(*both, R, leaves=leaves),
+        "knn_bbox": g.nearest_in_square(*both, R, leaves=leaves),
+        "knn_hex": g.nearest_in_hex_disk(*both, R, leaves=leaves),
+        "knn_unbounded": g.nearest(*both, leaves=leaves),
         "knn_brute": g.nearest_all_vs_all(*both, pairs=free),
         "knn_join_k10_top1": g.knn_join_top1(*both, 10),
         "knn_join_k100_top1": g.knn_join_top1(*both, 100),
         "knn_k5_rounded": g.knn_rounded_first(*both, 5),
         "knn_nearest_first": g.nearest_first_of_ties(*both, R),
-        "knn_geodesic": g.nearest_geodesic(*both, R),
+        "knn_geodesic": g.nearest_geodesic(*both, R, leaves=leaves),
     }
     return g.compare_methods(results, g.nearest_distinct_on(*both, R, pairs=capped))
 

@@ -19,7 +19,7 @@ from geonear.functions.ranking import k_smallest_bound
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PAIRS = 1 << 20  # distances that are held at once
+PAIRS = 1 << 17  # distances that are held at once: arrays of 1 MB, which stay in a core's cache
 
 
 def leaf_index(slab, x0, x1, y0, y1, n):
@@ -106,7 +106,8 @@ def far_bound(index, x, y, k):
     return bound
 
 
-def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None, ordered=True, slack=1.0):
+def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=None, ordered=True, slack=1.0,
+               selected=True):
     """``(row, slot, distance)`` of the nearest points of the given leaves for each row.
 
     ``row`` ascends. A row's points are those of its leaves, ``starts`` and
@@ -114,7 +115,8 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=N
     then ``order``; with ``k`` 0 all up to ``slack`` times the smallest distance.
     Only distances up to ``reach`` of the row count, and with ``square`` only points within the
     square of that half-width. Unless ``ordered``, a row's points come as they
-    stand, with all that tie for the last place.
+    stand, with all that tie for the last place; unless ``selected`` either, so may
+    others within its reach, while they are few, for a selection among more of them.
     """
     out = []
     counts = sizes[leaf]
@@ -123,17 +125,21 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=N
     per_row = np.add.reduceat(counts, first) if len(first) else counts
     for a, b in _runs(per_row, PAIRS):
         lo, hi = first[a], last[b - 1] + 1
-        pair, i = spread(counts[lo:hi])
-        slot = starts[leaf[lo:hi]][pair] + i
-        r = row[lo:hi][pair]
-        dx, dy = x[r] - px[slot], y[r] - py[slot]
-        d = np.sqrt(dx * dx + dy * dy)
-        held = per_row[a:b]
+        held, each, own = per_row[a:b], counts[lo:hi], row[first[a:b]]
         begin = np.cumsum(held) - held
-        near = d <= reach[r]
+        # A leaf's slots are consecutive, so rows are repeated rather than looked up for each pair.
+        slot = np.repeat(starts[leaf[lo:hi]] - (np.cumsum(each) - each), each)
+        slot += np.arange(len(slot))
+        dx, dy = np.repeat(x[own], held), np.repeat(y[own], held)
+        dx -= px[slot]
+        dy -= py[slot]
+        d = np.sqrt(dx * dx + dy * dy)
+        near = d <= np.repeat(reach[own], held)
         if square is not None:
             near &= (np.abs(dx) <= square) & (np.abs(dy) <= square)
-        if k > 1:
+        if not (ordered or selected) and np.count_nonzero(near) <= 4 * max(k, 1) * len(held):
+            bound = np.full(len(held), np.inf)
+        elif k > 1:
             bound = k_smallest_bound(np.where(near, d, np.inf), begin, held, k)
         else:
             bound = np.full(len(held), -1.0)
@@ -141,7 +147,7 @@ def nearest_in(x, y, row, leaf, starts, sizes, px, py, order, k, reach, square=N
             if filled.any():
                 bound[filled] = np.minimum.reduceat(np.where(near, d, np.inf), begin[filled]) * (1.0 if k else slack)
         hit = np.flatnonzero(near & (d <= np.repeat(bound, held)))
-        near = r[hit], slot[hit], d[hit]
+        near = np.repeat(own, held)[hit], slot[hit], d[hit]
         out.append(first_k(*near, order, k, slack) if ordered else near)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -198,7 +204,8 @@ def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, s
         other = leaf != home[row]
         row, leaf = row[other], leaf[other]
         by = np.argsort(row, kind="stable")
-        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square, not some, slack))
+        parts.append(nearest_in(x, y, row[by], leaf[by], starts, sizes, px, py, order, k, reach, square, not some, slack,
+                                not some))
     if not merged:
         row, slot, d = (np.concatenate(c) for c in zip(*parts))
         by = np.argsort(row, kind="stable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,36 +42,33 @@ def compare_methods(results: dict[str, DataFrame], reference: DataFrame) -> Data
     origin instead of one outer join each: a method may have any number of rows
     for an origin, each of which counts; an origin that only the reference has
     is one mismatch; a NULL destination agrees with nothing.  ``reference`` has
-    one row per origin at most.
+    one row per origin at most; of more, the largest destination counts.
+
+    Rows are dealt out once, by their origin. Answers are then counted per origin and
+    destination, with a count for each method in place of a row, and no rows are sorted.
     """
-    tagged = [reference.select(F.lit("").alias("method"), "origin", "destination")]
-    tagged += [r.select(F.lit(m).alias("method"), "origin", "destination") for m, r in results.items()]
-    stacked = reduce(DataFrame.unionByName, tagged)
-    # Equal answers are counted first, so an origin has few rows however often it is repeated.
-    answers = stacked.groupBy("origin", "method", "destination").agg(F.count("*").alias("n"))
-    is_reference = F.col("method") == ""
-    same_origin = Window.partitionBy("origin")
-    seen = answers.withColumns({
-        "expected": F.max(F.when(is_reference, F.col("destination"))).over(same_origin),
-        "known": F.max(is_reference).over(same_origin),
-    })
-    same = F.coalesce(F.col("destination") == F.col("expected"), F.lit(False))
-    per_origin = seen.groupBy("origin", "method", "known").agg(
-        F.sum("n").alias("n"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("bad")
-    )
-    totals = per_origin.groupBy("method").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_if("known").alias("met")
-    )
+    named = list(enumerate(results))
+    expected = reference.groupBy("origin").agg(F.max("destination").alias("destination"))
+    tagged = [expected.select("origin", "destination", F.lit(-1).alias("method"))]
+    tagged += [results[m].select("origin", "destination", F.lit(i).alias("method")) for i, m in named]
+    dealt = reduce(DataFrame.unionByName, tagged).repartition("origin")
+    answers = dealt.groupBy("origin", "destination").agg(
+        F.count_if(F.col("method") == -1).alias("expected"),
+        *[F.count_if(F.col("method") == i).alias(f"n{i}") for i, _ in named])
+    same = (F.col("expected") > 0) & F.col("destination").isNotNull()
+    origins = answers.groupBy("origin").agg(
+        F.max("expected").alias("known"),
+        *[F.sum(f"n{i}").alias(f"n{i}") for i, _ in named],
+        *[F.sum(F.when(same, 0).otherwise(F.col(f"n{i}"))).alias(f"bad{i}") for i, _ in named])
+    known = F.col("known") > 0
+    # An origin that the reference has and the method hasn't is a mismatch too.
+    totals = origins.agg(
+        F.max("known").alias("known"),
+        *[F.sum(f"n{i}").alias(f"n{i}") for i, _ in named],
+        *[(F.coalesce(F.sum(f"bad{i}"), F.lit(0)) + F.count_if(known & (F.col(f"n{i}") == 0))).alias(f"bad{i}")
+          for i, _ in named])
     # One row per method: a method without any row must be reported too.
-    names = reference.sparkSession.createDataFrame([(m,) for m in results], "method string")
-    everything = Window.partitionBy(F.lit(0))
-    counted = names.unionByName(names.sparkSession.createDataFrame([("",)], "method string")).join(
-        totals, "method", "left")
-    found = counted.withColumn(
-        "expected", F.coalesce(F.max(F.when(is_reference, F.col("met"))).over(everything), F.lit(0))
-    ).where(~is_reference)
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return found.select(
-        "method", zero(F.col("n")).alias("n_rows"),
-        (zero(F.col("bad")) + F.col("expected") - zero(F.col("met"))).cast("long").alias("n_mismatch"),
-    ).withColumn("agrees", F.col("n_mismatch") == 0)
+    rows = [F.struct(F.lit(m).alias("method"), F.coalesce(f"n{i}", F.lit(0)).cast("long").alias("n_rows"),
+                     F.col(f"bad{i}").cast("long").alias("n_mismatch")) for i, m in named]
+    found = totals.select(F.inline(F.array(*rows).cast("array<struct<method:string,n_rows:bigint,n_mismatch:bigint>>")))
+    return found.withColumn("agrees", F.col("n_mismatch") == 0)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from geonear.functions.geodesy import geodesic_distance, reproject_points
 from geonear.operators.grouping import first_per_key
-from geonear.operators.leaves import build_leaves, search_leaves
+from geonear.operators.knn import _leaves
+from geonear.operators.leaves import Leaves, search_leaves
 
 #: Distances on the grid and on the sphere differ by less than this share in
 #: the grid's area: scale of the projection below 0.1 %, radii of curvature
@@ -16,7 +17,7 @@ MARGIN = 0.01
 
 
 def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                     round_to: int | None = 2) -> DataFrame:
+                     round_to: int | None = 2, leaves: Leaves | None = None) -> DataFrame:
     """Nearest destination at most ``max_distance`` away on the sphere.
 
     Ranks on the great circle, then on the key; the distance that comes out is
@@ -29,7 +30,7 @@ def nearest_geodesic(origins: DataFrame, destinations: DataFrame, max_distance:
     """
     cap = float(max_distance) * (1 + MARGIN)
     slack = (1 + MARGIN) / (1 - MARGIN)
-    found = search_leaves(origins, build_leaves(destinations), cap, ties=True, slack=slack)
+    found = search_leaves(origins, _leaves(destinations, 1, leaves), cap, ties=True, slack=slack)
     pairs = found.select("origin", F.col("x").alias("ax"), F.col("y").alias("ay"), F.inline("nearest"))
     for x, y, lat, lon in (("ax", "ay", "a_lat", "a_lon"), ("bx", "by", "b_lat", "b_lon")):
         pairs = reproject_points(pairs, lat, lon, x, y)

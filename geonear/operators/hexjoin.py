@@ -9,6 +9,7 @@ from geonear.functions.geometry import distance, located
 from geonear.functions.hexgrid import RES9_EDGE, disk_reach, hex_cell, hex_steps
 from geonear.operators.grouping import first_per_key
 from geonear.operators.knn import neighbour_lists
+from geonear.operators.leaves import Leaves
 from geonear.operators.pairs import near_pairs
 from geonear.operators.tiles import Tiles
 from geonear.session import materialize
@@ -16,7 +17,8 @@ from geonear.session import materialize
 
 def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distance: float,
                         edge: float = RES9_EDGE, k: int = 5, round_to: int | None = 2,
-                        exact: bool = False, tiles: Tiles | None = None) -> DataFrame:
+                        exact: bool = False, tiles: Tiles | None = None,
+                        leaves: Leaves | None = None) -> DataFrame:
     """Nearest destination whose hexagon is within ``k`` steps of the origin's.
 
     This is an approximation of the nearest destination: one outside the disk
@@ -27,7 +29,7 @@ def nearest_in_hex_disk(origins: DataFrame, destinations: DataFrame, max_distanc
     farther than the disk reaches there is none. Pairs are looked at for the
     origins in between only, by cells as wide as the reach: one row per origin.
     """
-    lists = neighbour_lists(origins, destinations, 1, max_distance, tiles=tiles)
+    lists = neighbour_lists(origins, destinations, 1, max_distance, tiles=tiles, leaves=leaves)
     best = lists.select("origin", "x", "y", F.inline_outer("nearest"))
     if exact:
         found = best

@@ -5,7 +5,8 @@ are ``(origin, destination, distance)``.  All of them rank on the unrounded
 distance, then on the destination key, and round last.
 
 Neighbours come from a search over leaves of destinations, or, with ``tiles`` from
-:func:`build_tiles`, which calls on the same tables can share, by those. Forms that
+:func:`build_tiles`, which calls on the same tables can share, by those. Calls on the same
+destinations can share ``leaves`` from :func:`build_leaves` for their ``k``. Forms that
 rank pairs can share ``pairs`` from :func:`candidate_pairs` instead.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geonear.functions.geometry import distance
 from geonear.operators.grouping import first_per_key, number_keys
-from geonear.operators.leaves import build_leaves, search_leaves
+from geonear.operators.leaves import Leaves, build_leaves, search_leaves
 from geonear.operators.tiles import TILE_KEY, Tiles
 
 HOW = ("inner", "left", "error")
@@ -28,6 +29,15 @@ def _round(df: DataFrame, digits: int | None) -> DataFrame:
     return df.withColumn("distance", F.round("distance", digits))
 
 
+def _leaves(destinations: DataFrame, k: int, leaves: Leaves | None) -> Leaves:
+    """The given leaves, which must be for ``k`` neighbours, or new ones."""
+    if leaves is None:
+        return build_leaves(destinations, k)
+    if leaves.k != k:
+        raise ValueError(f"leaves for k={leaves.k} used for k={k}")
+    return leaves
+
+
 def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataFrame:
     """``(origin, x, y, nearest)`` by tiles: one equi-join, in which each origin row meets one tile row."""
     seen = origins.select("origin", "x", "y")
@@ -41,7 +51,8 @@ def nearest_lists(origins: DataFrame, tiles: Tiles, how: str = "inner") -> DataF
 
 
 def neighbour_lists(origins: DataFrame, destinations: DataFrame, k: int | None = 1, max_distance: float | None = None,
-                    how: str = "inner", tiles: Tiles | None = None, first: int | None = None) -> DataFrame:
+                    how: str = "inner", tiles: Tiles | None = None, first: int | None = None,
+                    leaves: Leaves | None = None) -> DataFrame:
     """``(origin, x, y, nearest)``: the ranked neighbours of each origin as an array.
 
     By leaves, or by ``tiles`` where given. Without a neighbour an origin has no
@@ -55,7 +66,7 @@ def neighbour_lists(origins: DataFrame, destinations: DataFrame, k: int | None =
         if first:
             found = found.withColumn("nearest", F.slice("nearest", 1, first))
     else:
-        found = search_leaves(origins, build_leaves(destinations, k or 1), max_distance, first=first)
+        found = search_leaves(origins, _leaves(destinations, k or 1, leaves), max_distance, first=first)
     some = F.coalesce(F.size("nearest") > 0, F.lit(False))
     if how == "inner":
         return found if tiles is not None else found.where(some)
@@ -79,13 +90,14 @@ def knn_join(
     how: str = "inner",
     round_to: int | None = None,
     tiles: Tiles | None = None,
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """The ``k`` (default 1, or that of the tiles) nearest destinations of every origin.
 
     One row per neighbour.  ``how="left"`` keeps origins without a match, with
     NULLs; ``how="error"`` fails on the first such origin, in the same pass.
     """
-    return _neighbours(neighbour_lists(origins, destinations, k, max_distance, how, tiles), round_to)
+    return _neighbours(neighbour_lists(origins, destinations, k, max_distance, how, tiles, leaves=leaves), round_to)
 
 
 def nearest(
@@ -95,9 +107,10 @@ def nearest(
     how: str = "inner",
     round_to: int | None = None,
     tiles: Tiles | None = None,
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """The nearest destination of every origin; ties go to the smallest key."""
-    return knn_join(origins, destinations, 1, max_distance, how, round_to, tiles)
+    return knn_join(origins, destinations, 1, max_distance, how, round_to, tiles, leaves)
 
 
 def knn_join_top1(origins: DataFrame, destinations: DataFrame, k: int,
@@ -124,13 +137,13 @@ def knn_rounded_first(origins: DataFrame, destinations: DataFrame, k: int = 5,
 
 
 def nearest_in_square(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                      tiles: Tiles | None = None) -> DataFrame:
+                      tiles: Tiles | None = None, leaves: Leaves | None = None) -> DataFrame:
     """Nearest destination within the *square* of half-width ``max_distance``.
 
     Distances up to ``max_distance * sqrt(2)`` can come out, at the corners.
     """
     if tiles is None:
-        found = search_leaves(origins, build_leaves(destinations), max_distance, square=True)
+        found = search_leaves(origins, _leaves(destinations, 1, leaves), max_distance, square=True)
         return _neighbours(found.where(F.size("nearest") > 0))
     return _neighbours(nearest_lists(origins, tiles.require(destinations, origins, 1, max_distance, True)))
 
@@ -173,7 +186,7 @@ def nearest_first_of_ties(origins: DataFrame, destinations: DataFrame,
 
 
 def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None,
-                    tiles: Tiles | None = None) -> DataFrame:
+                    tiles: Tiles | None = None, leaves: Leaves | None = None) -> DataFrame:
     """Pairs ``(origin, destination, distance)`` within the cap that can be nearest.
 
     The nearest of an origin's own leaf, and of the other leaves that begin no
@@ -181,7 +194,7 @@ def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: f
     is bounded, however many destinations lie inside the cap.
     """
     if tiles is None:
-        found = search_leaves(origins, build_leaves(destinations), max_distance, merged=False)
+        found = search_leaves(origins, _leaves(destinations, 1, leaves), max_distance, merged=False)
         return found.select("origin", F.inline("nearest")).select("origin", "destination", "distance")
     tiles = tiles.require(destinations, origins, 1, max_distance, False)
     met = tiles.locate(origins.select("origin", "x", "y")).join(tiles.candidates(), TILE_KEY)
@@ -191,10 +204,11 @@ def candidate_pairs(origins: DataFrame, destinations: DataFrame, max_distance: f
     )
 
 
-def candidate_places(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None) -> DataFrame:
+def candidate_places(origins: DataFrame, destinations: DataFrame, max_distance: float | None = None,
+                     leaves: Leaves | None = None) -> DataFrame:
     """``(x, y, destination, bx, by)``: what :func:`candidate_pairs` has, once for each distinct place of origins."""
     places = origins.select("x", "y").distinct().withColumn("origin", F.lit(0))
-    found = search_leaves(places, build_leaves(destinations), max_distance, merged=False)
+    found = search_leaves(places, _leaves(destinations, 1, leaves), max_distance, merged=False)
     return found.select("x", "y", F.inline("nearest")).select("x", "y", "destination", "bx", "by")
 
 
@@ -239,7 +253,8 @@ def nearest_all_vs_all(origins: DataFrame, destinations: DataFrame,
 
 
 def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: float,
-                    round_to: int | None = 2, tiles: Tiles | None = None) -> DataFrame:
+                    round_to: int | None = 2, tiles: Tiles | None = None,
+                    leaves: Leaves | None = None) -> DataFrame:
     """Nearest through a correlated ``LATERAL (… ORDER BY … LIMIT 1)`` subquery.
 
     The outer columns enter the subquery as a one-row relation that is joined
@@ -250,7 +265,7 @@ def nearest_lateral(origins: DataFrame, destinations: DataFrame, max_distance: f
     """
     seen = origins.select("origin", "x", "y")
     if tiles is None:
-        candidates = candidate_places(origins, destinations, max_distance).select(
+        candidates = candidate_places(origins, destinations, max_distance, leaves).select(
             F.struct("x", "y").alias("at"), "destination", "bx", "by")
         outer = seen.selectExpr("origin", "x as ax", "y as ay", "struct(x, y) as at")
     else:

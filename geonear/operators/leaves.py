@@ -7,9 +7,9 @@ origin no more than any other place does: an origin looks at the leaf it lies
 in, which bounds the distance of its k-th neighbour, and then only at leaves
 whose box begins within that distance.
 
-* While the destinations are few (``BROADCAST_KEYS``, counted), all leaves go
-  to the executors and origins are searched where they are read, without any
-  shuffle of origins or pairs.
+* While the destinations are few (``BROADCAST_KEYS``, counted; more if their keys are
+  numbers), all leaves go to the executors and origins are searched where they are
+  read, without any shuffle of origins or pairs.
 * Beyond that only the boxes of the leaves go there, at most ``MAX_LEAVES``
   whatever the number of destinations. Distinct origin coordinates meet the
   leaf they lie in, as one group per leaf whose destinations are sent once; the
@@ -44,8 +44,10 @@ from geonear.functions.search import (
 from geonear.operators.tiles import _reduce_to_k
 from geonear.session import materialize, materialize_measured
 
-#: Destination keys up to which all of them are sent to every executor (some 40 bytes each).
+#: Destination keys up to which all of them are sent to every executor (some 100 bytes each).
 BROADCAST_KEYS = 1_000_000
+#: So many numbers (some 40 bytes each) take the place of one key.
+NUMBER_KEYS = 3
 #: Leaves whose boxes every executor gets (48 bytes each); larger tables have larger leaves.
 MAX_LEAVES = 1 << 20
 #: Origin coordinates that meet one leaf in one group.
@@ -80,8 +82,9 @@ def build_leaves(destinations: DataFrame, k: int = 1, leaf_keys: int | None = No
     key_type = destinations.schema["destination"].dataType
     points, seen = materialize_measured(_reduce_to_k(destinations, k), "points", keys=F.sum("n"))
     total = seen["keys"] or 0
-    small = total <= (BROADCAST_KEYS if broadcast_keys is None else broadcast_keys)
-    size = max(leaf_keys or (max(64, 4 * k) if small else max(1024, 16 * k)), -(-total // MAX_LEAVES))
+    most = BROADCAST_KEYS * (NUMBER_KEYS if isinstance(key_type, T.NumericType) else 1)
+    small = total <= (most if broadcast_keys is None else broadcast_keys)
+    size = max(leaf_keys or (max(16, 2 * k) if small else max(1024, 16 * k)), -(-total // MAX_LEAVES))
     slabs = max(1, round((total / size) ** 0.5))
     schema = T.StructType([
         T.StructField("leaf", T.LongType()),
@@ -103,35 +106,45 @@ def _packer(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held = 0, None
 
-        def leaf(rows):
+        def leaves(rows, ends):
+            """One row for each leaf; a leaf ends before each of the rows ``ends``."""
             nonlocal made
             keys = rows.column("keys").combine_chunks()
-            repeat = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
-            x, y = (rows.column(c).to_numpy()[repeat] for c in ("x", "y"))
+            counts = pc.list_value_length(keys).to_numpy()
+            rows_of = np.diff(np.r_[0, ends])
+            leaf = np.repeat(np.repeat(np.arange(len(ends)), rows_of), counts)
+            repeat = np.repeat(np.arange(len(keys)), counts)
+            x, y = (rows.column(c).to_numpy() for c in ("x", "y"))
             flat = keys.flatten()
-            by = pc.sort_indices(flat)
-            at = by.to_numpy()
-            ends = pa.array([0, len(at)], pa.int32())
-            number = (rows.column("slab")[0].as_py() << 32) | made
-            made += 1
-            cols = [pa.array([number], pa.int64()), *[pa.array([v]) for v in (x.min(), x.max(), y.min(), y.max())],
-                    pa.array([len(at)], pa.int64()),
-                    *[pa.ListArray.from_arrays(ends, v) for v in (flat.take(by), pa.array(x[at]), pa.array(y[at]))]]
-            return pa.record_batch(cols, names=["leaf", "x0", "x1", "y0", "y1", "n", "keys", "xs", "ys"])
+            by = pc.sort_indices(pa.table([pa.array(leaf), flat], names=["leaf", "key"]),
+                                 sort_keys=[("leaf", "ascending"), ("key", "ascending")])
+            at, begin = repeat[by.to_numpy()], np.r_[0, ends[:-1]]
+            n = np.add.reduceat(counts, begin).astype("i8")
+            offsets = pa.array(np.r_[0, np.cumsum(n)].astype("i4"))
+            number = (rows.column("slab")[0].as_py() << 32) + made + np.arange(len(ends))
+            made += len(ends)
+            box = [f.reduceat(v, begin) for v in (x, y) for f in (np.minimum, np.maximum)]
+            lists = [pa.ListArray.from_arrays(offsets, v) for v in (flat.take(by), pa.array(x[at]), pa.array(y[at]))]
+            return pa.record_batch([pa.array(number, pa.int64()), *map(pa.array, box), pa.array(n), *lists],
+                                   names=["leaf", "x0", "x1", "y0", "y1", "n", "keys", "xs", "ys"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            while True:
-                ends = np.cumsum(pc.list_value_length(held.column("keys")).to_numpy())
-                # A leaf is cut off only while another whole one stays, so none is much too small.
-                if len(ends) < 2 or ends[-1] < 2 * size:
+            total = np.cumsum(pc.list_value_length(held.column("keys")).to_numpy())
+            ends, done, last = [], 0, len(total)
+            # A leaf is cut off only while another whole one stays, so none is much too small.
+            while last and total[-1] - done >= 2 * size:
+                cut = min(int(np.searchsorted(total, done + size)) + 1, last - 1)
+                if ends and cut <= ends[-1] or not cut:
                     break
-                cut = min(int(np.searchsorted(ends, size)) + 1, len(ends) - 1)
-                yield leaf(held.slice(0, cut))
-                held = held.slice(cut)
+                ends.append(cut)
+                done = total[cut - 1]
+            if ends:
+                yield leaves(held.slice(0, ends[-1]), np.array(ends))
+                held = held.slice(ends[-1]).combine_chunks()
         if held is not None and len(held):
-            yield leaf(held)
+            yield leaves(held, np.array([len(held)]))
 
     return pack
 
@@ -189,12 +202,19 @@ def search_leaves(origins: DataFrame, leaves: Leaves, max_distance: float | None
     return _search_by_leaf(seen, leaves, k, cap, first, merged, half, slack)
 
 
+def _spread(seen: DataFrame) -> DataFrame:
+    """Over all cores, where Catalyst holds the table small and it isn't read in as many parts anyway."""
+    cores, plan = seen.sparkSession.sparkContext.defaultParallelism, seen._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES:
+        return seen
+    # Without an exchange, asking for the partition count runs nothing.
+    scan = "Exchange" not in plan.executedPlan().toString()
+    return seen if scan and plan.toRdd().getNumPartitions() >= cores else seen.repartition(cores)
+
+
 def _search_in_place(seen: DataFrame, leaves: Leaves, k: int, cap: float | None, first: int | None,
                      merged: bool, half: float | None, slack: float) -> DataFrame:
-    spark = seen.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if int(str(seen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
-        seen = seen.repartition(cores)
+    seen = _spread(seen)
     keys = leaves.whole.column("keys").combine_chunks()
     sizes = np.diff(keys.offsets.to_numpy())
     starts = np.cumsum(sizes) - sizes

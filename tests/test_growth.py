@@ -212,3 +212,109 @@ def test_tasks_that_write_pairs_have_few_keys(make, monkeypatch, block_rows):
         assert most <= 200
     nobody = join(origins, destinations.where("false"), 20.0, block_rows)
     assert nobody.count() == 0
+
+
+def test_methods_are_compared_without_sorting_their_rows(spark, make):
+    a = make([(i, float(i), 0.0) for i in range(50)] + [(None, 3.0, 0.0), (7, 9.0, 0.0)], "origin")
+    b = make([(f"P{i:02}", i * 3.0, 0.0) for i in range(20)], "destination")
+    near = g.nearest_distinct_on(a, b, 2.0)
+    results = {"same": g.nearest(a, b, 2.0), "few": g.nearest(a, b, 0.5), "none": g.nearest(a, b, 2.0).where("false")}
+    found = g.compare_methods(results, near)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("hashpartitioning(origin") <= 2  # of the reference, and of all rows
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert code_size(g.compare_methods({f"m{i}": near for i in range(13)}, near)) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    expected = {r.origin: r.destination for r in near.collect()}
+    for r in found.collect():
+        rows_of = [(x.origin, x.destination) for x in results[r.method].collect()]
+        wrong = sum(expected.get(o) != d for o, d in rows_of) + len(expected.keys() - {o for o, _ in rows_of})
+        assert (r.n_rows, r.n_mismatch, r.agrees) == (len(rows_of), wrong, wrong == 0)
+    assert {r.method for r in found.collect()} == set(results)
+
+
+def test_comparison_counts_repeated_and_missing_answers(spark):
+    schema = "origin long, destination string, distance double"
+    frame = lambda rows: spark.createDataFrame([(*r, 1.0) for r in rows], schema)
+    reference = frame([(1, "a"), (2, "b"), (3, None), (None, "c")])
+    results = {
+        "repeated": frame([(1, "a"), (1, "a"), (1, "x"), (1, "x"), (2, "b"), (3, None), (None, "c"), (None, "c")]),
+        "other": frame([(1, "a"), (4, "a"), (None, "d")]),
+        "empty": frame([]),
+    }
+    found = {r.method: tuple(r)[1:] for r in g.compare_methods(results, reference).collect()}
+    # Two wrong rows and the NULL answer; an origin too many, two missing and one wrong; all missing.
+    assert found == {"repeated": (8, 3, False), "other": (3, 4, False), "empty": (0, 4, False)}
+    assert g.compare_methods({}, reference).count() == 0
+
+
+def test_report_shares_its_leaves(spark, dense, monkeypatch):
+    stored = []
+    monkeypatch.setattr("geonear.session.scratch_path", lambda s, label, path=g.session.scratch_path: (
+        stored.append(label) or path(s, label)))
+    contract.compare_methods_report(spark, dense)
+    assert stored.count("leaves") <= 5  # k of 1, 5, 10 and 100, and those of the ties
+
+
+@pytest.mark.parametrize("keys", [0, 1_000_000])
+def test_forms_with_shared_leaves_agree_with_their_own(make, monkeypatch, keys):
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", keys)
+    rng = random.Random(7)
+    at = lambda: (420000.0 + 10 * rng.randrange(60), 180000.0 + 10 * rng.randrange(60))
+    origins = make([(i, *at()) for i in range(80)], "origin")
+    destinations = make([(f"P{i:03}", *at()) for i in range(120)], "destination")
+    leaves = g.build_leaves(destinations)
+    both = origins, destinations, 60.0
+    for form in (g.nearest_lateral, g.nearest_in_square, g.nearest_in_hex_disk, g.nearest_geodesic, g.candidate_pairs):
+        assert rows(form(*both, leaves=leaves)) == rows(form(*both))
+    assert rows(g.nearest(*both, leaves=leaves)) == rows(g.nearest(*both))
+    with pytest.raises(ValueError, match="k=1"):
+        g.knn_join(*both[:2], 5, leaves=leaves)
+
+
+def test_numbers_are_sent_up_to_more_keys_than_text(spark, monkeypatch):
+    monkeypatch.setattr("geonear.operators.leaves.BROADCAST_KEYS", 100)
+    points = spark.range(250).selectExpr("id as destination", "id * 7.0D as x", "id * 3.0D as y")
+    assert g.build_leaves(points).whole is not None
+    assert g.build_leaves(points.selectExpr("cast(destination as string) as destination", "x", "y")).whole is None
+    assert g.build_leaves(points.unionAll(points.selectExpr("destination", "x + 1", "y"))).whole is None
+
+
+def test_origins_read_in_enough_parts_are_searched_where_they_are(spark, make, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(3000).selectExpr("id as origin", "id * 1.0D as x", "0.0D as y").repartition(cores).write.parquet(f"{tmp_path}/a")
+    b = make([(f"P{i:02}", i * 100.0, 1.0) for i in range(30)], "destination")
+    with_parts = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a part for each file
+    try:
+        found = g.nearest(spark.read.parquet(f"{tmp_path}/a"), b)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", with_parts)
+    few = g.nearest(spark.read.parquet(f"{tmp_path}/a").coalesce(1), b)
+    assert few.rdd.getNumPartitions() == cores and few.count() == 3000
+
+
+def test_first_of_many_where_the_other_leaves_are_crowded(make, monkeypatch):
+    from geonear.functions import search
+
+    rng = random.Random(10)
+    a = [(i, 100.0 + rng.random(), 0.0) for i in range(40)]
+    # The cap leaves few of an origin's own leaf, and a cluster in reach of it.
+    b = [(f"F{i:03}", 100.0, 30.0 + i) for i in range(60)]
+    b += [(f"C{i:03}", 90.0 + rng.random(), rng.random()) for i in range(500)]
+    kept, given = search.nearest_of, []
+    monkeypatch.setattr(search, "nearest_of", lambda row, *x: given.append(len(row)) or kept(row, *x))
+    xs, ys = (search.np.array([r[i] for r in b]) for i in (1, 2))
+    far, near = search.np.arange(60), search.np.arange(60, 560)
+    index = search.leaf_index(search.np.array([0, 1]), *(search.np.array([f(v[near]), f(v[far])]) for v in (xs, ys) for f in (min, max)),
+                              search.np.array([500, 60]))
+    px, py, order = (search.np.r_[v[near], v[far]] for v in (xs, ys, search.np.arange(560)))
+    x, y = (search.np.array([r[i] for r in a]) for i in (1, 2))
+    row, slot, d = search.search_all(index, search.np.array([0, 500]), search.np.array([500, 60]), px, py, order, x, y, 5, 40.0, first=1)
+    assert [(a[r][0], b[order[s]][0], v) for r, s, v in zip(row, slot, d)] == brute(a, b, cap=40.0)
+    assert max(given) <= 40 * (5 + 5 + 10)  # not the 500 of the cluster for each origin
+    assert rows(g.knn_join_top1(make(a, "origin"), make(b, "destination"), 5, 40.0)) == brute(a, b, cap=40.0)

@@ -193,7 +193,7 @@ def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, s
     Of the ``k``, only the ``first`` are put in order and returned, if given. With ``k`` 0, all up
     to ``slack`` times the smallest distance.
     """
-    some = bool(first) and merged and first < k
+    some = merged and k > 1
     rows = np.arange(len(x))
     reach = np.full(len(x), np.inf if cap is None else cap)
     home = home_leaves(index, x, y)
@@ -212,9 +212,9 @@ def search_all(index, starts, sizes, px, py, order, x, y, k, cap, merged=True, s
         return row[by], slot[by], d[by]
     if some:
         found = tuple(np.concatenate(c) for c in zip(*parts))
-        for most in (k, first):
+        for most in sorted({k, min(first or k, k)}, reverse=True):
             found = nearest_of(*found, most)
-        return first_k(*found, order, first)
+        return first_k(*found, order, first or k)
     return first_k(*(np.concatenate(c) for c in zip(*parts)), order, k, slack) if len(parts) > 1 else found
 
 

@@ -318,3 +318,24 @@ def test_first_of_many_where_the_other_leaves_are_crowded(make, monkeypatch):
     assert [(a[r][0], b[order[s]][0], v) for r, s, v in zip(row, slot, d)] == brute(a, b, cap=40.0)
     assert max(given) <= 40 * (5 + 5 + 10)  # not the 500 of the cluster for each origin
     assert rows(g.knn_join_top1(make(a, "origin"), make(b, "destination"), 5, 40.0)) == brute(a, b, cap=40.0)
+
+
+def test_neighbours_are_put_in_order_once_they_are_selected(monkeypatch):
+    from geonear.functions import search
+
+    rng, k, sizes = random.Random(11), 20, []
+    kept = search.first_k
+    monkeypatch.setattr(search, "first_k", lambda *x: sizes.append(len(x[0])) or kept(*x))
+    a = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(100)]
+    b = sorted((f"P{i:03}", rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(400))
+    b = [p for half in (False, True) for p in b if (p[1] >= 30) == half]  # two leaves, side by side
+    px, py = (search.np.array([p[i] for p in b]) for i in (1, 2))
+    order = search.np.argsort(search.np.argsort([p[0] for p in b]))
+    n = sum(p[1] < 30 for p in b)
+    starts, held = search.np.array([0, n]), search.np.array([n, 400 - n])
+    box = [f.reduceat(v, starts) for v in (px, py) for f in (search.np.minimum, search.np.maximum)]
+    index = search.leaf_index(search.np.arange(2), *box, held)
+    x, y = (search.np.array([r[i] for r in a]) for i in (1, 2))
+    row, slot, d = search.search_all(index, starts, held, px, py, order, x, y, k, None)
+    assert sorted((a[r][0], b[s][0], v) for r, s, v in zip(row, slot, d)) == brute(a, b, k)
+    assert sum(sizes) <= k * len(a)
